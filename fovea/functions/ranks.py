@@ -16,16 +16,19 @@ from fovea.runtime import durable, shuffle_width
 BUCKETS = 1024
 
 
-def _offsets(df: DataFrame, scope: list[str], bucket: str, size: str) -> DataFrame:
-    """Rows before each bucket, and rows in the scope; bounded by the bucket count."""
-    per_bucket = df.groupBy(*scope, bucket).agg(F.sum(size).alias("_size"))
-    ordered = Window.partitionBy(*scope).orderBy(bucket)
-    return per_bucket.select(
-        *scope,
-        bucket,
-        F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*scope)).alias("n"),
-    )
+def _offsets(df: DataFrame, scope: list[str], bucket: str, sizes: dict[str, tuple[str, str]]) -> DataFrame:
+    """Totals before each bucket and in the whole scope; bounded by the bucket count.
+
+    ``sizes`` maps an input column to the names (before, whole) of its two totals.
+    """
+    per_bucket = df.groupBy(*scope, bucket).agg(*[F.sum(c).alias(c) for c in sizes])
+    before = Window.partitionBy(*scope).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*scope)
+    totals = []
+    for column, (left, full) in sizes.items():
+        totals.append(F.coalesce(F.sum(column).over(before), F.lit(0)).alias(left))
+        totals.append(F.sum(column).over(whole).alias(full))
+    return per_bucket.select(*scope, bucket, *totals)
 
 
 def value_ranks(
@@ -37,7 +40,8 @@ def value_ranks(
     high: float = 1.0,
     counts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per distinct value of each scope: ties, rows below, n, average rank.
+    """One row per distinct value of each scope: ties, rows below, n, average rank,
+    and the sums of the values below and of all values.
 
     ``low`` and ``high`` are the usual range of the values; values outside fall
     into the end buckets and are still ranked exactly. ``counts`` adds further
@@ -48,6 +52,7 @@ def value_ranks(
         df.where(F.col(value).isNotNull())
         .groupBy(*scope, value)
         .agg(F.count(F.lit(1)).alias("ties"), *extra)
+        .withColumn("_mass", F.col("ties") * F.col(value))
         .withColumn(
             "_bucket",
             F.floor(
@@ -56,14 +61,15 @@ def value_ranks(
             ),
         )
     )
-    offsets = _offsets(collapsed, scope, "_bucket", "ties")
+    offsets = _offsets(collapsed, scope, "_bucket", {"ties": ("_before", "n"), "_mass": ("_mass_before", "sum_all")})
     inner = Window.partitionBy(*scope, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         collapsed.join(offsets, [*scope, "_bucket"])
         .withColumn("below", F.col("_before") + F.coalesce(F.sum("ties").over(inner), F.lit(0)))
+        .withColumn("sum_below", F.col("_mass_before") + F.coalesce(F.sum("_mass").over(inner), F.lit(0)))
         .withColumn("avg_rank", F.col("below") + (F.col("ties") + 1) / 2)
     )
-    return ranked.select(*scope, value, "ties", *(counts or {}).keys(), "below", "n", "avg_rank")
+    return ranked.select(*scope, value, "ties", *(counts or {}).keys(), "below", "n", "avg_rank", "sum_below", "sum_all")
 
 
 def at_quantile(value: str, prob: float) -> Column:
@@ -94,7 +100,7 @@ def exact_median(df: DataFrame, scope: list[str], value: str, alias: str, **span
 def hash_positions(df: DataFrame, scope: list[str], digest: str, alias: str, total: str) -> DataFrame:
     """1-based position of each row by an evenly spread hex digest within the scope."""
     spread = df.withColumn("_bucket", F.substring(F.col(digest), 1, 2)).withColumn("_one", F.lit(1))
-    offsets = _offsets(spread, scope, "_bucket", "_one")
+    offsets = _offsets(spread, scope, "_bucket", {"_one": ("_before", "n")})
     inner = Window.partitionBy(*scope, "_bucket").orderBy(digest)
     return (
         spread.join(offsets, [*scope, "_bucket"])
@@ -117,7 +123,7 @@ def ordered_positions(
     chunked = durable(
         df.repartitionByRange(n, *scope, *order).withColumn("_bucket", F.spark_partition_id())
     ).withColumn("_one", F.lit(1))
-    offsets = _offsets(chunked, scope, "_bucket", "_one")
+    offsets = _offsets(chunked, scope, "_bucket", {"_one": ("_before", "n")})
     inner = Window.partitionBy(*scope, "_bucket").orderBy(*order)
     return (
         chunked.join(offsets, [*scope, "_bucket"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "checks"]
+MODULES = ["tables", "checks", "relations"]
 
 
 def load_catalog():

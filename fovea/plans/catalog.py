@@ -17,7 +17,12 @@ class Query:
     name: str
     survey_id: str
     run: QueryFn
-    sql: str | None
+    body: str | None
+    needs: tuple[str, ...]
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.body is None else with_views(self.body, *self.needs)
 
 
 CATALOG: dict[str, Query] = {}
@@ -46,16 +51,13 @@ def query(name: str, survey_id: str, sql: str | None = None, needs: str = "", do
     """Register a query. ``doubles`` names the SQL columns compared at six decimals."""
 
     def register(fn: QueryFn) -> QueryFn:
-        text = None
-        if sql is not None:
-            body = sql
-            if doubles:
-                cols = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
-                body = f"SELECT * REPLACE ({cols}) FROM ({sql})"
-            text = with_views(body, *needs.split())
+        body = sql
+        if sql is not None and doubles:
+            cols = ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in doubles.split())
+            body = f"SELECT * REPLACE ({cols}) FROM ({sql})"
         if name in CATALOG:
             raise ValueError(f"query {name} is registered twice")
-        CATALOG[name] = Query(name, survey_id, lambda spark, sf_dir: rounded(fn(spark, sf_dir)), text)
+        CATALOG[name] = Query(name, survey_id, lambda spark, sf_dir: rounded(fn(spark, sf_dir)), body, tuple(needs.split()))
         return fn
 
     return register
