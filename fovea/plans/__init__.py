@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "checks", "relations"]
+MODULES = ["tables", "checks", "relations", "statistics"]
 
 
 def load_catalog():
