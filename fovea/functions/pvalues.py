@@ -12,10 +12,12 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 EXACT_U_SMALL = 8
 EXACT_U_LARGE = 400
 EXACT_W = 50
+EXACT_SIGN = 500
 
 
 @lru_cache(maxsize=256)
@@ -111,6 +113,8 @@ def sign_test(positive: int, negative: int) -> float | None:
     k = max(positive, negative)
     if 2 * k == n:
         return 1.0
+    if n <= EXACT_SIGN:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n)
     return min(1.0, 2.0 * incomplete_beta(k, n - k + 1.0, 0.5))
 
 
@@ -125,27 +129,27 @@ def _series(rows, fn) -> pd.Series:
     return pd.Series([None if any(missing(v) for v in r) else fn(*r) for r in rows], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def mann_whitney_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, tie_term: pd.Series) -> pd.Series:
     return _series(zip(u1, n1, n2, tie_term), lambda u, a, b, t: mann_whitney(u, int(a), int(b), t))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def signed_rank_p(w: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
     return _series(zip(w, n, tie_term), lambda a, b, t: signed_rank(a, int(b), t, False, True))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def signed_rank_normal_p(w: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
     """Always the normal rule with continuity correction."""
     return _series(zip(w, n, tie_term), lambda a, b, t: signed_rank(a, int(b), t, True, False))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sign_test_p(positive: pd.Series, negative: pd.Series) -> pd.Series:
     return _series(zip(positive, negative), lambda a, b: sign_test(int(a), int(b)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_tail_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _series(zip(f, df1, df2), f_tail)

@@ -15,7 +15,8 @@ COVERAGE = 0.95
 
 
 def unit_mass(v: Column) -> Column:
-    return F.transform(v, lambda t: t / vsum(v))
+    """The array divided by its sum."""
+    return F.zip_with(v, F.array_repeat(vsum(v), F.size(v)), lambda t, total: t / total)
 
 
 def _mean(v: Column) -> Column:
@@ -28,8 +29,8 @@ def _gaps(a: Column, b: Column) -> Column:
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays; null when either is constant."""
-    ca = F.transform(a, lambda t: t - _mean(a))
-    cb = F.transform(b, lambda t: t - _mean(b))
+    centred = lambda v: F.zip_with(v, F.array_repeat(_mean(v), F.size(v)), lambda t, m: t - m)
+    ca, cb = centred(a), centred(b)
     dot = lambda u, v: vsum(F.zip_with(u, v, lambda p, q: p * q))
     flat = (F.array_max(F.transform(ca, F.abs)) <= 1e-12) | (F.array_max(F.transform(cb, F.abs)) <= 1e-12)
     scale = F.sqrt(dot(ca, ca) * dot(cb, cb))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "checks", "relations", "statistics"]
+MODULES = ["tables", "checks", "relations", "statistics", "spatial"]
 
 
 def load_catalog():

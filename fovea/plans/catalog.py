@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.runtime import rounded
+from fovea.runtime import new_run, rounded
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,12 @@ def query(name: str, survey_id: str, sql: str | None = None, needs: str = "", do
             body = f"SELECT * REPLACE ({cols}) FROM ({sql})"
         if name in CATALOG:
             raise ValueError(f"query {name} is registered twice")
-        CATALOG[name] = Query(name, survey_id, lambda spark, sf_dir: rounded(fn(spark, sf_dir)), body, tuple(needs.split()))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            new_run()
+            return rounded(fn(spark, sf_dir))
+
+        CATALOG[name] = Query(name, survey_id, run, body, tuple(needs.split()))
         return fn
 
     return register

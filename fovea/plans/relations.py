@@ -8,7 +8,7 @@ from fovea.operators import compose, estimate, pairing, quality, states, summary
 from fovea.plans import base
 from fovea.plans.base import DOMAINS, K, LEFT, SUBTYPES
 from fovea.plans.catalog import query, view
-from fovea.runtime import scratch_path
+from fovea.runtime import scratch_path, staged
 from fovea.schema import COORD, REL_PATIENT
 from fovea.sources import binding, load, sinks
 
@@ -40,12 +40,13 @@ def rel_fovs(spark, sf):
 
 
 def support(spark, sf):
-    return pairing.relation_support(rel_fovs(spark, sf))
+    return staged(spark, "support", sf, lambda: pairing.relation_support(rel_fovs(spark, sf)))
 
 
 def blocks(spark, sf):
-    selected = rel_fovs(spark, sf)
-    return pairing.evidence_blocks(pairing.ordered_bags(selected), pairing.relation_support(selected))
+    return staged(
+        spark, "blocks", sf, lambda: pairing.evidence_blocks(pairing.ordered_bags(rel_fovs(spark, sf)), support(spark, sf))
+    )
 
 
 @query("relation_fovs", "F1", "SELECT * FROM rel_fovs", "rel_fovs")
@@ -166,14 +167,15 @@ view(
 
 
 def null_endpoints(spark, sf, n=N_PERM):
-    return pairing.permuted_endpoints(family_vectors(spark, sf), permutations(spark, sf, n), SRC, TGT, K)
+    build = lambda: pairing.permuted_endpoints(family_vectors(spark, sf), permutations(spark, sf, n), SRC, TGT, K)
+    return staged(spark, f"null_endpoints_{n}", sf, build)
 
 
 def real_endpoints(spark, sf):
     """Observed endpoints of the family, in the shape of one permutation."""
     vec = family_vectors(spark, sf)
     labels = vec.select("patient_id", "fov_id", F.lit(-1).alias("permutation_index"), F.col("domain_label").alias("permuted_domain_label"))
-    return pairing.permuted_endpoints(vec, labels, SRC, TGT, K)
+    return staged(spark, "real_endpoints", sf, lambda: pairing.permuted_endpoints(vec, labels, SRC, TGT, K))
 
 
 @query("permuted_endpoints", "F10", "SELECT * FROM perm_endpoints", "perm_endpoints", "x y")
@@ -192,7 +194,8 @@ view(
 
 
 def splits(spark, sf):
-    return pairing.patient_splits(base.cells(spark, sf).select("patient_id").distinct(), N_TEST, N_RERUN, SEED)
+    patients = base.cells(spark, sf).select("patient_id").distinct()
+    return staged(spark, "splits", sf, lambda: pairing.patient_splits(patients, N_TEST, N_RERUN, SEED))
 
 
 @query("patient_splits", "F11", "SELECT * FROM splits", "splits")
@@ -230,7 +233,7 @@ def identity(spark, sf):
 
 
 def identity_cost(spark, sf):
-    return states.identity_cost(identity(spark, sf))
+    return staged(spark, "identity_cost", sf, lambda: states.identity_cost(identity(spark, sf)))
 
 
 @query("identity_vectors", "D9", "SELECT state_id, cell_subtype_label, g FROM idvec", "idvec", "g")
@@ -315,7 +318,8 @@ view(
 
 
 def endpoints(spark, sf):
-    return estimate.endpoint_vectors(compose.fov_vectors(base.cells(spark, sf), K), base.sides(spark), K)
+    vectors = lambda: compose.fov_vectors(base.cells(spark, sf), K)
+    return staged(spark, "endpoints", sf, lambda: estimate.endpoint_vectors(vectors(), base.sides(spark), K))
 
 
 def diagonal(spark, sf):
@@ -323,12 +327,13 @@ def diagonal(spark, sf):
 
 
 def templates(spark, sf):
-    return estimate.gated_templates(endpoints(spark, sf), identity_cost(spark, sf), TAU)
+    return staged(spark, "templates", sf, lambda: estimate.gated_templates(endpoints(spark, sf), identity_cost(spark, sf), TAU))
 
 
 def gated(spark, sf):
     """Gated relations with unseen rows filled from the cohort."""
-    return estimate.template_entries(estimate.filled_templates(templates(spark, sf), ["relation_id"], K), K)
+    fill = lambda: estimate.filled_templates(templates(spark, sf), ["relation_id"], K)
+    return staged(spark, "gated", sf, lambda: estimate.template_entries(fill(), K))
 
 
 @query("diagonal_plan", "G2", "SELECT relation_id, patient_id, state_id AS i, state_id AS j, least(x, y) AS mass FROM endpoints", "endpoints", "mass")

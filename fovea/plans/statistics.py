@@ -10,7 +10,7 @@ from fovea.plans import base
 from fovea.plans import relations as rel
 from fovea.plans.base import K, LEFT, RIGHT
 from fovea.plans.catalog import query, view
-from fovea.runtime import literal_table
+from fovea.runtime import literal_table, staged
 from fovea.schema import COORD
 from fovea.sources.sinks import fraction_report
 
@@ -333,11 +333,11 @@ def _summaries(spark, sf, ends):
 
 
 def real_summaries(spark, sf):
-    return _summaries(spark, sf, rel.real_endpoints(spark, sf))
+    return staged(spark, "real_summaries", sf, lambda: _summaries(spark, sf, rel.real_endpoints(spark, sf)))
 
 
 def null_summaries(spark, sf):
-    return _summaries(spark, sf, rel.null_endpoints(spark, sf))
+    return staged(spark, "null_summaries", sf, lambda: _summaries(spark, sf, rel.null_endpoints(spark, sf)))
 
 
 @query("null_family_summaries", "F10 H5", "SELECT * FROM fnull_family", "fnull_family", "value burden_total")
@@ -484,8 +484,11 @@ def methods(spark, sf):
 
 
 def recovery_wide(spark, sf):
-    packed = recovery.pack_recovery(rel.gated(spark, sf), methods(spark, sf), rel.endpoints(spark, sf), RK, ["method_name"], K)
-    return recovery.recovery_wide(packed)
+    def build():
+        packed = recovery.pack_recovery(rel.gated(spark, sf), methods(spark, sf), rel.endpoints(spark, sf), RK, ["method_name"], K)
+        return recovery.recovery_wide(packed)
+
+    return staged(spark, "recovery", sf, build)
 
 
 @query("recovery_errors", "I27", "SELECT * FROM rec_rows", "rec_rows", "value")
@@ -612,9 +615,9 @@ def profiles(spark, sf):
     """Held-out patients with x, y and the synthetic target profile, as arrays."""
     m = methods(spark, sf).where("method_name = 'cohort_mean'").drop("method_name")
     ep = rel.endpoints(spark, sf)
-    syn = estimate.predict_targets(ep.withColumn("fractions", F.col("x")), m, RK, K).select(*RK, F.col("predicted").alias("syn"))
     held = rel.splits(spark, sf).where("split = 'test'").select("rerun_index", "patient_id")
-    return ep.join(syn, RK).join(held, "patient_id")
+    syn = estimate.predict_targets(ep.withColumn("fractions", F.col("x")), m, RK, K).select(*RK, F.col("predicted").alias("syn"))
+    return staged(spark, "profiles", sf, lambda: ep.join(syn, RK).join(held, "patient_id"))
 
 
 def surfaces(spark, sf):
@@ -711,7 +714,7 @@ view("boot_mean", "SELECT relation_id, replicate, entry_type, row_id, col_id, su
 
 def boot_weights(spark, sf):
     units = rel.endpoints(spark, sf).select(*RK)
-    return resampling.resample_weights(units, ["relation_id"], "patient_id", B_REP, B_SEED)
+    return staged(spark, "boot_weights", sf, lambda: resampling.resample_weights(units, ["relation_id"], "patient_id", B_REP, B_SEED))
 
 
 def boot_means(spark, sf):

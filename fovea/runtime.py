@@ -34,6 +34,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stages: dict[tuple, DataFrame] = {}
+
+
+def new_run() -> None:
+    """Forget the stages of the previous query."""
+    _stages.clear()
+
+
+def staged(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """Result of a pipeline stage, computed once per query and made durable.
+
+    Patient-level tables are used several times by one query; without this each
+    use would scan the cells again.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _stages:
+        _stages[key] = durable(build())
+    return _stages[key]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
