@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "checks", "relations", "statistics", "spatial"]
+MODULES = ["tables", "checks", "relations", "statistics", "spatial", "factors"]
 
 
 def load_catalog():
