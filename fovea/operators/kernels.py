@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fovea.functions.ranks import at_quantile, value_ranks
 from fovea.operators.estimate import closest_candidate, relation_rows, screen_pairs
-from fovea.runtime import durable
+from fovea.runtime import durable, spread
 from fovea.schema import REL_PATIENT
 
 # Settings of the balanced transport.
@@ -105,7 +105,7 @@ def pair_divergences(pairs: DataFrame, cost: np.ndarray) -> DataFrame:
                 yield out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", cost double"
-    return pairs.mapInPandas(run, schema)
+    return spread(pairs).mapInPandas(run, schema)
 
 
 def block_divergences(pair_costs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def match_pairs(pairs: DataFrame, cost: np.ndarray, n_min: float = 0.0, keep_pla
                 yield out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", status string, " + ", ".join(f"`{m}` double" for m in measured) + ", plan array<double>"
-    return screened.mapInPandas(run, schema)
+    return spread(screened).mapInPandas(run, schema)
 
 
 def plan_rows(matched: DataFrame, keys: list[str], n_states: int) -> DataFrame:
@@ -332,7 +332,7 @@ def _states_of(relation: DataFrame, n_states: int) -> DataFrame:
 
 def fit_relations(pairs: DataFrame, cost: np.ndarray, n_states: int, rounds: int = 3, steps: int = 30) -> tuple[DataFrame, list[dict]]:
     """Relations of every patient from its FOV pairs, and the mean objective after every round."""
-    chunks = durable(_chunked(pairs))
+    chunks = durable(spread(_chunked(pairs), *REL_PATIENT, "chunk"))
     t0, e0 = start_relation(n_states)
     reference = pair_divergences(chunks.select("relation_id", "pair_id", "a", "b"), cost)
     scales = {r["relation_id"]: max(r["m"], SCALE_FLOOR) for r in reference.groupBy("relation_id").agg(F.avg("cost").alias("m")).collect()}
@@ -360,8 +360,8 @@ def fit_relations(pairs: DataFrame, cost: np.ndarray, n_states: int, rounds: int
 
         # renamed keys: both sides of the cogroup descend from the same chunk rows
         held = places.join(current, REL_PATIENT).select(*keys, "t", "e").toDF("held_relation", "held_patient", "held_chunk", "t", "e")
-        held_groups = held.groupBy("held_relation", "held_patient", "held_chunk")
-        solved = chunks.groupBy(*keys).cogroup(held_groups).applyInPandas(solve, schema)
+        held_groups = spread(held, "held_relation", "held_patient", "held_chunk").groupBy("held_relation", "held_patient", "held_chunk")
+        solved = spread(chunks, *keys).groupBy(*keys).cogroup(held_groups).applyInPandas(solve, schema)
         mean = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i)) * F.col("weight")) / F.sum("weight") for i in range(n)])
         current = durable(
             solved.groupBy(*REL_PATIENT).agg(

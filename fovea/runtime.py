@@ -37,16 +37,16 @@ def durable(df: DataFrame) -> DataFrame:
 _stages: dict[tuple, DataFrame] = {}
 
 
-def new_run() -> None:
-    """Forget the stages of the previous query."""
+def forget_stages() -> None:
+    """Drop all stage results, e.g. after the source tables changed or to time a cold run."""
     _stages.clear()
 
 
 def staged(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """Result of a pipeline stage, computed once per query and made durable.
+    """Result of a pipeline stage, computed once per session and source folder and made durable.
 
-    Patient-level tables are used several times by one query; without this each
-    use would scan the cells again.
+    Patient-level tables are used several times by one query and by many queries;
+    without this each use would scan the cells again.
     """
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _stages:
@@ -58,6 +58,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer input splits than cores; a no-op for large inputs.
+
+    One small file is one task, which would also run every broadcast join behind
+    it. Counting the splits only plans the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores for compute-heavy Python steps.
+
+    The rows are few bytes but costly, so the size-based merging of shuffle
+    partitions would put them into one task; a fixed width prevents that.
+    """
+    width = max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"
