@@ -58,14 +58,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def widen(df: DataFrame) -> DataFrame:
+def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan that has fewer input splits than cores; a no-op for large inputs.
 
     One small file is one task, which would also run every broadcast join behind
-    it. Counting the splits only plans the scan.
+    it. Counting the splits only plans the scan. Rows go by the hash of ``keys``:
+    a round robin would first sort them to stay repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -35,7 +35,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Join sides are left to the optimizer: small dimensions broadcast because
     their file sizes are known, large ones fall back to a shuffle join.
     """
-    li = widen(table(spark, sf_dir, "lineitem"))
+    li = widen(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     joined = (
         li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
