@@ -39,11 +39,11 @@ def _in_one_row(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
     """Neighbours for FOVs of at most ``SMALL_FOV`` cells: one shuffle, one array per FOV."""
     point = F.struct("cell_id", "x", "y", *columns)
     fovs = cells.groupBy(*FOV_KEYS).agg(F.collect_list(point).alias("points"))
-    rows = fovs.select(*FOV_KEYS, "points", F.explode("points").alias("q"))
-    return rows.select(
-        *FOV_KEYS, F.col("q.cell_id").alias("cell_id"),
-        _nearest_of(F.col("points"), F.col("q.x"), F.col("q.y"), F.col("q.cell_id"), k, columns).alias("near"),
+    found = F.transform(
+        "points",
+        lambda q: F.struct(q["cell_id"].alias("cell_id"), _nearest_of(F.col("points"), q["x"], q["y"], q["cell_id"], k, columns).alias("near")),
     )
+    return fovs.select(*FOV_KEYS, F.inline(found))
 
 
 def _with_grid(cells: DataFrame, depth: int) -> DataFrame:

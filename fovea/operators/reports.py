@@ -108,7 +108,7 @@ def method_pairs(metrics: DataFrame, reference: str) -> DataFrame:
 def normal_rank_tests(pairs: DataFrame, unit: list[str]) -> DataFrame:
     """Signed-rank sums per unit; no test with a single pair or without any difference."""
     n = pairs.where(F.col("delta").isNotNull()).groupBy(*unit).agg(F.count(F.lit(1)).alias("n_pairs"))
-    sums = stats.signed_rank_sums(pairs, unit, band=0.0)
+    sums = stats.signed_rank_sums(pairs, unit)
     joined = n.join(sums, unit, "left")
     usable = F.col("n_pairs") > 1
     return joined.select(

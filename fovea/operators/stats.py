@@ -15,6 +15,9 @@ from fovea.schema import COORD, ZERO_BAND
 Q_ALPHA = 0.05
 EFFECT_FLOOR = 0.05
 
+# Decimals that count when values are ranked.
+RANK_DIGITS = 12
+
 
 # --- group association -------------------------------------------------------
 
@@ -49,11 +52,12 @@ def rank_sums(rows: DataFrame, unit: list[str]) -> DataFrame:
     """Mann-Whitney U of the first group, group sizes, tie term and Cliff's delta per test.
 
     U comes from average ranks of distinct values, so no pairs are formed:
-    ``delta = 2 U / (n1 n2) - 1``.
+    ``delta = 2 U / (n1 n2) - 1``. Values equal to twelve decimals are tied, so
+    the order of distributed sums cannot decide a rank.
     """
     scope = [*unit, "comparison_id"]
     ranked = value_ranks(
-        rows.where("n_groups = 2"), scope, "value", low=0.0, high=1.0, counts={"first": F.count_if(F.col("place") == 0)}
+        rows.where("n_groups = 2").withColumn("value", F.round("value", RANK_DIGITS)), scope, "value", low=0.0, high=1.0, counts={"first": F.count_if(F.col("place") == 0)}
     )
     t = F.col("ties").cast("double")
     sums = ranked.groupBy(*scope).agg(
@@ -210,7 +214,7 @@ def cohort_contrast(template: DataFrame, summary: DataFrame, left: str, right: s
 def signed_rank_sums(pairs: DataFrame, unit: list[str], band: float = ZERO_BAND) -> DataFrame:
     """Positive rank sum, count and tie term of the non-zero differences per unit."""
     moved = pairs.where(F.col("delta").isNotNull() & (F.abs("delta") > band)).select(
-        *unit, F.abs("delta").alias("size"), (F.col("delta") > 0).alias("up")
+        *unit, F.round(F.abs("delta"), RANK_DIGITS).alias("size"), (F.col("delta") > 0).alias("up")
     )
     ranked = value_ranks(moved, unit, "size", low=0.0, high=1.0, counts={"ups": F.count_if("up")})
     t = F.col("ties").cast("double")

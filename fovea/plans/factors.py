@@ -195,8 +195,8 @@ def program_rows(spark, sf):
 
 @query(
     "program_effects", "I16",
-    f"""SELECT {_U}, comparison_id, (count(*) FILTER (a.value > b.value) - count(*) FILTER (a.value < b.value)) / count(*) AS effect_size FROM (SELECT * FROM prog_rows WHERE n_groups = 2 AND place = 0) a
-        JOIN (SELECT * FROM prog_rows WHERE n_groups = 2 AND place = 1) b USING ({_U}, comparison_id) GROUP BY ALL""",
+    f"""SELECT {_U}, comparison_id, (count(*) FILTER (a.value > b.value) - count(*) FILTER (a.value < b.value)) / count(*) AS effect_size FROM (SELECT * REPLACE (round(value, 12) AS value) FROM prog_rows WHERE n_groups = 2 AND place = 0) a
+        JOIN (SELECT * REPLACE (round(value, 12) AS value) FROM prog_rows WHERE n_groups = 2 AND place = 1) b USING ({_U}, comparison_id) GROUP BY ALL""",
     "prog_rows", "effect_size",
 )
 def _(spark, sf):

@@ -142,7 +142,7 @@ def rank_view(name: str, pairs: str, unit: str) -> None:
         f"""SELECT {unit}, n_pairs, CASE WHEN n_pairs > 1 THEN n_nonzero END AS n_nonzero, CASE WHEN n_pairs > 1 THEN w_plus END AS w_plus, CASE WHEN n_pairs > 1 THEN tie_term END AS tie_term FROM
             (SELECT {unit}, count(delta) AS n_pairs FROM {pairs} WHERE delta IS NOT NULL GROUP BY ALL) LEFT JOIN
             (SELECT {unit}, count(*) AS n_nonzero, coalesce(sum(r) FILTER (delta > 0), 0) AS w_plus, CAST(sum(t * t - 1) AS DOUBLE) AS tie_term FROM
-             (SELECT *, rank() OVER (PARTITION BY {unit} ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY {unit}, abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {unit}, abs(delta)) AS t FROM {pairs} WHERE abs(delta) > 0) GROUP BY ALL) USING ({unit})""",
+             (SELECT *, rank() OVER (PARTITION BY {unit} ORDER BY round(abs(delta), 12)) + (count(*) OVER (PARTITION BY {unit}, round(abs(delta), 12)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {unit}, round(abs(delta), 12)) AS t FROM {pairs} WHERE abs(delta) > 1e-12) GROUP BY ALL) USING ({unit})""",
         pairs,
     )
 

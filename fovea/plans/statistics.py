@@ -49,7 +49,7 @@ def _(spark, sf):
 
 view(
     "ranked",
-    f"SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY {_UNIT}, comparison_id, value) - 1) / 2.0 AS avg_rank, count(*) OVER (PARTITION BY {_UNIT}, comparison_id, value) AS ties FROM test_rows WHERE n_groups = 2 WINDOW w AS (PARTITION BY {_UNIT}, comparison_id ORDER BY value)",
+    f"SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY {_UNIT}, comparison_id, value) - 1) / 2.0 AS avg_rank, count(*) OVER (PARTITION BY {_UNIT}, comparison_id, value) AS ties FROM (SELECT * REPLACE (round(value, 12) AS value) FROM test_rows WHERE n_groups = 2) WINDOW w AS (PARTITION BY {_UNIT}, comparison_id ORDER BY value)",
     "test_rows",
 )
 view(
@@ -68,18 +68,18 @@ def _(spark, sf):
 @query(
     "exact_rank_tests", "I7",
     f"""WITH dist AS (SELECT u, count(*) AS c FROM (SELECT m, sum(b + 1) - 15 AS u FROM range(1024) t(m), range(10) r(b) WHERE ((m >> b) & 1) = 1 GROUP BY m HAVING count(*) = 5) GROUP BY 1)
-        SELECT {_UNIT}, comparison_id, least(1.0, 2 * (SELECT sum(c) FROM dist WHERE u >= greatest(u1, 25 - u1)) / 252.0) AS p_value FROM u_stats WHERE tie_term = 0""",
+        SELECT {_UNIT}, comparison_id, least(1.0, 2 * (SELECT sum(c) FROM dist WHERE u >= greatest(u1, 25 - u1)) / 252.0) AS p_value FROM u_stats WHERE tie_term = 0 AND n1 = 5 AND n2 = 5""",
     "u_stats", "p_value",
 )
 def _(spark, sf):
-    sums = stats.rank_sums(test_rows(spark, sf), stats.ENTRY_UNIT).where("tie_term = 0")
+    sums = stats.rank_sums(test_rows(spark, sf), stats.ENTRY_UNIT).where("tie_term = 0 AND n1 = 5 AND n2 = 5")
     return sums.select(*stats.ENTRY_UNIT, "comparison_id", pvalues.mann_whitney_p("u1", "n1", "n2", "tie_term").alias("p_value"))
 
 
 @query(
     "cliffs_delta_pairs", "I8",
     f"""SELECT {_UNIT}, comparison_id, (count(*) FILTER (a.value > b.value) - count(*) FILTER (a.value < b.value)) / count(*) AS effect_size
-        FROM (SELECT * FROM test_rows WHERE n_groups = 2 AND place = 0) a JOIN (SELECT * FROM test_rows WHERE n_groups = 2 AND place = 1) b USING ({_UNIT}, comparison_id) GROUP BY ALL""",
+        FROM (SELECT * REPLACE (round(value, 12) AS value) FROM test_rows WHERE n_groups = 2 AND place = 0) a JOIN (SELECT * REPLACE (round(value, 12) AS value) FROM test_rows WHERE n_groups = 2 AND place = 1) b USING ({_UNIT}, comparison_id) GROUP BY ALL""",
     "test_rows", "effect_size",
 )
 def _(spark, sf):
@@ -100,7 +100,7 @@ view(
 @query(
     "variance_tests", "I9 I10",
     f"""SELECT {_UNIT}, comparison_id, CASE WHEN flat OR ssb + ssw <= 0 THEN 0 ELSE ssb / (ssb + ssw) END AS effect_size,
-        CASE WHEN flat THEN 1.0 ELSE x ** 10 * (1 + 10 * (1 - x)) END AS p_value FROM (SELECT *, 20.0 / (20.0 + 4.0 * ((ssb / 4.0) / nullif(ssw / 20.0, 0))) AS x FROM anova)""",
+        CASE WHEN flat THEN 1.0 ELSE x ** (df2 / 2) * (1 + df2 / 2 * (1 - x)) END AS p_value FROM (SELECT *, df2 / (df2 + 4.0 * ((ssb / 4.0) / nullif(ssw / df2, 0))) AS x FROM anova)""",
     "anova", "effect_size p_value",
 )
 def _(spark, sf):
@@ -111,7 +111,7 @@ def _(spark, sf):
 
 view(
     "anova_p",
-    f"""SELECT {_UNIT}, comparison_id, CASE WHEN flat THEN 1.0 ELSE x ** 10 * (1 + 10 * (1 - x)) END AS p_value FROM (SELECT *, 20.0 / (20.0 + 4.0 * ((ssb / 4.0) / nullif(ssw / 20.0, 0))) AS x FROM anova)""",
+    f"""SELECT {_UNIT}, comparison_id, CASE WHEN flat THEN 1.0 ELSE x ** (df2 / 2) * (1 + df2 / 2 * (1 - x)) END AS p_value FROM (SELECT *, df2 / (df2 + 4.0 * ((ssb / 4.0) / nullif(ssw / df2, 0))) AS x FROM anova)""",
     "anova",
 )
 
@@ -232,7 +232,7 @@ def payload_view(name: str, pairs: str, unit: str) -> None:
             (SELECT {unit}, count(*) AS n_patients, count(*) FILTER (delta > 1e-12) AS support_positive_n, count(*) FILTER (delta < -1e-12) AS support_negative_n, count(*) FILTER (abs(delta) <= 1e-12) AS support_zero_n,
                median(left_value) AS left_median, median(right_value) AS right_median, median(delta) AS median_delta, avg(delta) AS mean_delta FROM {pairs} WHERE delta IS NOT NULL GROUP BY ALL)
             LEFT JOIN (SELECT {unit}, count(*) AS n_nonzero_delta, coalesce(sum(r) FILTER (delta > 0), 0) AS w_plus, CAST(sum(t * t - 1) AS DOUBLE) AS tie_term FROM
-               (SELECT *, rank() OVER (PARTITION BY {unit} ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY {unit}, abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {unit}, abs(delta)) AS t
+               (SELECT *, rank() OVER (PARTITION BY {unit} ORDER BY round(abs(delta), 12)) + (count(*) OVER (PARTITION BY {unit}, round(abs(delta), 12)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {unit}, round(abs(delta), 12)) AS t
                 FROM {pairs} WHERE abs(delta) > 1e-12) GROUP BY ALL) USING ({unit})""",
         pairs,
     )
