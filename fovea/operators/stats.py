@@ -298,6 +298,8 @@ def element_supplement(entries: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def in_tail(observed: Column, reference: Column, tail: Column) -> Column:
+    """Inclusive tail; an identity permutation equals the observed value despite summation order."""
+    observed, reference = F.round(observed, RANK_DIGITS), F.round(reference, RANK_DIGITS)
     return F.when(tail == "right", reference >= observed).otherwise(reference <= observed)
 
 

@@ -346,8 +346,8 @@ def _(spark, sf):
 
 
 _TAIL = "CASE WHEN summary_name = 'self_retention' THEN 'left' ELSE 'right' END"
-_HIT = "CASE WHEN expected_tail = 'right' THEN {n} >= {r} ELSE {n} <= {r} END"
-_OPP = "CASE WHEN expected_tail = 'left' THEN {n} >= {r} ELSE {n} <= {r} END"
+_HIT = "CASE WHEN expected_tail = 'right' THEN round({n}, 12) >= round({r}, 12) ELSE round({n}, 12) <= round({r}, 12) END"
+_OPP = "CASE WHEN expected_tail = 'left' THEN round({n}, 12) >= round({r}, 12) ELSE round({n}, 12) <= round({r}, 12) END"
 _EFF = "real_value - null_reference AS effect_delta, CASE WHEN abs(null_reference) > 1e-12 THEN real_value / null_reference END AS effect_ratio, CASE WHEN abs(null_reference) <= 1e-12 THEN 'not_estimable' ELSE 'estimable' END AS effect_ratio_status"
 view(
     "cal_patient",
