@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one only when none is configured."""
+    """Folder every executor can reach, from ``spark.checkpoint.dir``.
+
+    Only a session on one machine (``local[...]``) may do without that setting; on a
+    cluster each executor would write to a disk of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = spark.conf.get("spark.fovea.local.dir", None)
     if not local:
         local = tempfile.mkdtemp(prefix="spark-fovea-", dir="/tmp")
@@ -26,6 +32,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def write_stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and unlike a checkpoint keeps column
+    pruning, statistics and compression for the steps that read it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    _written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete every folder of ``write_stage``; frames that still read them stop working."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` and cut its lineage with a reliable checkpoint."""
     context = df.sparkSession.sparkContext
