@@ -27,6 +27,20 @@ def text_sizes(column) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def block_spans(sizes: np.ndarray, block_bytes: int) -> list[tuple[int, int]]:
+    """Row ranges of consecutive blocks in a batch with these text sizes."""
+    if not len(sizes):
+        return []
+    group = (np.cumsum(sizes + ROW_BYTES) - 1) // block_bytes
+    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    return list(zip(starts, [*starts[1:], len(sizes)]))
+
+
+def first_block_id() -> int:
+    """Ids of the blocks of this task count up from here."""
+    return (TaskContext.get().partitionId() + 1) << 31
+
+
 def blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Staged frame (block long, n_bytes long, rows array<struct<all columns of docs>>).
 
@@ -42,15 +56,11 @@ def blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYT
     )
 
     def cut(batches):
-        block = (TaskContext.get().partitionId() + 1) << 31
+        block = first_block_id()
         for batch in batches:
-            if not batch.num_rows:
-                continue
             sizes = text_sizes(batch.column(where))
-            group = (np.cumsum(sizes + ROW_BYTES) - 1) // block_bytes
-            starts = np.flatnonzero(np.diff(group, prepend=-1))
             struct = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            for lo, hi in block_spans(sizes, block_bytes):
                 rows = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), struct.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int64()), pa.array([int(sizes[lo:hi].sum())], pa.int64()), rows],
