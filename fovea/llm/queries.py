@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import exact_dedup, packing, sharding, token_counts
+from fovea.llm import bpe_stream, exact_dedup, packing, sharding, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -45,6 +45,11 @@ def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_decode(table(spark, sf_dir, "documents"))
+
+
 LLM_SQL["op7_grace_dedup"] = """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
