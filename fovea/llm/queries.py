@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, exact_dedup, packing, sharding, token_counts
+from fovea.llm import bpe_stream, exact_dedup, packing, quality_rules, sharding, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -40,6 +40,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), SEQUENCE_TOKENS)
 
 
+@query
+def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.fertility_rules(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
