@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, exact_dedup, packing, quality_rules, sharding, token_counts
+from fovea.llm import bpe_stream, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
 SEQUENCE_TOKENS = 2048
+GOOD_SCORE = 0.3
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -35,6 +36,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKEN_LIMIT)
 
 
+@query
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score_documents(docs, labels, GOOD_SCORE)
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), SEQUENCE_TOKENS)
