@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_counts
+from fovea.llm import bpe_stream, exact_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -57,6 +57,11 @@ def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_relative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.duplicate_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_decode(table(spark, sf_dir, "documents"))
@@ -86,3 +91,16 @@ LLM_SQL["op1_jump_shards"] = f"""
     SELECT doc_id, (n + 8)::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, a.shard::INT AS shard,
            row_number() OVER (PARTITION BY a.shard ORDER BY doc_id NULLS FIRST, text_crc32, n) - 1 AS slot, g.shard::INT AS grown_shard
     FROM crc JOIN ends a ON a.rid = crc.rid AND a.shards = {N_SHARDS} JOIN ends g ON g.rid = crc.rid AND g.shards = {N_SHARDS + 1}"""
+
+LLM_SQL["op8_relative_factors"] = r"""
+    WITH w AS (SELECT doc_id, rid, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+               FROM (SELECT *, row_number() OVER () AS rid FROM documents)),
+    win AS (SELECT doc_id, rid, i, array_to_string(words[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(words) - 11)) u(i)),
+    low AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k HAVING count(*) > 1),
+    hit AS (SELECT rid, i FROM win JOIN low USING (k) WHERE least < doc_id),
+    gone AS (SELECT DISTINCT rid, j FROM hit, unnest(range(i, i + 13)) u(j)),
+    flags AS (SELECT rid, list(j) AS js FROM gone GROUP BY rid),
+    spelled AS (SELECT rid, unnest(range(1, len(words) + 1)) AS j, unnest(words) AS word FROM w),
+    each AS (SELECT s.rid, string_agg(word, ' ' ORDER BY s.j) AS kept FROM spelled s LEFT JOIN gone g ON g.rid = s.rid AND g.j = s.j WHERE g.rid IS NULL GROUP BY s.rid)
+    SELECT doc_id, len(words) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN flags USING (rid) LEFT JOIN each USING (rid)"""
