@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, exact_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from fovea.llm import bpe_stream, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -62,6 +62,11 @@ def op8_relative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.duplicate_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_decode(table(spark, sf_dir, "documents"))
