@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from fovea.llm import bpe_stream, exact_dedup, html_extract, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -52,6 +52,11 @@ def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.fertility_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
