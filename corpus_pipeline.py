@@ -1,8 +1,63 @@
-"""Placeholder of the corpus pipeline; stages follow."""
+"""The training-data pipeline: five stages over ``documents``, each written before the next reads it.
 
-STAGES: list = []
+Quality classifier (documents it rejects go), exact deduplication, near-duplicate
+detection (one document of each group stays), substring deduplication (duplicate spans
+leave the text), best-fit packing (the last stage, one row per piece).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fovea.llm import exact_dedup, near_dedup, packing, quality_classifier, substring_dedup
+from fovea.llm.queries import GOOD_SCORE, SEQUENCE_TOKENS, table
+from fovea.runtime import write_stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, fitted on ``labels``, does not reject."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), GOOD_SCORE)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document per text, the one with the largest id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document per group of near-duplicates, the one with the smallest id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the 13-word runs that a document with a smaller id also has."""
+    left = substring_dedup.drop_duplicate_spans(docs)
+    if "n_chars" in left.columns:
+        left = left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return left
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, SEQUENCE_TOKENS)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("substring dedup", substrings),
+    ("best-fit packing", packed),
+]
+
+#: Compression sizes, signatures and tokens are outside SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what each returns is written as Parquet and reread as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
