@@ -236,7 +236,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket still in different components whose signatures agree enough.
+    """Pairs (larger uid, smaller uid) of one bucket still in different components whose signatures agree enough.
 
     Only buckets with several components are left here. A bucket is cut into tiles of at most
     TILE members; each pair of tiles is one group, so that no task holds a bucket and none of
@@ -257,16 +257,16 @@ def _across(buckets: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
         uid, root = table.column("uid").to_numpy(), table.column("root").to_numpy()
         marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(uid), REGISTERS)
         rows, columns = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
-        a, b = [], []
+        small, large = [], []
         for r in rows:
             against = columns[(root[columns] != root[r]) & ((uid[columns] > uid[r]) | (i != j))]
             if len(against):
                 near = against[(marks[against] == marks[r]).mean(axis=1) >= LEAST_AGREEMENT]
-                a += np.minimum(uid[near], uid[r]).tolist()
-                b += np.maximum(uid[near], uid[r]).tolist()
-        return pa.table({"b": pa.array(a, pa.int64()), "a": pa.array(b, pa.int64())})
+                small += np.minimum(uid[near], uid[r]).tolist()
+                large += np.maximum(uid[near], uid[r]).tolist()
+        return pa.table({"a": pa.array(large, pa.int64()), "b": pa.array(small, pa.int64())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "b long, a long").distinct()
+    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

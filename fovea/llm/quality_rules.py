@@ -46,8 +46,8 @@ _FACTS = (
     " n_repeat_words long, size_class int, chars_per_token double, chars_per_piece double, fallback_share double, token_entropy double"
 )
 # First code points of the blocks that decide a script; letters below the first are Latin.
-SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x4E00, 0xA000, 0xAC00, 0xD7B0, 0x10000]
-SCRIPT_NAMES = ["latin", "greek", "cyrillic", "other", "hebrew", "arabic", "other", "devanagari", "other", "thai", "other", "latin", "greek", "other", "kana", "other", "han", "other", "hangul", "other", "other"]
+SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x4E00, 0xA000, 0xAC00, 0xD7B0, 0x10000, 0x1F000, 0x20000]
+SCRIPT_NAMES = ["latin", "greek", "cyrillic", "other", "hebrew", "arabic", "other", "devanagari", "other", "thai", "other", "latin", "greek", "none", "kana", "other", "han", "other", "hangul", "other", "other", "none", "han"]
 
 
 def repeated_words(words: np.ndarray, document: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -76,7 +76,10 @@ def repeated_words(words: np.ndarray, document: np.ndarray, width: int = WINDOW)
 
 
 def _script(chars: str) -> str:
-    """Script of most letters of a text, by the ranges above; 'none' without letters."""
+    """Script of most letters of a text, by the ranges above; 'none' without letters.
+
+    Punctuation, symbols and emoji have no script and do not vote.
+    """
     points = np.frombuffer(chars.encode("utf-32-le"), "<u4")
     points = points[(points > 127) | ((points | 32) - 97 < 26)]
     if not len(points):
@@ -85,7 +88,8 @@ def _script(chars: str) -> str:
     by_name: dict[str, int] = {}
     for name, n in zip(SCRIPT_NAMES, counts.tolist()):
         by_name[name] = by_name.get(name, 0) + n
-    return max(sorted(by_name), key=by_name.__getitem__)
+    by_name.pop("none")
+    return max(sorted(by_name), key=by_name.__getitem__) if any(by_name.values()) else "none"
 
 
 def _block_facts(texts: list[str], vocabulary, pieces, is_byte: np.ndarray) -> pd.DataFrame:
