@@ -10,27 +10,31 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 EXACT_U_SMALL = 8
-EXACT_U_LARGE = 400
 EXACT_W = 50
 EXACT_SIGN = 500
 
 
-@lru_cache(maxsize=256)
-def _u_counts(n1: int, n2: int) -> tuple[float, ...]:
-    """Number of rank arrangements per value of U: the Gaussian binomial coefficients."""
-    top = n1 * n2
-    counts = [1] + [0] * top
+@lru_cache(maxsize=64)
+def _u_tail(n1: int, n2: int) -> np.ndarray:
+    """Number of rank arrangements with a U of at most 0, 1, ... up to the middle.
+
+    The counts per value are the Gaussian binomial coefficients. Only the lower half is
+    formed, where they start small; the upper half mirrors it.
+    """
+    counts = np.zeros(n1 * n2 // 2 + 1)
+    counts[0] = 1.0
     for i in range(1, n1 + 1):
-        for u in range(top, n2 + i - 1, -1):
-            counts[u] -= counts[u - n2 - i]
-        for u in range(i, top + 1):
-            counts[u] += counts[u - i]
-    return tuple(float(c) for c in counts)
+        if n2 + i < len(counts):
+            counts[n2 + i :] -= counts[: -(n2 + i)].copy()
+        padded = np.concatenate([counts, np.zeros(-len(counts) % i)]).reshape(-1, i)
+        counts = np.cumsum(padded, axis=0).ravel()[: len(counts)]
+    return np.cumsum(counts)
 
 
 @lru_cache(maxsize=256)
@@ -51,10 +55,9 @@ def mann_whitney(u1: float, n1: int, n2: int, tie_term: float) -> float:
     """Two-sided p of U; ``tie_term`` is the sum of t^3 - t over tied values."""
     small, large = min(n1, n2), max(n1, n2)
     u = max(u1, n1 * n2 - u1)
-    if tie_term == 0 and small <= EXACT_U_SMALL and large <= EXACT_U_LARGE:
-        counts = _u_counts(small, large)
-        tail = sum(counts[int(math.ceil(u - 1e-9)):])
-        return min(1.0, 2.0 * tail / math.comb(n1 + n2, n1))
+    if tie_term == 0 and small <= EXACT_U_SMALL:
+        at_most = n1 * n2 - int(math.ceil(u - 1e-9))  # mirrored to the lower half
+        return min(1.0, 2.0 * float(_u_tail(small, large)[at_most]) / math.comb(n1 + n2, n1)) if at_most >= 0 else 0.0
     n = n1 + n2
     variance = n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0)))
     if variance <= 0:

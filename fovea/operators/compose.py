@@ -17,19 +17,30 @@ def share(part: Column, whole: Column) -> Column:
 def _state_counts(df: DataFrame, keys: list[str], n_states: int, weight: Column | None = None) -> DataFrame:
     """One row per key with ``n``, the dense array of state counts.
 
-    Few states: one counter per state, so a map task ships one row per key.
-    Many states: (key, state) counts first, then a state-sized map per key.
+    The number of states only decides the layout of the same sums: few states take one
+    counter each, so a map task ships one row per key; many states take (key, state) sums
+    first, then a state-sized map per key. Both keep every key and fail on a state that is
+    null or outside 0..n_states-1.
     """
     w = F.lit(1).cast("long") if weight is None else weight
     zero = F.lit(0).cast("long") if weight is None else F.lit(0.0)
-    inside = F.col("state_id").between(0, n_states - 1)
+    inside = F.coalesce(F.col("state_id").between(0, n_states - 1), F.lit(False))
+
+    def checked(values: Column) -> Column:
+        refusal = F.raise_error(F.lit(f"state ids must be between 0 and {n_states - 1}"))
+        return F.when(F.col("n_outside") > 0, refusal).otherwise(values).alias("n")
+
     if n_states <= WIDE_STATE_LIMIT:
         counters = [F.coalesce(F.sum(F.when(F.col("state_id") == k, w)), zero) for k in range(n_states)]
-        return df.groupBy(*keys).agg(F.array(*counters).alias("n"))
-    per_state = df.where(inside).groupBy(*keys, "state_id").agg(F.sum(w).alias("w"))
-    maps = per_state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("state_id", "w"))).alias("m"))
+        counted = df.groupBy(*keys).agg(F.array(*counters).alias("n"), F.count_if(~inside).alias("n_outside"))
+        return counted.select(*keys, checked(F.col("n")))
+    per_state = df.groupBy(*keys, F.when(inside, F.col("state_id").cast("int")).alias("state_id")).agg(F.sum(w).alias("w"))
+    entry = F.when(F.col("state_id").isNotNull(), F.struct("state_id", "w"))
+    maps = per_state.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("m"), F.count_if(F.col("state_id").isNull()).alias("n_outside")
+    )
     axis = F.sequence(F.lit(0), F.lit(n_states - 1))
-    return maps.select(*keys, F.transform(axis, lambda k: F.coalesce(F.try_element_at("m", k), zero)).alias("n"))
+    return maps.select(*keys, checked(F.transform(axis, lambda k: F.coalesce(F.try_element_at("m", k), zero))))
 
 
 def _total(values: Column, zero: Column) -> Column:
@@ -91,12 +102,12 @@ def family_composition(cells: DataFrame, source: str, target: str, n_states: int
     chosen = cells.where(F.col("domain_label").isin(source, target))
     if complete:
         chosen = chosen.join(family_patients(cells, source, target), "patient_id", "left_semi")
-    return state_fractions(chosen, ["patient_id", "domain_label", "fov_id"], n_states)
+    return state_fractions(chosen, [*FOV_KEYS, "domain_label"], n_states)
 
 
 def family_coverage(cells: DataFrame, source: str, target: str) -> DataFrame:
     """Eligible and skipped patients and FOV counts of an ordered pair."""
-    fovs = cells.where(F.col("domain_label").isin(source, target)).groupBy("patient_id", "domain_label", "fov_id").agg(
+    fovs = cells.where(F.col("domain_label").isin(source, target)).groupBy(*FOV_KEYS, "domain_label").agg(
         F.count(F.lit(1)).alias("_")
     )
     per_patient = fovs.groupBy("patient_id").agg(

@@ -126,10 +126,14 @@ MATCH_TOL = 1e-7
 
 
 def unbalanced_plans(a, b, active, penalty, cost, epsilons=MATCH_EPSILONS, max_iter=MATCH_MAX_ITER, tol=MATCH_TOL):
-    """Transport plans with a penalty on unmatched mass, one per pair of the batch."""
+    """Transport plans with a penalty on unmatched mass, one per pair of the batch, and which converged.
+
+    A pair that still moves after ``max_iter`` iterations at any epsilon has not converged.
+    """
     av, bv = np.where(active, a, 0.0), np.where(active, b, 0.0)
     log_a, log_b = _log(av), _log(bv)
     lu, lv = np.zeros_like(av), np.zeros_like(bv)
+    settled = np.ones(a.shape[0], bool)
     for eps in epsilons:
         kernel = -cost / eps
         damp = (penalty / (penalty + eps))[:, None]
@@ -143,9 +147,10 @@ def unbalanced_plans(a, b, active, penalty, cost, epsilons=MATCH_EPSILONS, max_i
             live = live[~(moved < tol)]
             if live.size == 0:
                 break
+        settled[live] = False
     lu = np.where(av > 0, lu, -np.inf)
     lv = np.where(bv > 0, lv, -np.inf)
-    return np.exp(lu[:, :, None] - cost / epsilons[-1] + lv[:, None, :])
+    return np.exp(lu[:, :, None] - cost / epsilons[-1] + lv[:, None, :]), settled
 
 
 def match_pairs(pairs: DataFrame, cost: np.ndarray, n_min: float = 0.0, keep_plan: bool = True) -> DataFrame:
@@ -171,12 +176,12 @@ def match_pairs(pairs: DataFrame, cost: np.ndarray, n_min: float = 0.0, keep_pla
                 if ok.size:
                     sub = part.iloc[ok]
                     a, b, active = _stack(sub["a"]), _stack(sub["b"]), _stack(sub["active"]) > 0
-                    plan = unbalanced_plans(a, b, active, sub["penalty"].to_numpy(dtype=float), cost)
+                    plan, settled = unbalanced_plans(a, b, active, sub["penalty"].to_numpy(dtype=float), cost)
                     av, bv = np.where(active, a, 0.0), np.where(active, b, 0.0)
                     total = plan.sum((1, 2))
                     d = np.maximum(av - plan.sum(2), 0.0).sum(1)
                     e = np.maximum(bv - plan.sum(1), 0.0).sum(1)
-                    good = np.isfinite(total) & (total > 0)
+                    good = np.isfinite(total) & (total > 0) & settled
                     rows = ok[good]
                     values = {
                         "T": total, "D_pos": d, "B_pos": e, "d_rel": d / av.sum(1), "b_rel": e / bv.sum(1),

@@ -18,7 +18,14 @@ from fovea.schema import FOV_KEYS
 
 SMALL_FOV = 96
 LEAF = 24
-MAX_DEPTH = 24
+MAX_DEPTH = 50  # nodes there are as fine as double coordinates, so a leaf holds few places
+
+
+def _finite(name: str) -> Column:
+    """The coordinate, or an error if it is not a finite number."""
+    value = F.col(name).cast("double")
+    sound = F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
+    return F.when(sound, value).otherwise(F.raise_error(F.lit(f"{name} must be a finite number"))).alias(name)
 
 
 def _nearest_of(points: Column, x: Column, y: Column, cell_id: Column, k: int, columns: list[str]) -> Column:
@@ -133,14 +140,16 @@ def _descend(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
     )
 
 
-def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on_small_fov: str = "quarantine") -> DataFrame:
+def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on_small_fov: str = "error") -> DataFrame:
     """One row per cell with its sorted neighbour array.
 
-    A FOV with fewer than k + 1 cells is left out (``quarantine``), keeps the
-    neighbours it has (``shrink``), or raises (``error``).
+    A FOV with fewer than k + 1 cells raises (``error``), keeps the neighbours it has
+    (``shrink``), or is left out (``quarantine``). Coordinates must be finite numbers: a
+    null, NaN or infinite one raises, as it has no distance to anything. The size of a FOV
+    decides how its neighbours are found, not which they are.
     """
     columns = columns or []
-    base = cells.select(*FOV_KEYS, "cell_id", "x", "y", *columns)
+    base = cells.select(*FOV_KEYS, "cell_id", _finite("x"), _finite("y"), *columns)
     sizes = base.groupBy(*FOV_KEYS).agg(F.count(F.lit(1)).alias("n_fov"))
     bounds = sizes.agg(F.min("n_fov").alias("least"), F.max("n_fov").alias("most")).first()
     if bounds["most"] is None:
@@ -158,7 +167,7 @@ def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on
     return out
 
 
-def nearest_neighbors(cells: DataFrame, k: int, on_small_fov: str = "quarantine") -> DataFrame:
+def nearest_neighbors(cells: DataFrame, k: int, on_small_fov: str = "error") -> DataFrame:
     """Long form: cell, rank, neighbour and distance."""
     lists = nearest_lists(cells, k, on_small_fov=on_small_fov)
     return lists.select(*FOV_KEYS, "cell_id", F.posexplode("near").alias("p", "n")).select(
@@ -166,15 +175,20 @@ def nearest_neighbors(cells: DataFrame, k: int, on_small_fov: str = "quarantine"
     )
 
 
-def neighborhood_vectors(cells: DataFrame, k: int, subtypes: list[str], on_small_fov: str = "quarantine") -> DataFrame:
-    """Share of each type among the neighbours, one array per cell in the given type order."""
-    lists = nearest_lists(cells, k, ["cell_subtype_label"], on_small_fov)
+def neighborhood_vectors(cells: DataFrame, k: int, subtypes: list[str], on_small_fov: str = "error") -> DataFrame:
+    """Share of each type among the neighbours, one array per cell in the given type order.
+
+    A type outside ``subtypes`` raises: leaving it out would make the shares sum to less than one.
+    """
+    known = F.coalesce(F.col("cell_subtype_label").isin(subtypes), F.lit(False))
+    label = F.when(known, F.col("cell_subtype_label")).otherwise(F.raise_error(F.lit("a cell type is not among the given ones")))
+    lists = nearest_lists(cells.withColumn("cell_subtype_label", label), k, ["cell_subtype_label"], on_small_fov)
     found = F.size("near")
     share = lambda t: F.size(F.filter("near", lambda p: p["cell_subtype_label"] == t)) / F.when(found > 0, found)
     return lists.select(*FOV_KEYS, "cell_id", F.array(*[F.coalesce(share(t), F.lit(0.0)) for t in subtypes]).alias("features"))
 
 
-def neighborhood_mix(cells: DataFrame, k: int, subtypes: list[str], on_small_fov: str = "quarantine") -> DataFrame:
+def neighborhood_mix(cells: DataFrame, k: int, subtypes: list[str], on_small_fov: str = "error") -> DataFrame:
     vectors = neighborhood_vectors(cells, k, subtypes, on_small_fov)
     names = F.array(*[F.lit(t) for t in subtypes])
     pairs = F.arrays_zip(names.alias("subtype"), F.col("features").alias("fraction"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fovea.functions.ranks import hash_positions, ordered_positions
 from fovea.runtime import literal_table
-from fovea.schema import REL_PATIENT
+from fovea.schema import FOV_KEYS, REL_PATIENT
 
 
 def relation_fovs(fovs: DataFrame, sides: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def patient_inputs(fovs: DataFrame, groups: DataFrame, domains: list[str]) -> Da
 
 
 def permuted_labels(fovs: DataFrame, n_permutations: int, master_seed: int) -> DataFrame:
-    """Within-patient shuffles of the domain labels of (patient_id, fov_id, domain_label) rows.
+    """Within-patient shuffles of the domain labels of (FOV key, domain_label) rows.
 
     The FOVs are ordered by a seeded hash and receive the patient's labels in
     name order, so every label keeps its exact count.
@@ -155,11 +155,11 @@ def permuted_labels(fovs: DataFrame, n_permutations: int, master_seed: int) -> D
     )
     spread = (
         fovs.select(
-            "patient_id", "fov_id", F.col("domain_label").alias("original_domain_label"),
+            *FOV_KEYS, F.col("domain_label").alias("original_domain_label"),
             F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("permutation_index"),
         )
         .withColumn("seed", F.substring(seed, 1, 8))
-        .withColumn("draw", F.sha2(F.concat_ws("|", "seed", "fov_id"), 256))
+        .withColumn("draw", F.sha2(F.concat_ws("|", "seed", "timepoint", "fov_id"), 256))
     )
     placed = hash_positions(spread, ["permutation_index", "patient_id"], "draw", "place", "_n")
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("string").alias("label"))
@@ -173,8 +173,7 @@ def permuted_labels(fovs: DataFrame, n_permutations: int, master_seed: int) -> D
 
     return placed.join(counts, "patient_id").select(
         "permutation_index",
-        "patient_id",
-        "fov_id",
+        *FOV_KEYS,
         "original_domain_label",
         F.aggregate("labels", start, step, lambda acc: acc["label"]).alias("permuted_domain_label"),
         "seed",
@@ -187,7 +186,7 @@ def permuted_endpoints(vectors: DataFrame, assignments: DataFrame, source: str,
     Averages are taken state by state on the FOV arrays, so a map task ships one
     row per (permutation, patient).
     """
-    rows = assignments.join(vectors.select("patient_id", "fov_id", "fractions"), ["patient_id", "fov_id"])
+    rows = assignments.join(vectors.select(*FOV_KEYS, "fractions"), FOV_KEYS)
 
     def mean(label: str) -> Column:
         chosen = F.col("permuted_domain_label") == label

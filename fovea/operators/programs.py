@@ -13,7 +13,7 @@ from fovea.runtime import durable, literal_table
 from fovea.schema import ENTRY_KEYS
 
 RESTART = ["relation_id", "rank_patient", "rank_source", "rank_target_open", "restart_id"]
-MAX_PASSES = 12
+MAX_PASSES = 100
 INNER_STEPS = 20
 TOL = 1e-8
 
@@ -33,10 +33,15 @@ def tensor_problems(entries: DataFrame) -> DataFrame:
 
 
 def tensor_rows(entries: DataFrame, n_states: int) -> DataFrame:
-    """One row per patient with its flattened K x (K+1) slice; a state-sized list."""
+    """One row per patient with its flattened K x (K+1) slice; a state-sized list.
+
+    A patient whose slice has missing, repeated or null cells raises.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("row_id", "col_id", "value")))
     rows = tensor_entries(entries).groupBy("relation_id", "patient_id").agg(F.transform(ordered, lambda s: s["value"]).alias("cells"))
-    return rows.where(F.size("cells") == n_states * (n_states + 1))
+    whole = (F.size("cells") == n_states * (n_states + 1)) & ~F.exists("cells", lambda v: v.isNull())
+    refusal = F.raise_error(F.concat(F.lit("incomplete relation of patient "), F.coalesce("patient_id", F.lit("null"))))
+    return rows.withColumn("cells", F.when(whole, F.col("cells")).otherwise(refusal))
 
 
 # --- decomposition -----------------------------------------------------------

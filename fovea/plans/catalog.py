@@ -53,7 +53,7 @@ def query(name: str, survey_id: str, sql: str | None = None, needs: str = "", do
     def register(fn: QueryFn) -> QueryFn:
         body = sql
         if sql is not None and doubles:
-            cols = ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in doubles.split())
+            cols = ", ".join(f'round(CAST("{c}" AS DOUBLE) + 1e-10, 6) + 0.0 AS "{c}"' for c in doubles.split())
             body = f"SELECT * REPLACE ({cols}) FROM ({sql})"
         if name in CATALOG:
             raise ValueError(f"query {name} is registered twice")

@@ -9,11 +9,11 @@ from fovea.plans import base
 from fovea.plans.base import DOMAINS, K, LEFT, SUBTYPES
 from fovea.plans.catalog import query, view
 from fovea.runtime import scratch_path, staged
-from fovea.schema import COORD, REL_PATIENT
+from fovea.schema import FOV_KEYS, COORD, REL_PATIENT
 from fovea.sources import binding, load, sinks
 
 RK = ["relation_id", "patient_id"]
-N_PERM, SEED = 9, 17
+N_PERM, SEED = 199, 17
 TAU = 2.0
 
 # --- pairing ---------------------------------------------------------------
@@ -116,14 +116,14 @@ def _(spark, sf):
 # Labels are shuffled inside the ordered pair BUILDING / MACHINERY, with the
 # domain as the ordered side.
 SRC, TGT = "BUILDING", "MACHINERY"
-view("family_fovs", "SELECT DISTINCT patient_id, fov_id, domain_label FROM family_cells", "family_cells")
+view("family_fovs", "SELECT DISTINCT patient_id, timepoint, fov_id, domain_label FROM family_cells", "family_cells")
 view(
     "perms",
-    f"""SELECT permutation_index, patient_id, fov_id, original_domain_label,
+    f"""SELECT permutation_index, patient_id, timepoint, fov_id, original_domain_label,
           CASE WHEN place <= n_src THEN '{SRC}' ELSE '{TGT}' END AS permuted_domain_label, seed FROM (
-        SELECT *, row_number() OVER (PARTITION BY permutation_index, patient_id ORDER BY sha256(concat_ws('|', seed, fov_id))) AS place,
+        SELECT *, row_number() OVER (PARTITION BY permutation_index, patient_id ORDER BY sha256(concat_ws('|', seed, timepoint, fov_id))) AS place,
           count(*) FILTER (original_domain_label = '{SRC}') OVER (PARTITION BY permutation_index, patient_id) AS n_src FROM
-        (SELECT CAST(p.range AS INT) AS permutation_index, patient_id, fov_id, domain_label AS original_domain_label,
+        (SELECT CAST(p.range AS INT) AS permutation_index, patient_id, timepoint, fov_id, domain_label AS original_domain_label,
            substr(sha256('within_patient_domain_labels|{SEED}|' || patient_id || '|' || p.range), 1, 8) AS seed FROM family_fovs CROSS JOIN range({N_PERM}) p))""",
     "family_fovs",
 )
@@ -135,14 +135,14 @@ def family_cells(spark, sf):
 
 
 def family_vectors(spark, sf):
-    """One composition array per family FOV, keyed by patient, FOV and domain."""
-    comp = compose.state_fractions(family_cells(spark, sf), ["patient_id", "fov_id", "domain_label"], K)
+    """One composition array per family FOV, under its full key and domain."""
+    comp = compose.state_fractions(family_cells(spark, sf), [*FOV_KEYS, "domain_label"], K)
     ordered = F.array_sort(F.collect_list(F.struct("state_id", "fraction")))
-    return comp.groupBy("patient_id", "fov_id", "domain_label").agg(F.transform(ordered, lambda s: s["fraction"]).alias("fractions"))
+    return comp.groupBy(*FOV_KEYS, "domain_label").agg(F.transform(ordered, lambda s: s["fraction"]).alias("fractions"))
 
 
 def permutations(spark, sf, n=N_PERM):
-    rows = family_cells(spark, sf).groupBy("patient_id", "fov_id", "domain_label").agg(F.count(F.lit(1)).alias("_")).drop("_")
+    rows = family_cells(spark, sf).groupBy(*FOV_KEYS, "domain_label").agg(F.count(F.lit(1)).alias("_")).drop("_")
     return pairing.permuted_labels(rows, n, SEED)
 
 
@@ -153,15 +153,15 @@ def _(spark, sf):
 
 view(
     "family_comp",
-    """SELECT f.patient_id, f.domain_label, f.fov_id, s.state_id, count(c.cell_id) / any_value(f.n) AS fraction
-       FROM (SELECT patient_id, domain_label, fov_id, count(*) AS n FROM family_cells GROUP BY 1, 2, 3) f CROSS JOIN states s
-       LEFT JOIN family_cells c USING (patient_id, domain_label, fov_id, state_id) GROUP BY 1, 2, 3, 4""",
+    """SELECT f.patient_id, f.timepoint, f.domain_label, f.fov_id, s.state_id, count(c.cell_id) / any_value(f.n) AS fraction
+       FROM (SELECT patient_id, timepoint, domain_label, fov_id, count(*) AS n FROM family_cells GROUP BY 1, 2, 3, 4) f CROSS JOIN states s
+       LEFT JOIN family_cells c USING (patient_id, timepoint, domain_label, fov_id, state_id) GROUP BY 1, 2, 3, 4, 5""",
     "family_cells", "states",
 )
 view(
     "perm_endpoints",
     f"""SELECT permutation_index, patient_id, state_id, avg(fraction) FILTER (permuted_domain_label = '{SRC}') AS x, avg(fraction) FILTER (permuted_domain_label = '{TGT}') AS y
-       FROM perms JOIN family_comp USING (patient_id, fov_id) GROUP BY 1, 2, 3""",
+       FROM perms JOIN family_comp USING (patient_id, timepoint, fov_id) GROUP BY 1, 2, 3""",
     "perms", "family_comp",
 )
 
@@ -174,7 +174,7 @@ def null_endpoints(spark, sf, n=N_PERM):
 def real_endpoints(spark, sf):
     """Observed endpoints of the family, in the shape of one permutation."""
     vec = family_vectors(spark, sf)
-    labels = vec.select("patient_id", "fov_id", F.lit(-1).alias("permutation_index"), F.col("domain_label").alias("permuted_domain_label"))
+    labels = vec.select(*FOV_KEYS, F.lit(-1).alias("permutation_index"), F.col("domain_label").alias("permuted_domain_label"))
     return staged(spark, "real_endpoints", sf, lambda: pairing.permuted_endpoints(vec, labels, SRC, TGT, K))
 
 

@@ -27,21 +27,51 @@ view(
 )
 
 
-@query("nearest_neighbors", "C1", f"SELECT {_KEYS}, cell_id, rank, neighbor_id, sqrt(dist2) AS distance FROM knn WHERE n_fov > {NN}", "knn", "distance")
+@query("nearest_neighbors", "C1", f"SELECT {_KEYS}, cell_id, rank, neighbor_id, sqrt(dist2) AS distance FROM knn", "knn", "distance")
 def _(spark, sf):
-    return neighbors.nearest_neighbors(base.cells(spark, sf), NN)
+    return neighbors.nearest_neighbors(base.cells(spark, sf), NN, "shrink")
 
 
 view(
     "mix",
-    f"SELECT {_KEYS}, cell_id, t.cell_subtype_label AS subtype, count(*) FILTER (neighbor_type = t.cell_subtype_label) / {NN} AS fraction FROM knn CROSS JOIN subtypes t WHERE n_fov > {NN} GROUP BY ALL",
-    "knn", "subtypes",
+    f"""SELECT {', '.join('c.' + k for k in _KEYS.split(', '))}, c.cell_id, t.cell_subtype_label AS subtype, coalesce(count(*) FILTER (neighbor_type = t.cell_subtype_label) / nullif(count(k.rank), 0), 0) AS fraction
+        FROM cells c CROSS JOIN subtypes t LEFT JOIN knn k USING (cell_id) GROUP BY ALL""",
+    "cells", "knn", "subtypes",
+)
+
+# The same on whole patients: FOVs of many hundred cells, none below k + 1.
+view("wide_cells", "SELECT * REPLACE ('all' AS fov_id) FROM cells", "cells")
+view(
+    "wide_knn",
+    f"""SELECT {_KEYS}, cell_id, CAST(rank AS INT) AS rank, near.id AS neighbor_id, near.t AS neighbor_type, near.d AS dist2 FROM
+        (SELECT {_KEYS}, cell_id, unnest(range(1, {NN + 1})) AS rank, unnest(nearest) AS near FROM
+         (SELECT a.patient_id, a.timepoint, a.fov_id, a.cell_id, min({{'d': (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), 'id': b.cell_id, 't': b.cell_subtype_label}}, {NN}) AS nearest
+          FROM wide_cells a JOIN wide_cells b ON a.patient_id = b.patient_id AND a.timepoint = b.timepoint AND a.cell_id <> b.cell_id GROUP BY 1, 2, 3, 4))""",
+    "wide_cells",
 )
 
 
+def wide_cells(spark, sf):
+    return base.cells(spark, sf).withColumn("fov_id", F.lit("all"))
+
+
+@query("wide_nearest_neighbors", "C1", f"SELECT {_KEYS}, cell_id, rank, neighbor_id, sqrt(dist2) AS distance FROM wide_knn", "wide_knn", "distance")
+def _(spark, sf):
+    return neighbors.nearest_neighbors(wide_cells(spark, sf), NN)
+
+
+@query(
+    "wide_neighborhood_mix", "C2",
+    f"SELECT {_KEYS}, cell_id, t.cell_subtype_label AS subtype, count(*) FILTER (neighbor_type = t.cell_subtype_label) / {NN} AS fraction FROM wide_knn CROSS JOIN subtypes t GROUP BY ALL",
+    "wide_knn subtypes", "fraction",
+)
+def _(spark, sf):
+    return neighbors.neighborhood_mix(wide_cells(spark, sf), NN, SUBTYPES)
+
+
 @query("neighborhood_mix", "C2", "SELECT * FROM mix", "mix", "fraction")
 def _(spark, sf):
-    return neighbors.neighborhood_mix(base.cells(spark, sf), NN, SUBTYPES)
+    return neighbors.neighborhood_mix(base.cells(spark, sf), NN, SUBTYPES, "shrink")
 
 
 @query(
@@ -56,7 +86,7 @@ def _(spark, sf):
 
 @query("fov_mean_features", "C4", f"SELECT {_KEYS}, subtype, avg(fraction) AS fraction FROM mix GROUP BY ALL", "mix", "fraction")
 def _(spark, sf):
-    return neighbors.fov_mean_features(neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES), SUBTYPES)
+    return neighbors.fov_mean_features(neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES, "shrink"), SUBTYPES)
 
 
 G = 3
@@ -101,8 +131,8 @@ def _(spark, sf):
 
 @query("fit_states", "D1")
 def _(spark, sf):
-    vectors = staged(spark, "features", sf, lambda: neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES))
-    centroids, cost = states.fit_states(vectors, K, n_starts=3)
+    vectors = staged(spark, "features", sf, lambda: neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES, "shrink"))
+    centroids, cost = states.fit_states(vectors, K)
     return centroids.select("state_id", F.to_json("features").alias("centroid"), F.lit(cost).alias("training_cost"))
 
 
@@ -198,7 +228,7 @@ def _(spark, sf):
     "mix", "total",
 )
 def _(spark, sf):
-    mix = neighbors.neighborhood_mix(base.cells(spark, sf), NN, SUBTYPES)
+    mix = neighbors.neighborhood_mix(base.cells(spark, sf), NN, SUBTYPES, "shrink")
     flawed = mix.where(~((F.col("subtype") == "SMALL") & (F.col("fraction") == 0.8))).withColumn(
         "fraction", F.when(F.col("fraction") == 1, -F.col("fraction")).otherwise(F.col("fraction"))
     )

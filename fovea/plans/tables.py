@@ -150,7 +150,8 @@ def _(spark, sf):
 
 @query(
     "content_keys", "A9",
-    "SELECT sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))) AS cell_id, count(*) AS n FROM lineitem GROUP BY 1",
+    """SELECT sha256(concat_ws('|', length(k) || ':' || k, length(l) || ':' || l)) || CASE WHEN r > 1 THEN '#' || r ELSE '' END AS cell_id, 1 AS n FROM
+       (SELECT CAST(l_orderkey AS VARCHAR) AS k, CAST(l_linenumber AS VARCHAR) AS l, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS r FROM lineitem)""",
 )
 def _(spark, sf):
     li = binding.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
@@ -285,9 +286,9 @@ view(
 
 @query(
     "family_composition", "E4",
-    """SELECT f.patient_id, f.domain_label, f.fov_id, s.state_id, count(c.cell_id) AS n_cells, count(c.cell_id) / any_value(f.n) AS fraction
-       FROM (SELECT patient_id, domain_label, fov_id, count(*) AS n FROM family_cells GROUP BY 1, 2, 3) f CROSS JOIN states s
-       LEFT JOIN family_cells c USING (patient_id, domain_label, fov_id, state_id) GROUP BY 1, 2, 3, 4""",
+    """SELECT f.patient_id, f.timepoint, f.domain_label, f.fov_id, s.state_id, count(c.cell_id) AS n_cells, count(c.cell_id) / any_value(f.n) AS fraction
+       FROM (SELECT patient_id, timepoint, domain_label, fov_id, count(*) AS n FROM family_cells GROUP BY 1, 2, 3, 4) f CROSS JOIN states s
+       LEFT JOIN family_cells c USING (patient_id, timepoint, domain_label, fov_id, state_id) GROUP BY 1, 2, 3, 4, 5""",
     "family_cells states", "fraction",
 )
 def _(spark, sf):
@@ -298,7 +299,7 @@ def _(spark, sf):
     "family_coverage", "E5",
     """SELECT count(*) FILTER (s > 0 AND t > 0) AS n_eligible_patients, count(*) FILTER (NOT (s > 0 AND t > 0)) AS n_skipped_patients,
        CAST(sum(CASE WHEN s > 0 AND t > 0 THEN s ELSE 0 END) AS BIGINT) AS n_source_fovs, CAST(sum(CASE WHEN s > 0 AND t > 0 THEN t ELSE 0 END) AS BIGINT) AS n_target_fovs
-       FROM (SELECT patient_id, count(DISTINCT CASE WHEN domain_label = 'BUILDING' THEN fov_id END) AS s, count(DISTINCT CASE WHEN domain_label = 'MACHINERY' THEN fov_id END) AS t
+       FROM (SELECT patient_id, count(DISTINCT CASE WHEN domain_label = 'BUILDING' THEN timepoint || '|' || fov_id END) AS s, count(DISTINCT CASE WHEN domain_label = 'MACHINERY' THEN timepoint || '|' || fov_id END) AS t
              FROM cells WHERE domain_label IN ('BUILDING', 'MACHINERY') GROUP BY 1)""",
     "cells",
 )

@@ -133,10 +133,14 @@ def state_axis(n_states: int):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, mapping -0.0 to 0.0, for reports and comparisons."""
+    """Round every double column, mapping -0.0 to 0.0, for reports and comparisons.
+
+    Values are moved off the half-way points first, which sums in another order would
+    otherwise fall on either side of.
+    """
     return df.select(
         *[
-            (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            (F.round(F.col(c) + F.lit(1e-10), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )

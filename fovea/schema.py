@@ -17,5 +17,5 @@ ZERO_BAND = 1e-12
 SIMPLEX_TOL = 1e-8
 SYMMETRY_TOL = 1e-12
 
-# Beyond this many states, compositions are counted in long form.
+# Beyond this many states, compositions are counted in long form; the results are the same.
 WIDE_STATE_LIMIT = 64

@@ -153,7 +153,9 @@ def read_cells_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def with_cell_key(df: DataFrame, natural: str) -> DataFrame:
     """The natural key when every value is present and unique, else a content hash.
 
-    The check is one aggregate over pre-grouped keys; only two counts reach the driver.
+    Equal rows are told apart by their occurrence: the second gets ``#2`` behind the hash, and
+    so on. They are interchangeable, so a row is counted and written out again as often. The
+    check is one aggregate over pre-grouped keys; only two counts reach the driver.
     """
     keyed = df.groupBy(natural).agg(F.count(F.lit(1)).alias("n"))
     row = keyed.agg(
@@ -161,8 +163,13 @@ def with_cell_key(df: DataFrame, natural: str) -> DataFrame:
     ).first()
     if row["top"] == 1 and row["nulls"] == 0:
         return df.withColumn("cell_id", F.col(natural).cast("string"))
-    content = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
-    return df.withColumn("cell_id", F.sha2(content, 256))
+    value = lambda c: F.col(c).cast("string")
+    content = F.concat_ws("|", *[F.coalesce(F.concat(F.length(value(c)), F.lit(":"), value(c)), F.lit("-")) for c in df.columns])
+    each = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).select(
+        *df.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__occurrence")
+    )
+    later = F.when(F.col("__occurrence") > 1, F.concat(F.lit("#"), F.col("__occurrence").cast("string"))).otherwise("")
+    return each.withColumn("cell_id", F.concat(F.sha2(content, 256), later)).drop("__occurrence")
 
 
 # Fixed value: what a position string looks like.

@@ -31,6 +31,24 @@ def test_fov_composition(spark, monkeypatch, limit):
             assert out[(patient, fov, k)] == pytest.approx(value)
 
 
+def test_layouts_of_few_and_many_states_agree(spark, monkeypatch):
+    few = {tuple(r) for r in compose.fov_composition(cell_table(spark, G1), 3).collect()}
+    many = {tuple(r) for r in compose.fov_composition(cell_table(spark, G1), 65).where("state_id < 3").collect()}
+    assert few == many
+    for limit in (64, 1):
+        monkeypatch.setattr(compose, "WIDE_STATE_LIMIT", limit)
+        for state in (3, -1, None):
+            with pytest.raises(Exception, match="state ids"):
+                compose.fov_composition(cell_table(spark, G1 + [("p9", "t0", "f1", "TC", state)]), 3).collect()
+
+
+def test_incomplete_relations_are_refused(spark):
+    rows = entries_of([("p1", [[0.5, 0.2], [0.1, 0.6]], [0.3, 0.3], [0.1, 0.1])])[:-3]
+    entries = spark.createDataFrame(rows, "relation_id string, patient_id string, entry_type string, row_id int, col_id int, value double")
+    with pytest.raises(Exception, match="incomplete"):
+        programs.tensor_rows(entries.where("NOT (entry_type = 'A' AND row_id = 0 AND col_id = 1)"), 2).collect()
+
+
 def test_mixed_domains_are_reported(spark):
     rows = G1 + [("p1", "t0", "f1", "PT", 0)]
     assert [r.fov_id for r in quality.mixed_domain_fovs(cell_table(spark, rows)).collect()] == ["f1"]
@@ -61,10 +79,24 @@ def test_coincident_cells_stay_neighbours(spark):
 
 def test_small_fov_modes(spark):
     cells = spatial(spark, [("f", "c1", 0, 0, "a"), ("f", "c2", 1, 0, "b")])
-    assert neighbors.nearest_neighbors(cells, 2).count() == 0
+    assert neighbors.nearest_neighbors(cells, 2, "quarantine").count() == 0
     assert neighbors.nearest_neighbors(cells, 2, "shrink").count() == 2
     with pytest.raises(ValueError):
-        neighbors.nearest_neighbors(cells, 2, "error")
+        neighbors.nearest_neighbors(cells, 2)
+
+
+def test_coordinates_must_be_numbers(spark):
+    for bad in (None, float("nan"), float("inf")):
+        for n in (20, 200):
+            rows = [("p", "t", "f", f"c{i}", float(i), 0.0, "a") for i in range(n)] + [("p", "t", "f", "bad", bad, 0.0, "a")]
+            cells = spark.createDataFrame(rows, spatial(spark, []).schema)
+            with pytest.raises(Exception, match="finite"):
+                neighbors.nearest_neighbors(cells, 2).collect()
+
+
+def test_types_outside_the_list_are_refused(spark):
+    with pytest.raises(Exception, match="type"):
+        neighbors.neighborhood_vectors(spatial(spark, [("f", f"c{i}", i, 0, "abz"[i]) for i in range(3)]), 2, ["a", "b"]).collect()
 
 
 @pytest.mark.parametrize("kind", ["uniform", "clustered", "one_place"])
@@ -105,13 +137,13 @@ def test_blocks_pair_ordered_fovs(spark):
 
 
 def test_permutations_keep_label_counts(spark):
-    rows = [("p1", f"f{i}", "A" if i < 7 else "B") for i in range(20)] + [("p2", "g1", "A"), ("p2", "g2", "B")]
-    fovs = spark.createDataFrame(rows, "patient_id string, fov_id string, domain_label string")
+    rows = [("p1", f"t{i % 2}", f"f{i // 2}", "A" if i < 7 else "B") for i in range(20)] + [("p2", "t0", "g1", "A"), ("p2", "t0", "g2", "B")]
+    fovs = spark.createDataFrame(rows, "patient_id string, timepoint string, fov_id string, domain_label string")
     out = pairing.permuted_labels(fovs, 12, 3)
     counts = {(r.permutation_index, r.patient_id, r.permuted_domain_label): r["count"] for r in out.groupBy("permutation_index", "patient_id", "permuted_domain_label").count().collect()}
     for i in range(12):
         assert counts[(i, "p1", "A")] == 7 and counts[(i, "p1", "B")] == 13 and counts[(i, "p2", "A")] == 1
-    assert out.where("patient_id = 'p1'").groupBy("fov_id").agg(F.count_distinct("permuted_domain_label").alias("n")).where("n = 2").count() > 10
+    assert out.where("patient_id = 'p1'").groupBy("timepoint", "fov_id").agg(F.count_distinct("permuted_domain_label").alias("n")).where("n = 2").count() > 10
 
 
 def entries_of(rows):

@@ -83,10 +83,12 @@ def test_unbalanced_plan_meets_its_fixed_point():
     a, b = rng.dirichlet(np.ones(4), 6), rng.dirichlet(np.ones(4), 6)
     cost = np.abs(np.subtract.outer(np.arange(4), np.arange(4))) / 2.0
     penalty, eps = 0.4, kernels.MATCH_EPSILONS[-1]
-    plan = kernels.unbalanced_plans(a, b, np.ones_like(a, bool), np.full(6, penalty), cost)
+    plan, settled = kernels.unbalanced_plans(a, b, np.ones_like(a, bool), np.full(6, penalty), cost)
+    assert settled.all()
+    assert not kernels.unbalanced_plans(a, b, np.ones_like(a, bool), np.full(6, penalty), cost, max_iter=1)[1].any()
     slack = (np.log(plan.sum(2)) - np.log(a))[:, :, None] + (np.log(plan.sum(1)) - np.log(b))[:, None, :]
     assert np.allclose(np.log(plan) + cost / eps, -penalty / eps * slack, atol=1e-5)
-    strict = kernels.unbalanced_plans(a, b, np.ones_like(a, bool), np.full(6, 500.0), cost)
+    strict, _ = kernels.unbalanced_plans(a, b, np.ones_like(a, bool), np.full(6, 500.0), cost)
     assert np.allclose(strict.sum(2), a, atol=1e-2) and np.allclose(strict.sum(1), b, atol=1e-2)
 
 
