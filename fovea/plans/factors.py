@@ -248,13 +248,13 @@ def _(spark, sf):
 
 @query("tensor_decomposition", "J2")
 def _(spark, sf):
-    fitted = programs.decompose(rel.gated(spark, sf), [(1, 1, 1), (2, 2, 2), (2, 3, 3)], 3, K)
+    fitted = programs.decompose(rel.gated(spark, sf), [(1, 1, 1), (2, 2, 2), (2, 3, 3)], 10, K)
     return programs.rank_diagnostics(spark, fitted)
 
 
 @query("fitted_program_scores", "J2 J3 J4 J7")
 def _(spark, sf):
-    fitted = programs.decompose(rel.gated(spark, sf), [(2, 2, 3)], 4, K)
+    fitted = programs.decompose(rel.gated(spark, sf), [(2, 2, 3)], 10, K)
     best = programs.best_restarts(programs.rank_diagnostics(spark, fitted)).collect()
     chosen = [(r["relation_id"], r["rank_patient"], r["rank_source"], r["rank_target_open"], r["restart_id"]) for r in best]
     patient, source, target, core = programs.factor_tables(spark, fitted, chosen)
