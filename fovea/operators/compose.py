@@ -55,16 +55,34 @@ def state_fractions(df: DataFrame, keys: list[str], n_states: int) -> DataFrame:
     )
 
 
+def fov_counts(cells: DataFrame, n_states: int) -> DataFrame:
+    """One row per FOV: its key and domain, the array ``n`` of cells per state, and their ``total``.
+
+    Small next to the cells and enough for compositions, vectors, bags, families and support.
+    """
+    counted = _state_counts(cells, [*FOV_KEYS, "domain_label"], n_states)
+    return counted.withColumn("total", _total(F.col("n"), F.lit(0).cast("long")))
+
+
+def composition_of(counts: DataFrame) -> DataFrame:
+    """Fraction of cells in each state per FOV, dense over the states, from :func:`fov_counts`."""
+    keys = [*FOV_KEYS, "domain_label"]
+    return counts.select(*keys, "total", F.posexplode("n").alias("state_id", "n_cells")).select(
+        *keys, "state_id", "n_cells", share(F.col("n_cells"), F.col("total")).alias("fraction")
+    )
+
+
+def vectors_of(counts: DataFrame) -> DataFrame:
+    """The same composition as one array per FOV, for row-wise kernels."""
+    return counts.select(*FOV_KEYS, "domain_label", F.transform("n", lambda v: share(v, F.col("total"))).alias("fractions"))
+
+
 def fov_composition(cells: DataFrame, n_states: int) -> DataFrame:
-    """Fraction of cells in each state per FOV, dense over the states."""
-    return state_fractions(cells, [*FOV_KEYS, "domain_label"], n_states)
+    return composition_of(fov_counts(cells, n_states))
 
 
 def fov_vectors(cells: DataFrame, n_states: int) -> DataFrame:
-    """The same composition as one array per FOV, for row-wise kernels."""
-    keys = [*FOV_KEYS, "domain_label"]
-    counted = _state_counts(cells, keys, n_states).withColumn("total", _total(F.col("n"), F.lit(0).cast("long")))
-    return counted.select(*keys, F.transform("n", lambda v: share(v, F.col("total"))).alias("fractions"))
+    return vectors_of(fov_counts(cells, n_states))
 
 
 def weighted_burden(df: DataFrame, keys: list[str], n_states: int, weight: str | None = None) -> DataFrame:

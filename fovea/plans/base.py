@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fovea.operators import compose
 from fovea.plans.catalog import view
-from fovea.runtime import literal_table
+from fovea.runtime import literal_table, staged
 from fovea.sources import binding, load
 
 K = 5
@@ -21,12 +21,21 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return binding.cells(spark, sf)
 
 
+def fov_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells per state of every FOV, counted in one scan of the cells and staged for all that follows."""
+    return staged(spark, "fov_counts", sf, lambda: compose.fov_counts(cells(spark, sf), K))
+
+
 def composition(spark: SparkSession, sf: str) -> DataFrame:
-    return compose.fov_composition(cells(spark, sf), K)
+    return compose.composition_of(fov_table(spark, sf))
+
+
+def fov_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return compose.vectors_of(fov_table(spark, sf))
 
 
 def fovs(spark: SparkSession, sf: str) -> DataFrame:
-    return load.derive_fovs(cells(spark, sf))
+    return load.fovs_of(fov_table(spark, sf))
 
 
 def relations(spark: SparkSession) -> DataFrame:

@@ -129,21 +129,19 @@ view(
 )
 
 
-def family_cells(spark, sf):
-    c = base.cells(spark, sf)
+def family_fovs(spark, sf):
+    """FOVs of the ordered pair, of patients seen on both sides; read from the staged FOV table."""
+    c = base.fov_table(spark, sf)
     return c.where(F.col("domain_label").isin(SRC, TGT)).join(compose.family_patients(c, SRC, TGT), "patient_id", "left_semi")
 
 
 def family_vectors(spark, sf):
     """One composition array per family FOV, under its full key and domain."""
-    comp = compose.state_fractions(family_cells(spark, sf), [*FOV_KEYS, "domain_label"], K)
-    ordered = F.array_sort(F.collect_list(F.struct("state_id", "fraction")))
-    return comp.groupBy(*FOV_KEYS, "domain_label").agg(F.transform(ordered, lambda s: s["fraction"]).alias("fractions"))
+    return compose.vectors_of(family_fovs(spark, sf))
 
 
 def permutations(spark, sf, n=N_PERM):
-    rows = family_cells(spark, sf).groupBy(*FOV_KEYS, "domain_label").agg(F.count(F.lit(1)).alias("_")).drop("_")
-    return pairing.permuted_labels(rows, n, SEED)
+    return pairing.permuted_labels(family_fovs(spark, sf).select(*FOV_KEYS, "domain_label"), n, SEED)
 
 
 @query("permuted_labels", "F9", "SELECT * FROM perms", "perms")
@@ -318,7 +316,7 @@ view(
 
 
 def endpoints(spark, sf):
-    vectors = lambda: compose.fov_vectors(base.cells(spark, sf), K)
+    vectors = lambda: base.fov_vectors(spark, sf)
     return staged(spark, "endpoints", sf, lambda: estimate.endpoint_vectors(vectors(), base.sides(spark), K))
 
 
@@ -493,7 +491,7 @@ def _(spark, sf):
     "rel_fovs comp gated", "predicted",
 )
 def _(spark, sf):
-    vec = compose.fov_vectors(base.cells(spark, sf), K).join(base.sides(spark).where("side = 'source'"), ["timepoint", "domain_label"])
+    vec = base.fov_vectors(spark, sf).join(base.sides(spark).where("side = 'source'"), ["timepoint", "domain_label"])
     out = estimate.predict_targets(vec.select(*RK, "fov_id", "fractions"), gated(spark, sf), RK, K)
     return out.select(*RK, "fov_id", F.posexplode("predicted").alias("state_id", "predicted"))
 
@@ -547,7 +545,7 @@ view(
 
 
 def block_losses(spark, sf):
-    vec = compose.fov_vectors(base.cells(spark, sf), K).drop("domain_label")
+    vec = base.fov_vectors(spark, sf).drop("domain_label")
     rows = blocks(spark, sf).join(vec, ["patient_id", "timepoint", "fov_id"])
 
     def mean(side):

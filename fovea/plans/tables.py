@@ -33,7 +33,7 @@ def _(spark, sf):
     "cells",
 )
 def _(spark, sf):
-    return base.fovs(spark, sf)
+    return load.derive_fovs(base.cells(spark, sf))
 
 
 def _fov_table(spark, sf):
@@ -252,7 +252,7 @@ _COMP = "SELECT patient_id, timepoint, fov_id, domain_label, state_id, n_cells,
 
 @query("fov_composition", "E1", _COMP, "comp", "fraction")
 def _(spark, sf):
-    return base.composition(spark, sf)
+    return compose.fov_composition(base.cells(spark, sf), K)
 
 
 @query(

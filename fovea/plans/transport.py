@@ -17,7 +17,7 @@ GRID = [0.25, 0.5, 1.0, 2.0, 4.0]
 
 def pairs(spark, sf):
     """FOV pairs of the evidence blocks with their composition arrays."""
-    build = lambda: pairing.block_pairs(rel.blocks(spark, sf), compose.fov_vectors(base.cells(spark, sf), K))
+    build = lambda: pairing.block_pairs(rel.blocks(spark, sf), base.fov_vectors(spark, sf))
     return staged(spark, "pairs", sf, build)
 
 

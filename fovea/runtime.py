@@ -55,11 +55,8 @@ def drop_stages(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and cut its lineage with a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` below the shared folder and cut its lineage."""
+    return write_stage(df, "durable")
 
 
 _stages: dict[tuple, DataFrame] = {}
@@ -70,13 +67,20 @@ def forget_stages() -> None:
     _stages.clear()
 
 
+def _state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the tables in a folder; changes when one of them does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in listed))
+
+
 def staged(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """Result of a pipeline stage, computed once per session and source folder and made durable.
+    """Result of a pipeline stage, computed once per session and state of the source folder.
 
     Patient-level tables are used several times by one query and by many queries;
     without this each use would scan the cells again.
     """
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    key = (spark.sparkContext.applicationId, name, sf_dir, _state_of(spark, sf_dir))
     if key not in _stages:
         _stages[key] = durable(build())
     return _stages[key]

@@ -48,6 +48,13 @@ def derive_fovs(cells: DataFrame) -> DataFrame:
     )
 
 
+def fovs_of(counts: DataFrame) -> DataFrame:
+    """The rows of :func:`derive_fovs` from rows already counted per FOV and domain (``total``)."""
+    return counts.groupBy(*FOV_KEYS).agg(
+        F.min("domain_label").alias("domain_label"), F.count("domain_label").alias("n_domains"), F.sum("total").alias("n_cells")
+    )
+
+
 def _cell_fov_keys(cells: DataFrame) -> DataFrame:
     return cells.select(*FOV_KEYS).distinct()
 
