@@ -90,7 +90,7 @@ LLM_SQL["op1_jump_shards"] = f"""
         lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
     bytes AS (SELECT doc_id, rowid AS rid, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h
               FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
-    digits AS (SELECT doc_id, rid, n, [(instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 FOR i IN range(n)] AS b FROM bytes),
+    digits AS (SELECT doc_id, rid, n, [('0x' || x)::BIGINT FOR x IN regexp_extract_all(h, '..')] AS b FROM bytes),
     crc AS (SELECT doc_id, rid, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32 FROM digits, crc_table),
     walk AS (
         SELECT rid, w.shards, coalesce(doc_id, -1)::HUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM crc, (VALUES ({N_SHARDS}), ({N_SHARDS + 1})) w(shards)
