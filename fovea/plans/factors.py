@@ -252,6 +252,19 @@ def _(spark, sf):
     return programs.rank_diagnostics(spark, fitted)
 
 
+@query(
+    "tensor_checks", "J2",
+    """SELECT relation_id, r.a AS rank_patient, r.a2 AS rank_source, r.b AS rank_target_open, CAST(n.range AS INT) AS restart_id, 'ok' AS status, true AS relative_below_one
+       FROM (SELECT DISTINCT relation_id FROM support WHERE status = 'eligible') CROSS JOIN (VALUES (1, 1, 1), (2, 2, 2)) r(a, a2, b) CROSS JOIN range(10) n""",
+    "support",
+)
+def _(spark, sf):
+    """Every rank and restart of every relation is reported, and none is worse than fitting nothing."""
+    fitted = programs.decompose(rel.gated(spark, sf), [(1, 1, 1), (2, 2, 2)], 10, K)
+    d = programs.rank_diagnostics(spark, fitted)
+    return d.select("relation_id", "rank_patient", "rank_source", "rank_target_open", "restart_id", "status", (F.col("relative_error") < 1).alias("relative_below_one"))
+
+
 @query("fitted_program_scores", "J2 J3 J4 J7")
 def _(spark, sf):
     fitted = programs.decompose(rel.gated(spark, sf), [(2, 2, 3)], 10, K)

@@ -136,6 +136,25 @@ def _(spark, sf):
     return centroids.select("state_id", F.to_json("features").alias("centroid"), F.lit(cost).alias("training_cost"))
 
 
+@query(
+    "fitted_state_checks", "D1 D2",
+    f"SELECT CAST(range AS INT) AS state_id, {len(SUBTYPES)} AS n_features, true AS is_mean_of_its_cells, true AS cost_adds_up FROM range({K})",
+)
+def _(spark, sf):
+    """Each centroid is the mean of the cells nearest to it, and the distances add up to the training cost."""
+    vectors = staged(spark, "features", sf, lambda: neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES, "shrink"))
+    centroids, cost = states.fit_states(vectors, K, n_starts=5)
+    near = states.assign_states(vectors, centroids)
+    means = near.groupBy("state_id").agg(
+        F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(len(SUBTYPES))]).alias("mean"), F.sum("distance2").alias("d2")
+    )
+    total = means.agg(F.sum("d2").alias("total"))
+    off = F.sqrt(states.squared_distance(F.col("features"), F.col("mean")))
+    return centroids.join(means, "state_id").crossJoin(F.broadcast(total)).select(
+        "state_id", F.size("features").alias("n_features"), (off < 0.05).alias("is_mean_of_its_cells"), (F.abs(F.col("total") - cost) <= 1e-6 * cost).alias("cost_adds_up")
+    )
+
+
 # Centroids from the labels of the embeddings: their mean vectors.
 view("label_dim", "SELECT label AS state_id, i, avg(v) AS c FROM (SELECT label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1, 2")
 view("emb_dim", "SELECT CAST(vec_id AS VARCHAR) AS cell_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings")

@@ -9,7 +9,7 @@ from fovea.plans import base
 from fovea.plans import relations as rel
 from fovea.plans.base import K
 from fovea.plans.catalog import query, view
-from fovea.runtime import staged
+from fovea.runtime import literal_table, staged
 
 RK = ["relation_id", "patient_id"]
 GRID = [0.25, 0.5, 1.0, 2.0, 4.0]
@@ -98,3 +98,69 @@ def _(spark, sf):
 def _(spark, sf):
     entries, _ = kernels.fit_relations(pairs(spark, sf), cost(spark, sf), K)
     return entries
+
+
+# --- checks of fitted results ---------------------------------------------------
+# The fits themselves are outside SQL. What must hold for them is not: who is fitted,
+# that rows are distributions, that a reported figure follows from the reported values.
+
+
+@query(
+    "fitted_relation_checks", "G17",
+    f"""SELECT relation_id, patient_id, {K * (K + 2)} AS n_entries, true AS within_bounds, true AS rows_sum_to_one, true AS closer_than_start
+        FROM support WHERE status = 'eligible'""",
+    "support",
+)
+def _(spark, sf):
+    """Every eligible patient has a full relation of row distributions that predicts its blocks better than the start does."""
+    build = lambda: kernels.fit_relations(pairs(spark, sf), cost(spark, sf), K)[0]
+    entries = staged(spark, "fitted", sf, build)
+    row = F.when(F.col("entry_type") != "e", F.col("row_id"))
+    sums = entries.where("entry_type <> 'e'").groupBy(*RK, row.alias("row_id")).agg(F.sum("value").alias("s"))
+    whole = sums.groupBy(*RK).agg(F.bool_and(F.abs(F.col("s") - 1) < 1e-8).alias("rows_sum_to_one"))
+    facts = entries.groupBy(*RK).agg(
+        F.count(F.lit(1)).cast("int").alias("n_entries"), F.bool_and(F.col("value").between(0, 1 + 1e-9)).alias("within_bounds")
+    )
+    start, opened = kernels.start_relation(K)
+    flat = lambda kind, i, j, v: (kind, i, j, float(v))
+    first = [flat("A" if j < K else "d", i, j, start[i, j]) for i in range(K) for j in range(K + 1)] + [flat("e", K, j, opened[j]) for j in range(K)]
+    begun = entries.select(*RK).distinct().crossJoin(F.broadcast(literal_table(spark, ["entry_type", "row_id", "col_id", "value"], first)))
+
+    def gap(relation, name):
+        rows = pairs(spark, sf).select(*RK, "pair_id", F.col("a").alias("fractions"), "b")
+        predicted = estimate.predict_targets(rows.select(*RK, "pair_id", "fractions"), relation, RK, K).select("pair_id", "predicted")
+        off = F.aggregate(F.zip_with("predicted", "b", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
+        return rows.join(predicted, "pair_id").groupBy("relation_id").agg(F.avg(off).alias(name))
+
+    better = gap(entries, "now").join(gap(begun, "then"), "relation_id").select("relation_id", (F.col("now") <= F.col("then") + 1e-6).alias("closer_than_start"))
+    return facts.join(whole, RK).join(better, "relation_id")
+
+
+@query(
+    "match_checks", "G14",
+    """SELECT relation_id, patient_id, subbag_index, source_fov_id, target_fov_id, true AS known_status, true AS mass_adds_up FROM block_pairs""", "block_pairs",
+)
+def _(spark, sf):
+    """Every pair comes back, and its matched and unmatched mass make up the endpoint mass."""
+    rows = pairs(spark, sf).select(*RK, "subbag_index", "source_fov_id", "target_fov_id", "a", "b").withColumn("penalty", F.lit(1.0))
+    out = kernels.match_pairs(rows, cost(spark, sf), keep_plan=False)
+    ok = F.col("status") == "ok"
+    # unmatched mass is cut at zero, so matched plus unmatched is at least one side's mass of one
+    adds = (F.col("T") + F.col("D_pos") >= 1 - 1e-6) & (F.col("T") + F.col("B_pos") >= 1 - 1e-6) & F.col("M").between(0, 1e6)
+    return out.select(
+        *RK, "subbag_index", "source_fov_id", "target_fov_id",
+        (ok | F.col("status").startswith("ERR_UOT")).alias("known_status"), F.when(ok, adds).otherwise(True).alias("mass_adds_up"),
+    )
+
+
+@query(
+    "divergence_checks", "G13",
+    "SELECT relation_id, patient_id, subbag_index, source_fov_id, target_fov_id, true AS sound, true AS zero_when_equal FROM block_pairs", "block_pairs",
+)
+def _(spark, sf):
+    """Every pair has a finite divergence of at least zero, and of zero between equal compositions."""
+    keys = [*RK, "subbag_index", "source_fov_id", "target_fov_id"]
+    rows = pairs(spark, sf).select(*keys, "a", "b")
+    out = kernels.pair_divergences(rows, cost(spark, sf))
+    same = kernels.pair_divergences(rows.select(*keys, "a", F.col("a").alias("b")), cost(spark, sf)).withColumnRenamed("cost", "own")
+    return out.join(same, keys).select(*keys, F.coalesce(F.col("cost") >= 0, F.lit(False)).alias("sound"), F.coalesce(F.col("own") < 1e-9, F.lit(False)).alias("zero_when_equal"))
