@@ -12,7 +12,6 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from fovea.llm.tokens import BYTE_BPE, ByteBpe, Generations, byte_bpe
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pre-tokens, or decoded pieces, that go through the digests at once.
-STEP = 4096
+#: Pre-tokens whose ids a worker remembers, per generation.
+CACHE_ENTRIES = 400_000
 #: Pair verdicts a worker remembers.
 PAIR_ENTRIES = 1_000_000
 
@@ -211,7 +210,7 @@ class StreamCodec:
 
     def __init__(self, vocabulary: ByteBpe):
         self.vocabulary, self.table = vocabulary, merge_table_of(vocabulary)
-        self.seen = Generations(self._entry)
+        self.seen = Generations(self._entry, CACHE_ENTRIES)
 
     def encode_pretoken(self, pretoken: str) -> list[int]:
         if pretoken in self.vocabulary.specials:
@@ -230,8 +229,9 @@ class StreamCodec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the text decoded from them."""
         n, ids_hash, text_hash, machine, comma = 0, hashlib.sha256(), hashlib.sha256(), TextMachine(self.vocabulary), ""
-        pretokens = self.vocabulary.pretokens(text)
-        while step := list(islice(pretokens, STEP)):
+        for step in self.vocabulary.pretoken_parts(text):
+            if not step:
+                continue
             counts, decimals, pieces = zip(*map(self.seen.__getitem__, step))
             n += sum(counts)
             ids_hash.update((comma + ",".join(decimals)).encode())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from array import array
 
 import public_tokenizers
@@ -19,6 +20,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 #: Entries of a per-worker cache; texts repeat few strings often and many once.
 CACHE_ENTRIES = 200_000
+#: Characters per slice of a text.
+SLICE_CHARS = 1 << 15
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Longer strings are not cached.
 CACHE_CHARS = 64
 
@@ -33,6 +37,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def slices(text: str, size: int = SLICE_CHARS):
+    """The text in slices cut before single spaces between two other characters.
+
+    Such a space always starts a pre-token, so the slices split as the whole does. A stretch
+    without one stays whole.
+    """
+    start = 0
+    while len(text) - start > size:
+        cut = _BORDER.search(text, start + size)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 class _Known(dict):
     """Per character: does our pattern treat it as the library's does?
 
@@ -90,15 +110,20 @@ class ByteBpe:
 
     def pretokens(self, text: str):
         """Pre-tokens of the whole text in order; a special string is one of them."""
+        for part in self.pretoken_parts(text):
+            yield from part
+
+    def pretoken_parts(self, text: str):
+        """The pre-tokens of the whole text in lists of bounded length, in order."""
         for segment in self.segments(text):
             if segment in self.specials:
-                yield segment
-            elif self.is_plain(segment):
-                for match in self.pattern.finditer(segment):
-                    yield match[0]
-            else:
-                for _, (lo, hi) in self.library.pre_tokenizer.pre_tokenize_str(segment):
-                    yield segment[lo:hi]
+                yield [segment]
+                continue
+            for part in slices(segment):
+                if self.is_plain(part):
+                    yield self.pattern.findall(part)
+                else:
+                    yield [part[lo:hi] for _, (lo, hi) in self.library.pre_tokenizer.pre_tokenize_str(part)]
 
     def pretoken_list(self, text: str) -> list[str]:
         if self.is_plain(text) and not (self.special_pattern and self.special_pattern.search(text)):

@@ -85,6 +85,17 @@ def test_word_ids_equal_the_library(library):
         assert np.frombuffer(encode(text), "<u4").tolist() == e.ids, text[:50]
 
 
+def test_slices_split_as_the_whole_text():
+    import random
+
+    v, rng = tokens.byte_bpe(), random.Random(11)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "é", "1", " ", " ", "  ", "\n", "'s", "!", "\x85", "\u00a0"]) for _ in range(60))
+        parts = list(tokens.slices(text, 5))
+        assert "".join(parts) == text
+        assert [p for part in parts for p in v.pattern.findall(part)] == v.pattern.findall(text)
+
+
 def check_packing(pieces, ids, capacity):
     by_row = defaultdict(list)
     for r in pieces:
