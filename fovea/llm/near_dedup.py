@@ -30,13 +30,12 @@ SIMILARITY = 0.8
 #: Registers are cut into BANDS bands of ROWS; a pair at the threshold is missed with (1 - 0.8^4)^24, about 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Pairs of a bucket are verified if their signatures agree in this share of registers at least
-#: (five standard errors below the threshold).
-LEAST_AGREEMENT = 0.6
 #: Members of a bucket that are compared against as many others in one task.
 TILE = 1024
+#: Bits of a shingle hash that bags carry; two different shingles of a pair meet with about 1e-9.
+BAG_BITS = 48
 
-_SKETCH = "uid long, doc_id long, class string, weight long, bands array<long>, signature binary"
+_SKETCH = "uid long, doc_id long, class string, bands array<long>"
 
 
 def shingle_counts(texts: list[bytes], width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +117,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def _sketches(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Staged class, band keys and signature of every row; rows of a class have equal shingle counts."""
+    """Staged class and band keys of every row; rows of a class have equal shingle counts."""
 
     def run(batches):
         for batch in batches:
@@ -129,10 +128,9 @@ def _sketches(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 signature = bag_signatures(doc, shingle, count, n)
                 ends = np.searchsorted(doc, np.arange(n + 1))
                 uids = part.column(0).to_pylist()
-                classes, weights = [], []
+                classes = []
                 for d in range(n):
                     own = slice(ends[d], ends[d + 1])
-                    weights.append(int(count[own].sum()))
                     content = shingle[own].tobytes() + count[own].astype(np.int64).tobytes()
                     # no words: nothing to compare, a class of its own
                     classes.append(hashlib.blake2b(content, digest_size=16).hexdigest() if content else f"row {uids[d]}")
@@ -146,11 +144,9 @@ def _sketches(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         part.column(0),
                         part.column(1).cast(pa.int64()),
                         pa.array(classes, pa.string()),
-                        pa.array(weights, pa.int64()),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array([s.tobytes() for s in signature], pa.binary()),
                     ],
-                    names=["uid", "doc_id", "class", "weight", "bands", "signature"],
+                    names=["uid", "doc_id", "class", "bands"],
                 )
 
     return write_stage(rows.select("__uid", id_col, text_col).mapInArrow(run, _SKETCH), "sketches")
@@ -164,6 +160,7 @@ def _shingles_of(rows: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
             for lo, hi in block_spans(text_sizes(batch.column(1)), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 doc, shingle, count = shingle_counts(utf8(part.column(1)))
+                shingle = shingle >> np.uint64(64 - BAG_BITS)
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1))
                 spans = [slice(a, b) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -186,10 +183,8 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / max(1, int(a[1].sum()) + int(b[1].sum()) - common)
 
 
-def _verified(rows: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+def _verified(bags: DataFrame, pairs: DataFrame) -> DataFrame:
     """Staged pairs (a, b) whose shingle counts overlap enough."""
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    bags = _shingles_of(rows, text_col, wanted)
     left = bags.select(F.col("uid").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = bags.select(F.col("uid").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
 
@@ -235,38 +230,64 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return each.join(full, "band")
 
 
-def _across(buckets: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (larger uid, smaller uid) of one bucket still in different components whose signatures agree enough.
+def _across(buckets: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame:
+    """Staged links (a, b) between members of one bucket that are still in different components.
 
     Only buckets with several components are left here. A bucket is cut into tiles of at most
-    TILE members; each pair of tiles is one group, so that no task holds a bucket and none of
-    its pairs is left out. Pairs are enumerated inside the task and only agreeing ones leave it.
+    about TILE members; each pair of tiles is one group, so that no task holds a bucket and none
+    of its pairs is left out. The overlap of one member with a whole tile is one vector sum;
+    pairs stay inside the task and only links leave it. A link joins its two components for
+    the rest of the task, which are then not compared any more.
     """
     member = buckets.select("band", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     mixed = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     mixed = mixed.withColumn("tiles", F.ceil(F.col("n") / F.lit(TILE)).cast("int")).select("band", "tiles")
-    open_ = member.join(mixed, "band").join(reps.select("uid", "signature"), "uid")
+    open_ = member.join(mixed, "band").join(bags, "uid")
     tile = F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = open_.withColumn("tile", tile).withColumn("other", other)
-    dealt = dealt.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "uid", "root", "signature")
+    dealt = dealt.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "uid", "root", "shingles", "counts")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        tiles = table.column("tile").to_numpy()
-        uid, root = table.column("uid").to_numpy(), table.column("root").to_numpy()
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(uid), REGISTERS)
-        rows, columns = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
-        small, large = [], []
-        for r in rows:
-            against = columns[(root[columns] != root[r]) & ((uid[columns] > uid[r]) | (i != j))]
-            if len(against):
-                near = against[(marks[against] == marks[r]).mean(axis=1) >= LEAST_AGREEMENT]
-                small += np.minimum(uid[near], uid[r]).tolist()
-                large += np.maximum(uid[near], uid[r]).tolist()
-        return pa.table({"a": pa.array(large, pa.int64()), "b": pa.array(small, pa.int64())})
-
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        tiles, uid, root = (table.column(c).to_numpy() for c in ("tile", "uid", "root"))
+        bag = [unpack_numbers(b, True) for b in table.column("shingles").to_pylist()]
+        count = [unpack_numbers(c).astype(np.int64) for c in table.column("counts").to_pylist()]
+        pairs = linked_pairs(bag, count, np.flatnonzero(tiles == i), np.flatnonzero(tiles == j), root.copy())
+        a = [max(uid[x], uid[y]) for x, y in pairs]
+        b = [min(uid[x], uid[y]) for x, y in pairs]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return write_stage(dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+
+
+def linked_pairs(bag: list, count: list, rows: np.ndarray, columns: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of similar bags that link components; ``root`` is changed as they join.
+
+    No two components are linked twice, and every two that any pair links end up joined.
+    """
+    sizes = np.array([len(x) for x in bag], np.int64)
+    weight = np.array([c.sum() for c in count], np.int64)
+    number = np.unique(np.concatenate(bag), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    own = [number[e - n : e] for e, n in zip(ends, sizes)]
+    have = np.zeros(int(number.max()) + 1, np.int64)
+    flat = np.concatenate([own[c] for c in columns])
+    flat_count = np.concatenate([count[c] for c in columns])
+    starts = np.cumsum(sizes[columns]) - sizes[columns]
+    out = []
+    for r in rows:
+        if (root[columns] == root[r]).all():
+            continue
+        have[own[r]] = count[r]
+        common = np.add.reduceat(np.minimum(flat_count, have[flat]), starts)
+        have[own[r]] = 0
+        alike = common >= SIMILARITY * (weight[r] + weight[columns] - common) - 1e-9
+        for c in columns[alike]:
+            if root[c] != root[r]:
+                out.append((int(r), int(c)))
+                root[root == root[c]] = root[r]
+    return out
 
 
 def _groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -274,17 +295,18 @@ def _groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sketches = _sketches(rows, id_col, text_col)
     classes = sketches.groupBy("class").agg(F.min("uid").alias("rep"))
     reps = write_stage(
-        sketches.where(F.col("bands").isNotNull()).join(classes.withColumnRenamed("class", "__c"), (F.col("class") == F.col("__c")) & (F.col("uid") == F.col("rep"))).select("uid", "bands", "signature"),
+        sketches.where(F.col("bands").isNotNull()).join(classes.withColumnRenamed("class", "__c"), (F.col("class") == F.col("__c")) & (F.col("uid") == F.col("rep"))).select("uid", "bands"),
         "reps",
     )
     buckets = write_stage(_buckets(reps), "buckets")
+    bags = _shingles_of(rows, text_col, buckets.select("uid").distinct())
     # First each member against the smallest of its bucket, then what is still apart in a bucket.
-    star = write_stage(buckets.where("uid != pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    links = _verified(rows, text_col, star)
+    star = buckets.where("uid != pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = _verified(bags, star)
     roots = components(links)
-    rest = write_stage(_across(buckets, reps, roots).join(star, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        roots = components(links.unionByName(_verified(rows, text_col, rest)))
+    more = _across(buckets, bags, roots)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     named = sketches.select("uid", "doc_id", "class").join(classes, "class")
     return named.join(roots.select(F.col("uid").alias("rep"), "root"), "rep", "left").select("uid", "doc_id", "class", "rep", F.coalesce("root", "rep").alias("root"))
 

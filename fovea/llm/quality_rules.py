@@ -28,14 +28,19 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Band half-width in spreads of the group's inner half (as standard deviations of a normal law).
+#: How far below the middle a band starts, in spreads of the group's inner half (as standard deviations of a normal law).
 BAND_SPREADS = 5.0
+#: Characters per token above this multiple of the middle are outside the band too. Costing few tokens is no
+#: fault in itself, plain words of a language the vocabulary knows well do; only runs of filler go beyond.
+BAND_TOP = 2.5
 #: A spread counts as this share of the middle at least, so that small or uniform groups keep a band.
 MIN_SPREAD = 0.02
 #: Token entropy below this share of the middle for the language and length is rejected.
 ENTROPY_SHARE = 0.75
 #: Byte-fallback shares up to this are never rejected.
 FALLBACK_FREE = 0.2
+#: Texts of fewer tokens get wider bands.
+FULL_TOKENS = 512
 #: Width of the classes in which metrics are counted.
 CLASS_WIDTH = 0.01
 
@@ -210,12 +215,14 @@ def fertility_rules(
 
     def band(metric):
         low, mid, high = (F.col(f"__{metric}_{i}") for i in range(3))
-        return mid, BAND_SPREADS * F.greatest((high - low) / 1.349, MIN_SPREAD * mid)
+        # means over few tokens scatter more, with the root of their number
+        short = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(FULL_TOKENS)) / F.pow(F.lit(2.0), F.col("size_class"))))
+        return mid, BAND_SPREADS * short * F.greatest((high - low) / 1.349, MIN_SPREAD * mid)
 
     rejected = F.lit(False)
     for metric in METRICS[:2]:
         mid, width = band(metric)
-        rejected = rejected | (F.abs(F.col(metric) - mid - CLASS_WIDTH / 2) > width)
+        rejected = rejected | (F.col(metric) < mid - width) | (F.col(metric) > BAND_TOP * (mid + CLASS_WIDTH))
     mid, width = band("fallback_share")
     rejected = rejected | (F.col("fallback_share") > F.greatest(F.lit(FALLBACK_FREE), mid + width))
     rejected = rejected | (F.col("token_entropy") < ENTROPY_SHARE * F.col("__token_entropy_0"))

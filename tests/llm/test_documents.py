@@ -293,14 +293,42 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_linked_pairs_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    bags, counts = [], []
+    for g in range(5):
+        base = np.sort(rng.choice(10_000, 60, replace=False)).astype(np.uint64)
+        for _ in range(8):
+            keep = rng.random(60) > 0.12
+            bags.append(base[keep])
+            counts.append(rng.integers(1, 3, keep.sum()))
+    n = len(bags)
+    similar = lambda a, b: near_dedup.overlap((bags[a], counts[a]), (bags[b], counts[b])) >= near_dedup.SIMILARITY
+
+    def joined(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            root = [root[a] if x == root[b] else x for x in root]
+        return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+    got = near_dedup.linked_pairs(bags, counts, np.arange(n), np.arange(n), np.arange(n))
+    assert all(similar(a, b) for a, b in got)
+    assert joined(got) == joined((a, b) for a in range(n) for b in range(a) if similar(a, b))
+
+
 def test_pairs_across_components_are_all_found(spark, monkeypatch):
+    from fovea.llm.words import pack_numbers
+
     monkeypatch.setattr(near_dedup, "TILE", 2)
-    mark = np.arange(near_dedup.REGISTERS, dtype=np.uint32)
+    rows = [[1, 2, 3, 4, 5, 6, 7, 8, 9, 10 + k // 3] for k in range(7)]
     members = spark.createDataFrame([(1, k, 1) for k in range(7)], "band long, uid long, pivot long")
-    reps = spark.createDataFrame([(k, bytearray(mark.tobytes())) for k in range(7)], "uid long, signature binary")
+    packed = [(k, bytearray(pack_numbers(np.array(r, np.uint64), True)), bytearray(pack_numbers(np.ones(10, np.uint64)))) for k, r in enumerate(rows)]
+    bags = spark.createDataFrame(packed, "uid long, shingles binary, counts binary")
     roots = spark.createDataFrame([(1, 0), (0, 0)], "uid long, root long")
-    got = {(r.a, r.b) for r in near_dedup._across(members, reps, roots).collect()}
-    assert got == {(b, a) for b in range(7) for a in range(b)} - {(1, 0)}
+    links = near_dedup._across(members, bags, roots)
+    assert links.where("a = 1 AND b = 0").isEmpty()
+    joined = near_dedup.components(links.unionByName(spark.createDataFrame([(1, 0)], "a long, b long")))
+    assert {r.uid: r.root for r in joined.collect()} == {k: 0 for k in range(7)}
 
 
 def test_components(spark):
