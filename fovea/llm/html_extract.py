@@ -68,10 +68,14 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _CLASS_WORD = re.compile(r"[^a-z0-9]+")
 
-_PAGE = (
-    "uid long, page_id long, url string, host string, body long, scoped boolean,"
-    " texts array<string>, paths array<array<long>>, nodes array<long>"
-)
+#: Templates (host, subtree) up to this number are broadcast, at most about 20 MB; more are joined by shuffle.
+BROADCAST_TEMPLATES = 200_000
+
+_PAGE = "uid long, page_id long, url string, host long, body long, scoped boolean, texts array<string>, paths array<array<long>>"
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 class _Node:
@@ -173,7 +177,7 @@ def _measure(root: _Node) -> None:
                     seen.append(words)
         if node.tag == "a":
             node.links, node.linked = node.links + 1, node.chars
-        node.hash = xxhash.xxh3_64_intdigest("\x1f".join(seen)) - (1 << 63)
+        node.hash = _hash("\x1f".join(seen))
 
 
 def _is_menu(node: _Node) -> bool:
@@ -181,8 +185,8 @@ def _is_menu(node: _Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "p", "table") and node.links > 1 and node.linked >= 0.8 * node.chars
 
 
-def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]], list[int]]:
-    """(has a marked article, block texts, hashes of the subtrees around each block, hashes of all subtrees)."""
+def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]]]:
+    """(has a marked article, block texts, hashes of the subtrees around each block)."""
     root = parse(source)
     _measure(root)
     blocks: list[tuple[str, _Node, bool, bool]] = []
@@ -227,7 +231,7 @@ def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]], list[int
         scoped, blocks = True, [b for b in blocks if b[3]]
     else:
         scoped = False
-    texts, paths, nodes = [], [], {}
+    texts, paths = [], []
     for text, node, *_ in blocks:
         path, up, menu = [], node, False
         while up is not None and up.tag not in ("#page", "html", "body"):
@@ -239,8 +243,7 @@ def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]], list[int
         if not menu:
             texts.append(text)
             paths.append(path)
-            nodes.update(dict.fromkeys(path))
-    return scoped, texts, paths, list(nodes)
+    return scoped, texts, paths
 
 
 def host_of(url: str | None) -> str | None:
@@ -254,15 +257,15 @@ def host_of(url: str | None) -> str | None:
 def _pages(pages: DataFrame) -> DataFrame:
     def run(batches):
         names = [c.split()[0] for c in _PAGE.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for lo in range(0, batch.num_rows, 512):
                 out = []
                 for uid, page_id, url, source in zip(*(c[lo : lo + 512] for c in columns)):
-                    scoped, texts, paths, nodes = page_blocks(source or "")
-                    body = xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
-                    out.append((uid, page_id, url, host_of(url), body, scoped, texts, paths, nodes))
+                    scoped, texts, paths = page_blocks(source or "")
+                    host = host_of(url)
+                    out.append((uid, page_id, url, None if host is None else _hash(host), _hash("\n".join(texts)), scoped, texts, paths))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return write_stage(pages.mapInArrow(run, _PAGE), "pages")
@@ -271,7 +274,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 def _templates(pages: DataFrame) -> DataFrame:
     """(host, node, strong) of the subtrees that recur; copies of a page count as one page."""
     bodies = pages.where("host IS NOT NULL").select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    each = pages.where("host IS NOT NULL").select("host", "body", F.explode("nodes").alias("node")).distinct()
+    each = pages.where("host IS NOT NULL").select("host", "body", F.explode(F.array_distinct(F.flatten("paths"))).alias("node")).distinct()
     counts = each.groupBy("host", "node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     share = F.col("n") / F.col("of")
     return counts.join(bodies, "host").where(share >= MIN_SHARE).select("host", "node", ((F.col("n") >= ARTICLE_PAGES) & (share >= ARTICLE_SHARE)).alias("strong"))
@@ -293,16 +296,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(html_col).alias("html"),
     )
     stage = _pages(rows)
-    template = _templates(stage)
-    marked = (
-        stage.where("host IS NOT NULL")
-        .select("uid", "host", "scoped", F.explode("nodes").alias("node"))
-        .join(template, ["host", "node"])
-        .where(~F.col("scoped") | F.col("strong"))
-        .groupBy("uid")
-        .agg(F.collect_set("node").alias("template"))  # at most the subtrees of one page
-    )
+    template = write_stage(_templates(stage), "templates")
+    if template.count() <= BROADCAST_TEMPLATES:
+        # of checked size: each page meets the templates of its host without moving
+        mine = template.groupBy("host").agg(
+            F.collect_set("node").alias("weak"), F.collect_set(F.when(F.col("strong"), F.col("node"))).alias("strong")
+        )
+        out = stage.join(F.broadcast(mine), "host", "left").withColumn("template", F.when(F.col("scoped"), F.col("strong")).otherwise(F.col("weak")))
+    else:
+        marked = (
+            stage.where("host IS NOT NULL")
+            .select("uid", "host", "scoped", F.explode(F.array_distinct(F.flatten("paths"))).alias("node"))
+            .join(template, ["host", "node"])
+            .where(~F.col("scoped") | F.col("strong"))
+            .groupBy("uid")
+            .agg(F.collect_set("node").alias("template"))  # at most the subtrees of one page
+        )
+        out = stage.join(marked, "uid", "left")
     kept = F.filter(F.arrays_zip("texts", "paths"), lambda b: ~F.arrays_overlap(b["paths"], F.col("template")))
-    text = F.when(F.col("template").isNull(), F.concat_ws("\n", "texts")).otherwise(F.concat_ws("\n", F.transform(kept, lambda b: b["texts"])))
-    out = stage.select("uid", "page_id", "url", "texts", "paths").join(marked, "uid", "left").select("page_id", "url", text.alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    text = F.when(F.coalesce(F.size("template") < 1, F.lit(True)), F.concat_ws("\n", "texts"))
+    text = text.otherwise(F.concat_ws("\n", F.transform(kept, lambda b: b["texts"])))
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -39,7 +39,9 @@ def page(k, body, extra=""):
     return f"<html><body><div>Site title</div>{extra}<div><p>{body}</p></div><div><p>All rights kept</p></div></body></html>"
 
 
-def test_template_is_what_recurs_on_a_host(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_template_is_what_recurs_on_a_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_extract, "BROADCAST_TEMPLATES", broadcast)
     rows = [(k, f"https://A.example.org/{k}", page(k, f"own text {k}")) for k in range(8)]
     rows += [(k, f"https://b.example.org/{k}", page(k, "the same article", "<p>once</p>")) for k in range(20, 30)]  # copies of one page
     rows += [(40, None, page(1, "no host")), (41, "https://c.example.org/", None), (42, "::bad[", ""), (None, "https://c.example.org/x", "<p>q</p>"), (40, None, page(1, "no host"))]
