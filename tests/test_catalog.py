@@ -14,6 +14,8 @@ QUICK = [
     "patient_calibration", "recovery_errors", "mean_intervals", "patient_bootstrap", "nearest_neighbors", "assign_states", "program_table",
     "block_pairs", "profile_rank_sums", "weighted_quantiles", "closest_candidates",
 ]
+# Too few patients at this scale factor for any test.
+EMPTY_HERE = {"family_supplement", "source_supplement", "target_supplement"}
 NAMES = sorted(entry.queries()) if os.environ.get("FOVEA_ALL_QUERIES") else QUICK
 
 
@@ -26,6 +28,8 @@ def duck():
 def test_query_equals_reference_sql(spark, duck, name):
     message, _ = check_queries.compare(name, spark, duck, SF)
     assert message.startswith(("ok", "rows-only")), message
+    if message.startswith("rows-only") and name not in EMPTY_HERE:
+        assert message != "rows-only 0", f"{name} has no rows to look at"
 
 
 def test_entry_has_rows(spark):
