@@ -47,11 +47,18 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete every folder of ``write_stage``; frames that still read them stop working."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written_stages() -> list[str]:
+    """Folders of ``write_stage`` that were not dropped, oldest first."""
+    return list(_written)
+
+
+def drop_stages(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete these folders of ``write_stage``, or all; frames that still read them stop working."""
+    for folder in written_stages() if folders is None else folders:
+        if folder in _written:
+            _written.remove(folder)
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
