@@ -7,12 +7,16 @@ leave the text), best-fit packing (the last stage, one row per piece).
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fovea.llm import exact_dedup, near_dedup, packing, quality_classifier, substring_dedup
 from fovea.llm.queries import GOOD_SCORE, SEQUENCE_TOKENS, table
-from fovea.runtime import write_stage
+from fovea.runtime import drop_stages, write_stage, written_stages
+
+_scratch: list[str] = []  # folders the stage called last works in
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +47,30 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, SEQUENCE_TOKENS)
 
 
+def _cleaning(stage):
+    """The stage, after deleting what the stage before it worked in.
+
+    By then its result has been written and ``docs`` reads that, so a run never keeps the
+    scratch tables of more than one stage.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stages(spark, _scratch)
+        before = set(written_stages())
+        out = stage(spark, docs, sf_dir)
+        _scratch[:] = [folder for folder in written_stages() if folder not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("exact dedup", exact),
-    ("MinHash near-dedup", near),
-    ("substring dedup", substrings),
-    ("best-fit packing", packed),
+    ("quality classifier", _cleaning(quality)),
+    ("exact dedup", _cleaning(exact)),
+    ("MinHash near-dedup", _cleaning(near)),
+    ("substring dedup", _cleaning(substrings)),
+    ("best-fit packing", _cleaning(packed)),
 ]
 
 #: Compression sizes, signatures and tokens are outside SQL; tests/llm holds run() against brute force.
@@ -57,7 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; what each returns is written as Parquet and reread as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = write_stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop_stages(spark, read)
+        read = written_stages()[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
