@@ -172,7 +172,8 @@ def _shingles_of(rows: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
                     names=["uid", "shingles", "counts"],
                 )
 
-    text = rows.select("__uid", text_col).join(wanted.withColumnRenamed("uid", "__uid"), "__uid", "left_semi")
+    # what is wanted grows with the corpus: never broadcast it, so that every size runs the same plan
+    text = rows.select("__uid", text_col).join(wanted.withColumnRenamed("uid", "__uid").hint("merge"), "__uid", "left_semi")
     return write_stage(text.mapInArrow(run, "uid long, shingles binary, counts binary"), "shingles")
 
 
@@ -335,4 +336,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = write_stage(_groups(rows, id_col, text_col), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.uid").alias("__uid"))
-    return rows.join(kept, "__uid", "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), "__uid", "left_semi").select(*docs.columns)
