@@ -1,13 +1,13 @@
 """Dense numeric kernels over Arrow batches: transport between compositions, relation fitting.
 
-Spark spreads and shuffles the pair rows; a kernel only ever sees one batch of
-pairs, or one bounded chunk of a patient's pairs.
+Spark spreads and shuffles the pair rows; a kernel only ever sees one batch of pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,19 +231,21 @@ def penalty_by_mass(pairs: DataFrame, scope: list[str], grid: list[float], cost:
 
 
 # --- relation fitting --------------------------------------------------------
-# Consensus rounds. The objective couples patients only through the cohort mean,
-# so with the mean fixed every patient is a problem of its own. A patient's
-# pairs are cut into bounded chunks that are solved side by side from the
-# patient's current relation; the patient takes the weighted mean of its chunks,
-# the template the mean of its patients.
+# One objective per relation over all patients and all their pairs. Every step sums loss,
+# squared loss and their gradients over the pairs with a Spark aggregation, wherever the
+# pairs lie, and takes one update per patient on the sums. Patients meet only in the cohort
+# mean, which follows from their current relations.
 
 # Weights and start of the relation objective.
 OFFDIAG_START = 1e-4
 GEOMETRY_WEIGHT = 1e-2
 COHORT_SCALE = 1e-2
 SCALE_FLOOR = 1e-2
-PAIRS_PER_CHUNK = 2048
-STEP_EPSILON = (0.1,)
+# Warm-up, then a rate that falls to nothing over the main steps; done after
+# some steps in a row that no longer change a relation's objective.
+WARMUP_STEPS, WARMUP_RATE = 20, 0.02
+MAIN_STEPS, MAIN_RATE = 200, 0.05
+MIN_MAIN_STEPS, PLATEAU_STEPS, PLATEAU_CHANGE = 100, 5, 1e-6
 
 
 def start_relation(n_states: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,73 +258,98 @@ def start_relation(n_states: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _predict(q: np.ndarray, t: np.ndarray, e: np.ndarray):
-    raw = q @ t[:, :-1] + e
+    raw = (q @ t[:, :-1] if t.ndim == 2 else np.einsum("ni,nij->nj", q, t[:, :, :-1])) + e
     return raw, raw / raw.sum(1, keepdims=True)
 
 
-def _step_gradient(q, b, w, t, e, cost, scale, warm):
-    """Loss and its gradient in [A | d] and e; the dual potentials are the gradient in the prediction."""
+def _pair_terms(q, b, own, t, e, cost, scale, warm=(None, None)):
+    """Loss per pair and its gradient in the raw prediction; the dual potentials are the gradient in the prediction.
+
+    ``own`` is the targets' self term; ``t`` and ``e`` are one relation or one per pair.
+    """
     raw, p = _predict(q, t, e)
-    f, g = balanced_potentials(p, b, cost, STEP_EPSILON, 10, TOL, warm[0])
-    s, r = balanced_potentials(p, p, cost, STEP_EPSILON, 10, TOL, warm[1])
+    epsilons = EPSILONS if warm[0] is None else EPSILONS[-1:]
+    f, g = balanced_potentials(p, b, cost, epsilons, MAX_ITER, TOL, warm[0])
+    s, r = balanced_potentials(p, p, cost, epsilons, MAX_ITER, TOL, warm[1])
     # dual value up to terms that cancel in the divergence
-    loss = ((f * p).sum(1) + (g * b).sum(1) - 0.5 * ((s + r) * p).sum(1) - warm[2]) / scale
-    mean = (w * loss).sum()
-    weight = w * (1.0 + 2.0 * (loss - mean)) / scale
-    dp = (f - 0.5 * (s + r)) * weight[:, None]
-    total = raw.sum(1, keepdims=True)
-    draw = (dp - (dp * p).sum(1, keepdims=True)) / total
-    gt = np.zeros_like(t)
-    gt[:, :-1] = q.T @ draw
-    fit = mean + (w * (loss - mean) ** 2).sum()
-    return fit, gt, draw.sum(0), ((f, g), (s, r), warm[2])
-
-
-def solve_chunk(q, b, w, t, e, t_bar, e_bar, cost, scale, steps: int, rate: float = 0.1):
-    """A few adaptive gradient steps on the logits of one patient's relation."""
-    k = e.size
-    z, y = np.log(np.maximum(t, 1e-12)), np.log(np.maximum(e, 1e-12) / np.maximum(1 - e, 1e-12))
-    m = [np.zeros_like(z), np.zeros_like(y)]
-    v = [np.zeros_like(z), np.zeros_like(y)]
-    zero = np.zeros_like(b)
-    gb, hb = balanced_potentials(b, b, cost, STEP_EPSILON, 50, TOL)
-    self_b = 0.5 * ((gb + hb) * b).sum(1)
-    warm = ((zero.copy(), zero.copy()), (zero.copy(), zero.copy()), self_b)
-    best = None
-    for i in range(1, steps + 1):
-        fit, gt, ge, warm = _step_gradient(q, b, w, t, e, cost, scale, warm)
-        opened = t[:, -1].mean() + e.mean()
-        geometry = (t[:, :-1] * cost).sum() / k
-        spread = ((t - t_bar) ** 2).sum(1).mean() + ((e - e_bar) ** 2).mean()
-        value = (fit + (opened + GEOMETRY_WEIGHT * geometry) / 2 + spread / COHORT_SCALE) / 3
-        if best is None or value < best[0]:
-            best = (value, t.copy(), e.copy())
-        gt = gt + 2.0 * (t - t_bar) / k / COHORT_SCALE
-        gt[:, :-1] += GEOMETRY_WEIGHT * cost / k / 2
-        gt[:, -1] += 0.5 / k
-        ge = ge + 0.5 / k + 2.0 * (e - e_bar) / k / COHORT_SCALE
-        grads = [t * (gt - (gt * t).sum(1, keepdims=True)) / 3, ge * e * (1 - e) / 3]
-        for j, (x, gx) in enumerate(zip((z, y), grads)):
-            m[j] = 0.9 * m[j] + 0.1 * gx
-            v[j] = 0.999 * v[j] + 0.001 * gx * gx
-            x -= rate * (m[j] / (1 - 0.9**i)) / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8)
-        ez = np.exp(z - z.max(1, keepdims=True))
-        t, e = ez / ez.sum(1, keepdims=True), 1.0 / (1.0 + np.exp(-y))
-    return best
+    loss = ((f * p).sum(1) + (g * b).sum(1) - 0.5 * ((s + r) * p).sum(1) - own) / scale
+    dp = (f - 0.5 * (s + r)) / np.reshape(scale, (-1, 1))
+    return loss, (dp - (dp * p).sum(1, keepdims=True)) / raw.sum(1, keepdims=True), ((f, g), (s, r))
+
+
+def _pair_sums(q, w, loss, draw) -> np.ndarray:
+    """Per pair what a step adds up: loss, squared loss, gradient and loss times gradient in A and e."""
+    grad = np.hstack([(q[:, :, None] * draw[:, None, :]).reshape(len(q), -1), draw])
+    return np.asarray(w)[:, None] * np.hstack([loss[:, None], loss[:, None] ** 2, grad, loss[:, None] * grad])
+
 
+def _from_sums(sums: np.ndarray, k: int):
+    """Mean loss plus its variance, and the gradient in [A | d] and e, per patient from its summed terms."""
+    mean, square, grad = sums[:, 0], sums[:, 1], sums[:, 2:]
+    grad, by_loss = grad[:, : k * k + k], grad[:, k * k + k :]
+    grad = (1.0 - 2.0 * mean)[:, None] * grad + 2.0 * by_loss
+    gt = np.zeros((len(sums), k, k + 1))
+    gt[:, :, :-1] = grad[:, : k * k].reshape(-1, k, k)
+    return mean + square - mean**2, gt, grad[:, k * k :]
 
-def _chunked(pairs: DataFrame) -> DataFrame:
-    """Pair rows with a chunk number of bounded size and a weight that balances blocks."""
+
+def _step_gradient(q, b, w, t, e, cost, scale, warm):
+    """Loss and its gradient in [A | d] and e of one patient with all its pairs at hand."""
+    loss, draw, (cross, own) = _pair_terms(q, b, warm[2], t, e, cost, scale, warm)
+    fit, gt, ge = _from_sums(_pair_sums(q, w, loss, draw).sum(0)[None], e.size)
+    return fit[0], gt[0], ge[0], (cross, own, warm[2])
+
+
+def _weighted(pairs: DataFrame, patients: DataFrame, cost: np.ndarray, n_states: int) -> DataFrame:
+    """Pair rows with their patient's number, a weight that balances blocks and the self term of the target."""
     block = [*REL_PATIENT, "subbag_index"]
     per_block = pairs.groupBy(*block).agg(F.count(F.lit(1)).alias("n_block"))
-    per_patient = per_block.groupBy(*REL_PATIENT).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_block").alias("n_pairs"))
-    sized = pairs.join(per_block, block).join(per_patient, REL_PATIENT)
-    n_chunks = F.ceil(F.col("n_pairs") / PAIRS_PER_CHUNK)
-    return sized.select(
-        *REL_PATIENT, "pair_id", "a", "b",
-        (1.0 / (F.col("n_block") * F.col("n_blocks"))).alias("weight"),
-        F.pmod(F.xxhash64("pair_id"), n_chunks).alias("chunk"),
-    )
+    per_patient = per_block.groupBy(*REL_PATIENT).agg(F.count(F.lit(1)).alias("n_blocks"))
+    sized = pairs.join(per_block, block).join(per_patient, REL_PATIENT).join(patients, REL_PATIENT)
+    rows = sized.select("number", (1.0 / (F.col("n_block") * F.col("n_blocks"))).alias("weight"), "a", "b")
+
+    def add(batches):
+        for batch in batches:
+            b = _matrix(batch.column("b"), n_states)
+            g, h = balanced_potentials(b, b, cost)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(0.5 * ((g + h) * b).sum(1))], names=[*batch.schema.names, "own"])
+
+    return durable(spread(rows).mapInArrow(add, "number int, weight double, a array<double>, b array<double>, own double"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _summed(rows: DataFrame, t: np.ndarray, e: np.ndarray, live: np.ndarray, scale: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """``_pair_sums`` of the live patients, added up by Spark over all their pairs."""
+    k = e.shape[1]
+    width = 2 + 2 * (k * k + k)
+
+    def run(batches):
+        for batch in batches:
+            everyone = batch.column("number").to_numpy()
+            for lo in range(0, len(everyone), CHUNK):
+                part = batch.slice(lo, CHUNK)
+                at = np.flatnonzero(live[everyone[lo : lo + CHUNK]])
+                if not at.size:
+                    continue
+                who = everyone[lo : lo + CHUNK][at]
+                q, b = _matrix(part.column("a"), k)[at], _matrix(part.column("b"), k)[at]
+                loss, draw, _ = _pair_terms(q, b, part.column("own").to_numpy()[at], t[who], e[who], cost, scale[who])
+                mine, place = np.unique(who, return_inverse=True)
+                sums = np.zeros((mine.size, width))
+                np.add.at(sums, place, _pair_sums(q, part.column("weight").to_numpy()[at], loss, draw))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(mine, width)), pa.array(np.tile(np.arange(width, dtype=np.int32), mine.size)), pa.array(sums.ravel())],
+                    names=["number", "slot", "value"],
+                )
+
+    parts = rows.mapInArrow(run, "number int, slot int, value double")
+    got = parts.groupBy("number", "slot").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros((len(e), width))
+    out[got["number"].to_numpy(), got["slot"].to_numpy()] = got["value"].to_numpy()
+    return out
 
 
 def _states_of(relation: DataFrame, n_states: int) -> DataFrame:
@@ -335,50 +362,66 @@ def _states_of(relation: DataFrame, n_states: int) -> DataFrame:
     )
 
 
-def fit_relations(pairs: DataFrame, cost: np.ndarray, n_states: int, rounds: int = 3, steps: int = 30) -> tuple[DataFrame, list[dict]]:
-    """Relations of every patient from its FOV pairs, and the mean objective after every round."""
-    chunks = durable(spread(_chunked(pairs), *REL_PATIENT, "chunk"))
-    t0, e0 = start_relation(n_states)
-    reference = pair_divergences(chunks.select("relation_id", "pair_id", "a", "b"), cost)
+def fit_relations(
+    pairs: DataFrame, cost: np.ndarray, n_states: int, rounds: int = (WARMUP_STEPS + MAIN_STEPS) // 20, steps: int = 20
+) -> tuple[DataFrame, list[dict]]:
+    """Relations of every patient from its FOV pairs, and the mean objective after every round of ``steps`` updates.
+
+    The rate follows the fixed schedule over ``rounds * steps`` updates; a relation is done
+    when it reaches the plateau. The driver holds one relation per patient, the pairs stay
+    where they are: how they are spread does not change the result.
+    """
+    spark, k = pairs.sparkSession, n_states
+    keys = sorted((r["relation_id"], r["patient_id"]) for r in pairs.select(*REL_PATIENT).distinct().collect())
+    patients = spark.createDataFrame([(*key, i) for i, key in enumerate(keys)], "relation_id string, patient_id string, number int")
+    rows = _weighted(pairs, patients, cost, k)
+    reference = pair_divergences(pairs.select("relation_id", "pair_id", "a", "b"), cost)
     scales = {r["relation_id"]: max(r["m"], SCALE_FLOOR) for r in reference.groupBy("relation_id").agg(F.avg("cost").alias("m")).collect()}
-    template = {relation: (t0, e0) for relation in scales}
-    keys = [*REL_PATIENT, "chunk"]
-    flat = lambda m: F.array(*[F.lit(float(x)) for x in np.ravel(m)])
-    current = chunks.select(*REL_PATIENT).distinct().select(*REL_PATIENT, flat(t0).alias("t"), flat(e0).alias("e"))
-    places = chunks.select(*keys).distinct()
-    history = []
-    schema = "relation_id string, patient_id string, chunk long, weight double, objective double, t array<double>, e array<double>"
-    for _ in range(rounds):
-        fixed = dict(template)
-
-        def solve(key, data: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            relation, patient, chunk = key
-            q, b = _stack(data["a"]), _stack(data["b"])
-            w = data["weight"].to_numpy(dtype=float)
-            t = np.asarray(held["t"].iloc[0], dtype=float).reshape(n_states, n_states + 1)
-            e = np.asarray(held["e"].iloc[0], dtype=float)
-            t_bar, e_bar = fixed[relation]
-            value, t, e = solve_chunk(q, b, w / w.sum(), t, e, t_bar, e_bar, cost, scales[relation], steps)
-            return pd.DataFrame(
-                {"relation_id": [relation], "patient_id": [patient], "chunk": [chunk], "weight": [float(w.sum())], "objective": [float(value)], "t": [t.ravel().tolist()], "e": [e.tolist()]}
-            )
-
-        # renamed keys: both sides of the cogroup descend from the same chunk rows
-        held = places.join(current, REL_PATIENT).select(*keys, "t", "e").toDF("held_relation", "held_patient", "held_chunk", "t", "e")
-        held_groups = spread(held, "held_relation", "held_patient", "held_chunk").groupBy("held_relation", "held_patient", "held_chunk")
-        solved = spread(chunks, *keys).groupBy(*keys).cogroup(held_groups).applyInPandas(solve, schema)
-        mean = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i)) * F.col("weight")) / F.sum("weight") for i in range(n)])
-        current = durable(
-            solved.groupBy(*REL_PATIENT).agg(
-                mean("t", n_states * (n_states + 1)).alias("t"), mean("e", n_states).alias("e"),
-                (F.sum(F.col("objective") * F.col("weight")) / F.sum("weight")).alias("objective"),
-            )
-        )
-        plain = lambda c, n: F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(n)])
-        cohort = current.groupBy("relation_id").agg(
-            plain("t", n_states * (n_states + 1)).alias("t"), plain("e", n_states).alias("e"), F.avg("objective").alias("objective")
-        ).collect()
-        template = {r["relation_id"]: (np.array(r["t"]).reshape(n_states, n_states + 1), np.array(r["e"])) for r in cohort}
-        history.append({r["relation_id"]: r["objective"] for r in cohort})
-        current = current.select(*REL_PATIENT, "t", "e")
-    return relation_rows(REL_PATIENT, _states_of(current, n_states), n_states), history
+    relations = sorted(scales)
+    group = np.array([relations.index(relation) for relation, _ in keys], int)
+    scale = np.array([scales[relation] for relation, _ in keys])
+    size = np.bincount(group, minlength=len(relations))
+
+    t0, e0 = start_relation(k)
+    t, e = np.repeat(t0[None], len(keys), 0), np.repeat(e0[None], len(keys), 0)
+    logits = [np.log(np.maximum(t, 1e-12)), np.log(np.maximum(e, 1e-12) / np.maximum(1 - e, 1e-12))]
+    m, v = [np.zeros_like(x) for x in logits], [np.zeros_like(x) for x in logits]
+    live = np.ones(len(keys), bool)
+    before, calm = np.full(len(relations), np.inf), np.zeros(len(relations), int)
+    history: list[dict] = []
+    for i in range(1, rounds * steps + 1):
+        if not live.any():
+            break
+        fit, gt, ge = _from_sums(_summed(rows, t, e, live, scale, cost), k)
+        mean = lambda x: np.stack([x[group == r].mean(0) for r in range(len(relations))])[group]
+        off_t, off_e = t - mean(t), e - mean(e)
+        opened = t[:, :, -1].mean(1) + e.mean(1)
+        geometry = (t[:, :, :-1] * cost).sum((1, 2)) / k
+        apart = (off_t**2).sum(2).mean(1) + (off_e**2).mean(1)
+        value = (fit + (opened + GEOMETRY_WEIGHT * geometry) / 2 + apart / COHORT_SCALE) / 3
+        running = np.bincount(group[live], minlength=len(relations)) > 0
+        now = np.where(running, np.bincount(group, value, len(relations)) / size, before)
+        late = i >= WARMUP_STEPS + MIN_MAIN_STEPS
+        calm = np.where(late & running & (np.abs(before - now) <= PLATEAU_CHANGE), calm + 1, 0)
+        before = now
+        live &= ~(calm >= PLATEAU_STEPS)[group]
+
+        gt += 2.0 * off_t / k / COHORT_SCALE
+        gt[:, :, :-1] += GEOMETRY_WEIGHT * cost / k / 2
+        gt[:, :, -1] += 0.5 / k
+        ge = ge + 0.5 / k + 2.0 * off_e / k / COHORT_SCALE
+        grads = [t * (gt - (gt * t).sum(2, keepdims=True)) / 3, ge * e * (1 - e) / 3]
+        done = min(max(i - 1 - WARMUP_STEPS, 0) / MAIN_STEPS, 1.0)
+        rate = WARMUP_RATE if i <= WARMUP_STEPS else MAIN_RATE * 0.5 * (1.0 + np.cos(np.pi * done))
+        for j, gx in enumerate(grads):
+            m[j] = 0.9 * m[j] + 0.1 * gx
+            v[j] = 0.999 * v[j] + 0.001 * gx * gx
+            logits[j][live] -= (rate * (m[j] / (1 - 0.9**i)) / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8))[live]
+        ez = np.exp(logits[0] - logits[0].max(2, keepdims=True))
+        t, e = ez / ez.sum(2, keepdims=True), 1.0 / (1.0 + np.exp(-logits[1]))
+        if i % steps == 0 or not live.any():
+            history.append(dict(zip(relations, now.tolist())))
+    fitted = spark.createDataFrame(
+        [(*key, t[i].ravel().tolist(), e[i].tolist()) for i, key in enumerate(keys)], "relation_id string, patient_id string, t array<double>, e array<double>"
+    )
+    return relation_rows(REL_PATIENT, _states_of(fitted, k), k), history
