@@ -58,6 +58,10 @@ DROPPED_WORDS = frozenset(
     " consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond disqus discussion"
     " share sharing social related recommended breadcrumb breadcrumbs pagination pager widget search masthead toolbar skip".split()
 )
+#: Inside an article or main element only these go by their class.
+WRAPPERS = frozenset("div span ul ol dl table".split())
+#: A form with this share of the page's text is its frame and not a form to fill in.
+FRAME_SHARE = 0.5
 #: Only outside an article, where a heading of the page is meant and not one of the article.
 DROPPED_OUTSIDE = frozenset("header topbar".split())
 
@@ -79,27 +83,33 @@ def _hash(text: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "article", "main", "hash", "links", "chars", "linked", "mark")
+    __slots__ = ("tag", "parent", "parts", "dropped", "article", "main", "framed", "hash", "links", "chars", "linked", "mark")
 
     def __init__(self, tag: str, parent: "_Node | None", attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
         self.parts: list = []
         self.links = self.chars = self.linked = self.hash = 0
-        role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+        role, kinds = attributes.get("role", "").lower(), attributes.get("class", "").lower().split()
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
         self.mark = names.strip()
         words = set(_CLASS_WORD.split(names))
         self.article = (parent is not None and parent.article) or tag == "article"
         self.main = (parent is not None and parent.main) or tag == "main" or role == "main"
         inside = self.article or self.main
-        self.dropped = (
-            (parent is not None and parent.dropped)
-            or tag in DROPPED
-            or role in DROPPED_ROLES
-            or "hidden" in attributes
+        # the story's own sections, headings and slugs use such words too; there only a whole class of a wrapper counts
+        named = (tag in WRAPPERS and not DROPPED_WORDS.isdisjoint(kinds)) if inside else not words.isdisjoint(DROPPED_WORDS)
+        hidden = (
+            "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-            or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(DROPPED_WORDS))
-            or ("comment" in words or "comments" in words)
+        )
+        self.framed = not hidden and not named and role not in DROPPED_ROLES - {"form"}
+        self.dropped = (
+            tag in DROPPED
+            or role in DROPPED_ROLES
+            or hidden
+            or (tag not in ("html", "body", "article", "main") and named)
+            or (tag == "article" and ("comment" in kinds or "comments" in kinds))
             or (not inside and (tag == "header" or not words.isdisjoint(DROPPED_OUTSIDE)) and tag not in ("html", "body"))
         )
 
@@ -172,7 +182,7 @@ def _measure(root: _Node) -> None:
                 node.linked += part.linked
             else:
                 words = " ".join(part.split())
-                node.chars += len(words)
+                node.chars += 0 if node.tag in RAW else len(words)
                 if words:
                     seen.append(words)
         if node.tag == "a":
@@ -180,6 +190,27 @@ def _measure(root: _Node) -> None:
         node.hash = _hash("\x1f".join(seen))
 
 
+def _drop(root: _Node) -> None:
+    """Hands dropping down from an element to all below it, parents first."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "form" and node.framed and node.chars >= FRAME_SHARE * root.chars:
+            node.dropped = False
+        node.dropped = node.dropped or (node.parent is not None and node.parent.dropped)
+        stack += [p for p in node.parts if isinstance(p, _Node)]
+
+
+def _scope(blocks: list) -> tuple[bool, list]:
+    """The blocks of the main elements, else of the articles, if most of the text is there; else all."""
+    total = sum(len(b[0]) for b in blocks)
+    for at in (3, 2):
+        marked = [b for b in blocks if b[at]]
+        if marked and 2 * sum(len(b[0]) for b in marked) >= total:
+            return True, marked
+    return False, blocks
+
+
 def _is_menu(node: _Node) -> bool:
     """A list or box of links and nothing else."""
     return node.tag in ("ul", "ol", "div", "section", "p", "table") and node.links > 1 and node.linked >= 0.8 * node.chars
@@ -189,6 +220,7 @@ def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]]]:
     """(has a marked article, block texts, hashes of the subtrees around each block)."""
     root = parse(source)
     _measure(root)
+    _drop(root)
     blocks: list[tuple[str, _Node, bool, bool]] = []
     buffer: list[str] = []
 
@@ -225,12 +257,7 @@ def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]]]:
             elif node.tag in ("td", "th"):
                 buffer.append(" ")
     flush(root)
-    if any(article for _, _, article, _ in blocks):
-        scoped, blocks = True, [b for b in blocks if b[2]]
-    elif any(main for *_, main in blocks):
-        scoped, blocks = True, [b for b in blocks if b[3]]
-    else:
-        scoped = False
+    scoped, blocks = _scope(blocks)
     texts, paths = [], []
     for text, node, *_ in blocks:
         path, up, menu = [], node, False
@@ -283,8 +310,8 @@ def _templates(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
-    The text is that of the page's article elements, else of its main element, else of its
-    body, without dropped elements and template subtrees: white space in a block is one
+    The text is that of the page's main element, else of its article elements, if these hold
+    most of the kept text, else of its body, without dropped elements and template subtrees: white space in a block is one
     space, blocks are joined by a line feed in page order. Null, empty and text-free pages
     give an empty text. A page without a host has no template. Repeated rows and ids give a
     row each; other columns are not read.

@@ -60,3 +60,23 @@ def test_article_text_is_not_template(spark):
     rows = [(k, f"https://d.example.org/{k}", f"<article>{shared}<p>own {k}</p></article><div class=ad>buy {k}</div>") for k in range(5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("page_id", "page_id")
     assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == {k: f"a passage that many articles quote\nown {k}" for k in range(5)}
+
+
+STORY = "A story of some length that is the text of this page and not of its cards."
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        (f"<article><section id='discussion'><h2 id='social-effects'>S</h2><p class='notice'>{STORY}</p></section><div class='related-work'>w</div></article>", f"S\n{STORY}\nw"),
+        (f"<article><p>{STORY}</p><div class='share wide'>s</div><div class=ad>a</div></article>", STORY),
+        (f"<main><h2 id='search'>S</h2><p>{STORY}</p></main>", f"S\n{STORY}"),
+        (f"<main><h1>T</h1><p>lead</p><article><p>{STORY}</p></article></main>", f"T\nlead\n{STORY}"),
+        (f"<main><p>{STORY}</p></main><article class='card'>c</article>", STORY),
+        (f"<div><p>{STORY}</p></div><article class='card'>c</article>", f"{STORY}\nc"),
+        (f"<form><div><p>{STORY}</p></div><input></form><form>f</form>", STORY),
+        (f"<p>{STORY}</p><article class='comment'>r</article>", STORY),
+    ],
+)
+def test_the_story_stays(source, want):
+    assert text_of(source) == want
