@@ -2,7 +2,7 @@
 
 Each page becomes a tree once; every element subtree gets a hash of its tag, its class and
 its content. Spark counts on how many different pages of a host a subtree occurs. A subtree
-that recurs on many of them is template and goes, as do the elements whose tag, role or
+that recurs on many of them at one place, or on most of a URL section, is template and goes, as do the elements whose tag, role or
 class says what they are (menus, forms, adverts, comments and so on). Copies of one page
 count once, so that an article published twice does not turn into template.
 """
@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from fovea.runtime import write_stage
 
-#: A subtree is template on a page without a marked article from this many different pages
-#: and this share of the host's different pages on.
-MIN_PAGES, MIN_SHARE = 3, 0.3
-#: The same inside a marked article, where only what nearly every page has can be template.
-ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.9
+#: A subtree is template from this many pages of a host on whose other text differs, if it
+#: sits at one place on this share of the pages that have it: half of them, or nearly all
+#: where it is to go from a marked article. How many other pages the host has does not count.
+MANY_PAGES, SAME_PLACE, ARTICLE_PLACE = 10, 0.5, 0.9
+#: Fewer different pages are enough if they are most of a URL section of the host; inside a
+#: marked article MANY_PAGES of them must be nearly all of one. Headings and paragraphs of
+#: an article can be quotes wherever they stand, so there the place speaks only for boxes.
+MIN_PAGES, SECTION_SHARE, ARTICLE_SHARE = 3, 0.5, 0.9
+BOXES = frozenset("div section ul ol dl table aside details figure center".split())
 
 # Elements by what they do in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,7 +79,7 @@ _CLASS_WORD = re.compile(r"[^a-z0-9]+")
 #: Templates (host, subtree) up to this number are broadcast, at most about 20 MB; more are joined by shuffle.
 BROADCAST_TEMPLATES = 200_000
 
-_PAGE = "uid long, page_id long, url string, host long, body long, scoped boolean, texts array<string>, paths array<array<long>>"
+_PAGE = "uid long, page_id long, url string, host long, body long, scoped boolean, texts array<string>, paths array<array<long>>, section int, nodes array<struct<node: long, place: int, rest: int, box: boolean>>"
 
 
 def _hash(text: str) -> int:
@@ -83,11 +87,12 @@ def _hash(text: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "article", "main", "framed", "hash", "links", "chars", "linked", "mark")
+    __slots__ = ("tag", "parent", "parts", "dropped", "article", "main", "framed", "number", "hash", "links", "chars", "linked", "mark")
 
     def __init__(self, tag: str, parent: "_Node | None", attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
         self.parts: list = []
+        self.number = (0, 1)
         self.links = self.chars = self.linked = self.hash = 0
         role, kinds = attributes.get("role", "").lower(), attributes.get("class", "").lower().split()
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
@@ -198,7 +203,10 @@ def _drop(root: _Node) -> None:
         if node.tag == "form" and node.framed and node.chars >= FRAME_SHARE * root.chars:
             node.dropped = False
         node.dropped = node.dropped or (node.parent is not None and node.parent.dropped)
-        stack += [p for p in node.parts if isinstance(p, _Node)]
+        below = [p for p in node.parts if isinstance(p, _Node)]
+        for i, child in enumerate(below):
+            child.number = (i, len(below))
+        stack += below
 
 
 def _scope(blocks: list) -> tuple[bool, list]:
@@ -216,8 +224,40 @@ def _is_menu(node: _Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "p", "table") and node.links > 1 and node.linked >= 0.8 * node.chars
 
 
+def _place(node: _Node) -> int:
+    """Where an element sits: the tags above it, and its number among its siblings from the nearer end."""
+    above, up = [], node.parent
+    while up is not None:
+        above.append(up.tag)
+        up = up.parent
+    number, of = node.number
+    return _short(f"{node.tag} {number if 2 * number < of else number - of} {' '.join(above)}")
+
+
+def _short(text: str) -> int:
+    return (_hash(text) & 0xFFFFFFFF) - (1 << 31)
+
+
+def _nodes(blocks: list[tuple[str, list[_Node]]]) -> list[tuple[int, int, int, bool]]:
+    """(hash, place, longest block outside, is it a box) of every subtree around a block, each hash once."""
+    longest: list[tuple[str, list[_Node]]] = sorted(blocks, key=lambda b: (-len(b[0]), b[0]))
+    out: dict[int, tuple[int, int, int, bool]] = {}
+    for _, path in blocks:
+        for node in path:
+            if node.hash not in out:
+                rest = next((text for text, around in longest if all(n.hash != node.hash for n in around)), "")
+                out[node.hash] = (node.hash, _place(node), _short(rest), node.tag in BOXES)
+    return list(out.values())
+
+
 def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]]]:
-    """(has a marked article, block texts, hashes of the subtrees around each block)."""
+    """(text is that of a marked article, block texts, hashes of the subtrees around each block)."""
+    scoped, blocks = _blocks(source)
+    return scoped, [text for text, _ in blocks], [[n.hash for n in path] for _, path in blocks]
+
+
+def _blocks(source: str) -> tuple[bool, list[tuple[str, list[_Node]]]]:
+    """The same with the elements around each block, nearest first."""
     root = parse(source)
     _measure(root)
     _drop(root)
@@ -258,19 +298,18 @@ def page_blocks(source: str) -> tuple[bool, list[str], list[list[int]]]:
                 buffer.append(" ")
     flush(root)
     scoped, blocks = _scope(blocks)
-    texts, paths = [], []
+    out = []
     for text, node, *_ in blocks:
         path, up, menu = [], node, False
         while up is not None and up.tag not in ("#page", "html", "body"):
             if not scoped and _is_menu(up):
                 menu = True
             if up.tag not in ("article", "main"):
-                path.append(up.hash)
+                path.append(up)
             up = up.parent
         if not menu:
-            texts.append(text)
-            paths.append(path)
-    return scoped, texts, paths
+            out.append((text, path))
+    return scoped, out
 
 
 def host_of(url: str | None) -> str | None:
@@ -281,18 +320,28 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
+def _section(url: str | None) -> str:
+    """First folder of the path of a URL, empty for pages at the top."""
+    try:
+        return "/".join(urlsplit(url or "").path.lstrip("/").split("/")[:-1][:1])
+    except ValueError:
+        return ""
+
+
 def _pages(pages: DataFrame) -> DataFrame:
     def run(batches):
-        names = [c.split()[0] for c in _PAGE.split(", ")]
+        names = "uid page_id url host body scoped texts paths section nodes".split()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
+        kinds += [pa.int32(), pa.list_(pa.struct([("node", pa.int64()), ("place", pa.int32()), ("rest", pa.int32()), ("box", pa.bool_())]))]
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for lo in range(0, batch.num_rows, 512):
                 out = []
                 for uid, page_id, url, source in zip(*(c[lo : lo + 512] for c in columns)):
-                    scoped, texts, paths = page_blocks(source or "")
+                    scoped, blocks = _blocks(source or "")
+                    texts, paths = [text for text, _ in blocks], [[n.hash for n in path] for _, path in blocks]
                     host = host_of(url)
-                    out.append((uid, page_id, url, None if host is None else _hash(host), _hash("\n".join(texts)), scoped, texts, paths))
+                    out.append((uid, page_id, url, None if host is None else _hash(host), _hash("\n".join(texts)), scoped, texts, paths, _short(_section(url)), [dict(zip(("node", "place", "rest", "box"), n)) for n in _nodes(blocks)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return write_stage(pages.mapInArrow(run, _PAGE), "pages")
@@ -300,11 +349,24 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def _templates(pages: DataFrame) -> DataFrame:
     """(host, node, strong) of the subtrees that recur; copies of a page count as one page."""
-    bodies = pages.where("host IS NOT NULL").select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    each = pages.where("host IS NOT NULL").select("host", "body", F.explode(F.array_distinct(F.flatten("paths"))).alias("node")).distinct()
-    counts = each.groupBy("host", "node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    share = F.col("n") / F.col("of")
-    return counts.join(bodies, "host").where(share >= MIN_SHARE).select("host", "node", ((F.col("n") >= ARTICLE_PAGES) & (share >= ARTICLE_SHARE)).alias("strong"))
+    hosted, at = pages.where("host IS NOT NULL"), ["host", "node"]
+    sections = hosted.select("host", "section", "body").distinct().groupBy("host", "section").agg(F.count("*").alias("of"))
+    each = hosted.select("host", "body", "section", F.inline("nodes")).distinct()
+    # a copy in another section or place is no other page, so bodies count once per subtree first
+    pages_of = each.groupBy(*at, "body").agg(F.min("place").alias("place"), F.min("rest").alias("rest"), F.first("box").alias("box"), F.collect_set("section").alias("sections"))
+    often = pages_of.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    many = write_stage(pages_of.join(often, at), "recurring")
+    placed = many.groupBy(*at, "place", "n", "box").agg(F.count("*").alias("here")).groupBy(*at).agg(F.max(F.col("here") / F.col("n")).alias("placed"), F.bool_or("box").alias("box"))
+    rests = many.select(*at, "rest").distinct().groupBy(*at).agg(F.count("*").alias("rests"))
+    shares = many.select(*at, F.explode("sections").alias("section")).groupBy(*at, "section").agg(F.count("*").alias("here")).where(F.col("here") >= MIN_PAGES)
+    share = F.col("here") / F.col("of")
+    shares = shares.join(sections, ["host", "section"]).groupBy(*at).agg(
+        F.max(share).alias("share"), F.bool_or((F.col("here") >= MANY_PAGES) & (share >= ARTICLE_SHARE)).alias("nearly_all")
+    )
+    rows = placed.join(rests, at).join(shares, at, "left")
+    weak = ((F.col("rests") >= MANY_PAGES) & (F.col("placed") >= SAME_PLACE)) | (F.coalesce("share", F.lit(0.0)) >= SECTION_SHARE)
+    strong = (F.col("box") & (F.col("rests") >= MANY_PAGES) & (F.col("placed") >= ARTICLE_PLACE)) | F.coalesce("nearly_all", F.lit(False))
+    return rows.where(weak | strong).select(*at, strong.alias("strong"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -80,3 +80,33 @@ STORY = "A story of some length that is the text of this page and not of its car
 )
 def test_the_story_stays(source, want):
     assert text_of(source) == want
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+
+
+@pytest.mark.parametrize("folders", [True, False])
+def test_a_section_has_its_own_template(spark, folders):
+    """A box on a fifth of a host's pages is template, whether URLs tell the section or not; a few quotes are none."""
+    own = lambda k: f"own text of page {k}, longer than any of the boxes around it"
+    quote = lambda k: "<p>a quoted paragraph</p>" if k in (1, 2, 3) else ""
+    rows = []
+    for k in range(100):
+        section = k // 20
+        url = f"https://e.example.org/{f's{section}/' if folders else ''}{k}"
+        rows.append((k, url, f"<div><p>box of layout {section}</p></div><div><p>{own(k)}</p>{quote(k)}</div>"))
+    want = {k: own(k) + ("\na quoted paragraph" if quote(k) else "") for k in range(100)}
+    assert texts_of(spark, rows) == want
+
+
+def test_boxes_in_articles_go_and_near_copies_stay(spark):
+    own = lambda k: f"own text of article {k}, longer than any of the boxes around it"
+    rows = [(k, f"https://f.example.org/{k}", f"<article><p>{own(k)}</p>{'<div><p>read on in the shop</p></div>' if k < 30 else ''}</article>") for k in range(100)]
+    assert texts_of(spark, rows) == {k: own(k) for k in range(100)}
+    near = "a long paragraph that all the near copies of one article have in common"
+    short = [(k, f"https://g.example.org/{k}", f"<article><p>{near}</p><p>the second paragraph of the article</p><p>tail {k}</p></article>") for k in range(20)]
+    rows = short + [(k, f"https://g.example.org/{k}", f"<article><h1>A common heading</h1><p>{own(k)}</p></article>") for k in range(20, 40)]
+    rows += [(k, f"https://g.example.org/{k}", f"<article><p>{own(k)}</p></article>") for k in range(40, 60)]
+    assert texts_of(spark, rows) == {k: f"{near}\nthe second paragraph of the article\ntail {k}" if k < 20 else f"A common heading\n{own(k)}" if k < 40 else own(k) for k in range(60)}
