@@ -3,8 +3,8 @@
 A public byte-level vocabulary and a public piece vocabulary with byte fallback encode
 every distinct word of a block of documents once; a document's characters per token,
 byte-fallback share and token entropy follow from its word frequencies. The bands are
-read off the whole corpus, per language and script: the middle of the group and how far
-its inner half spreads. A text that costs far more or far fewer tokens than its language
+read off the whole corpus, per language, script and length: the middle of the class and how
+far its inner half spreads. A text that costs far more or far fewer tokens than its language
 usually does, falls back to bytes far more often, or says the same tokens over and over
 is rejected.
 """
@@ -28,19 +28,17 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: How far below the middle a band starts, in spreads of the group's inner half (as standard deviations of a normal law).
+#: Band half-width in spreads of the inner half (as standard deviations of a normal law) of a text's language, script and size class.
 BAND_SPREADS = 5.0
-#: Characters per token above this multiple of the middle are outside the band too. Costing few tokens is no
-#: fault in itself, plain words of a language the vocabulary knows well do; only runs of filler go beyond.
-BAND_TOP = 2.5
+#: A class's middle and inner half count as many documents as it has, those of its language and script as this many, so that
+#: a few odd texts of a rare size are no measure of themselves.
+GROUP_WEIGHT = 50
 #: A spread counts as this share of the middle at least, so that small or uniform groups keep a band.
 MIN_SPREAD = 0.02
 #: Token entropy below this share of the middle for the language and length is rejected.
 ENTROPY_SHARE = 0.75
 #: Byte-fallback shares up to this are never rejected.
 FALLBACK_FREE = 0.2
-#: Texts of fewer tokens get wider bands.
-FULL_TOKENS = 512
 #: Width of the classes in which metrics are counted.
 CLASS_WIDTH = 0.01
 
@@ -206,23 +204,31 @@ def fertility_rules(
     judged = facts.withColumn("base_failed", failed)
     sound = judged.where(~F.col("base_failed"))
     keys = ["lang", "script"]
+    length_keys = [*keys, "size_class"]
+    classes = sound.groupBy(*length_keys).agg(F.count(F.lit(1)).alias("__n"))
     for metric in METRICS[:3]:
-        bands, on = _same(keys, _quantiles(sound, keys, metric, [0.25, 0.5, 0.75]))
+        shares = [0.25, 0.5, 0.75]
+        bands, on = _same(keys, _quantiles(sound, keys, metric, shares))
         judged = judged.join(bands, on, "left").drop(*[f"__k_{k}" for k in keys])
-    length_keys = [*keys, "size_class"]
+        own = _quantiles(sound, length_keys, metric, shares).toDF(*length_keys, *[f"__own_{metric}_{i}" for i in range(3)])
+        bands, on = _same(length_keys, own)
+        judged = judged.join(bands, on, "left").drop(*[f"__k_{k}" for k in length_keys])
+    bands, on = _same(length_keys, classes)
+    judged = judged.join(bands, on, "left").drop(*[f"__k_{k}" for k in length_keys])
     floor_, on = _same(length_keys, _quantiles(sound, length_keys, "token_entropy", [0.5]))
     judged = judged.join(floor_, on, "left").drop(*[f"__k_{k}" for k in length_keys])
 
     def band(metric):
-        low, mid, high = (F.col(f"__{metric}_{i}") for i in range(3))
-        # means over few tokens scatter more, with the root of their number
-        short = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(FULL_TOKENS)) / F.pow(F.lit(2.0), F.col("size_class"))))
-        return mid, BAND_SPREADS * short * F.greatest((high - low) / 1.349, MIN_SPREAD * mid)
+        # scatter over few tokens is in the class's own inner half
+        low, mid, high = (
+            (F.col("__n") * F.col(f"__own_{metric}_{i}") + GROUP_WEIGHT * F.col(f"__{metric}_{i}")) / (F.col("__n") + GROUP_WEIGHT) for i in range(3)
+        )
+        return mid, BAND_SPREADS * F.greatest((high - low) / 1.349, MIN_SPREAD * mid)
 
     rejected = F.lit(False)
     for metric in METRICS[:2]:
         mid, width = band(metric)
-        rejected = rejected | (F.col(metric) < mid - width) | (F.col(metric) > BAND_TOP * (mid + CLASS_WIDTH))
+        rejected = rejected | (F.abs(F.col(metric) - mid - CLASS_WIDTH / 2) > width)
     mid, width = band("fallback_share")
     rejected = rejected | (F.col("fallback_share") > F.greatest(F.lit(FALLBACK_FREE), mid + width))
     rejected = rejected | (F.col("token_entropy") < ENTROPY_SHARE * F.col("__token_entropy_0"))

@@ -184,6 +184,26 @@ def test_fertility_rejects_what_is_far_from_its_language(spark):
     assert not got[100].base_failed and not got[100].kept
 
 
+def test_fertility_bands_hold_for_short_texts_on_both_sides(spark):
+    draw = np.random.default_rng(5)
+    common = "the house was near a river and people would often walk along water in summer when days were long".split()
+    rare = ["zqxv", "wkjq", "vbzx"]
+
+    def text(k):
+        # groups spread by some percent of their middle, as real ones do
+        words = list(draw.choice(common, 40)) + list(draw.choice(rare, int(draw.integers(0, 5))))
+        return " ".join(w + str(k % 7) * (i == 0) for i, w in enumerate(draw.permutation(words)))
+
+    rows = [(k, text(k), "en", None, None, None, None) for k in range(150)]
+    gibberish = " ".join("".join(draw.choice(list("qxzjkvw"), 6)) for _ in range(21))
+    costly = " ".join(f"{w}" for w in "international government information development organization understanding responsibility administration communication environmental professional particularly opportunities significant relationship performance independent traditional experience investigation technology characteristics".split())
+    rows += [(500, gibberish, "en", None, None, None, None), (501, costly, "en", None, None, None, None)]
+    got = {r.doc_id: r for r in quality_rules.fertility_rules(frame(spark, rows)).collect()}
+    assert got[500].n_words >= 20 and not got[500].base_failed and not got[500].kept
+    assert got[501].n_words >= 20 and not got[501].base_failed and not got[501].kept
+    assert sum(not got[k].kept for k in range(150) if not got[k].base_failed) <= 2
+
+
 def test_fertility_metrics_by_definition(spark, library):
     import public_tokenizers
     import sentencepiece
