@@ -1,9 +1,9 @@
 """Substring deduplication by relative factors.
 
-Every block of documents is a reference. A document is parsed from the left: at each
-word the factor is the longest run that some smaller document also has, and at the border
-of two factors the windows across it are looked up like all others. Runs of at least
-``width`` words become duplicate spans.
+Every block of documents is a reference. All windows of ``width`` words are looked up; the
+words of windows known in a smaller document become duplicate spans. This lookup replaces
+a relative Lempel-Ziv parse: there is no longest match. The factors given beside it are
+runs of known windows with the same smallest document, and no removal follows from them.
 
 A factor starts where a window of ``width`` words is known in a reference, so the index of
 the references is over windows, and documents and references meet in it instead of block
@@ -171,7 +171,7 @@ def _references(asking: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 def factors(known: np.ndarray, reference: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, reference) from the windows known in a smaller document.
+    """Runs (start, length, reference) of known windows whose smallest document is the same; not the longest matches.
 
     ``place`` are the starts of the known windows, ascending; a factor goes on while the next
     window is known in the same reference, and a new one starts at the border otherwise.
