@@ -246,6 +246,12 @@ def merge_table_of(vocabulary: ByteBpe) -> MergeTable:
     return MergeTable(vocabulary)
 
 
+@functools.lru_cache(maxsize=2)
+def stream_codec(name: str) -> StreamCodec:
+    """One per worker process: pre-tokens seen by a task are known to the next one."""
+    return StreamCodec(byte_bpe(name))
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row.
 
@@ -254,7 +260,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches):
-        codec = StreamCodec(byte_bpe(vocabulary))
+        codec = stream_codec(vocabulary)
         for batch in batches:
             out = [(i, *codec.digest(t or "")) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             if out:
