@@ -2,9 +2,10 @@
 
 Two facts carry the encoder. A sequence of tokens is the encoding of its bytes exactly
 when every two neighbours are the encoding of their own bytes; so the last token of each
-prefix is found from the last tokens of shorter prefixes, byte by byte. And whatever
-follows, the next token starts within one token length of the end; so what all these
-possible starts have in common is stable and can leave. Memory holds the unstable end only.
+prefix is found from the last tokens of shorter prefixes, byte by byte. And text changes
+tokens on its left only through a chain of merges, whose reach the merge list bounds (the
+sufficient lookahead); so a token that ends further than that from the end of what was read
+is stable and leaves. Memory holds the unstable end only.
 """
 
 from __future__ import annotations
@@ -124,10 +125,10 @@ class Transducer:
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
-        step = 4 * self.table.longest
+        step = self.table.lookahead
         for i in range(0, len(data), step):
             self._extend(data[i : i + step])
-            if len(self.tail) > step:
+            if len(self.tail) > 2 * step:
                 out += self._stable()
         return out
 
@@ -171,21 +172,14 @@ class Transducer:
         return out[::-1]
 
     def _stable(self) -> list[int]:
-        """Tokens up to the last border that all possible continuations share."""
-        end = len(self.tail)
-        alive = set(range(end - self.table.longest + 1, end + 1))
-        while len(alive) > 1:
-            top = max(alive)
-            alive.discard(top)
-            if not top:
-                return []
-            alive.add(top - len(self.table.bytes_of[self.last[top]]))
-        border = alive.pop()
-        out = self._path(border)
-        if out:
-            self.before = out[-1]
+        """Tokens that end at least the sufficient lookahead before the end of what was read."""
+        path, border = self._path(len(self.tail)), len(self.tail)
+        while path and border > len(self.tail) - self.table.lookahead:
+            border -= len(self.table.bytes_of[path.pop()])
+        if path:
+            self.before = path[-1]
             self.tail, self.last = self.tail[border:], [-1, *self.last[border + 1 :]]
-        return out
+        return path
 
 
 class TextMachine:
