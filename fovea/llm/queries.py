@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, exact_dedup, html_extract, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from fovea.llm import bpe_stream, chat_format, exact_dedup, html_extract, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
 SEQUENCE_TOKENS = 2048
 GOOD_SCORE = 0.3
+# The conversation that is added to the table.
+ADDED_CONVERSATION, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -77,6 +79,13 @@ def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_decode(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    added = chat_format.message_record(rows, ADDED_CONVERSATION, [("user", ADDED_TEXT), ("assistant", ADDED_TEXT)])
+    return chat_format.digests(chat_format.format_chats(chat_format.row_records(rows).unionByName(added)))
+
+
 LLM_SQL["op7_grace_dedup"] = """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -114,3 +123,12 @@ LLM_SQL["op8_relative_factors"] = r"""
     each AS (SELECT s.rid, string_agg(word, ' ' ORDER BY s.j) AS kept FROM spelled s LEFT JOIN gone g ON g.rid = s.rid AND g.j = s.j WHERE g.rid IS NULL GROUP BY s.rid)
     SELECT doc_id, len(words) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
     FROM w LEFT JOIN flags USING (rid) LEFT JOIN each USING (rid)"""
+
+LLM_SQL["op11_chat_format"] = rf"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT * FROM (VALUES ({ADDED_CONVERSATION}, 0, 'user', '{ADDED_TEXT}'), ({ADDED_CONVERSATION}, 1, 'assistant', '{ADDED_TEXT}')) v),
+    e AS (SELECT *, length('### ' || url_encode(role) || ':?' || '?</turn>?') + length(regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g')) AS n FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id"""
