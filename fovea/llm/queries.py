@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, chat_format, exact_dedup, html_extract, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from fovea.llm import bpe_stream, chat_format, exact_dedup, html_extract, near_dedup, packing, phrase_mining, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -86,6 +86,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.row_records(rows).unionByName(added)))
 
 
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 LLM_SQL["op7_grace_dedup"] = """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -132,3 +137,18 @@ LLM_SQL["op11_chat_format"] = rf"""
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
     FROM e GROUP BY conv_id"""
+
+LLM_SQL["op13_phrase_mining"] = r"""
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+    w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS words FROM p),
+    g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) a(k), unnest(range(1, len(words) - k + 2)) b(i)),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+    c AS (SELECT * FROM f x WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = x.lang AND y.a = x.a AND y.k > x.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+    parts AS (SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS rest FROM c, unnest(range(1, k)) u(j)),
+    cuts AS (SELECT p.lang, p.phrase, p.a, j, l.a AS l, r.a AS r, n, ((1000::HUGEINT * p.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+             FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = head JOIN f r ON r.lang = p.lang AND r.phrase = rest JOIN totals t ON t.lang = p.lang),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a, l, r, n, score FROM best
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
