@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -81,3 +82,12 @@ def each_block(batch: pa.RecordBatch):
 def utf8(column) -> list[bytes]:
     """Texts as UTF-8 bytes; null becomes empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def press(values: np.ndarray) -> bytes:
+    """An array as compressed bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def unpress(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)

@@ -20,12 +20,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fovea.llm.blocks import block_spans, first_block_id, text_sizes, utf8
+from fovea.llm.blocks import block_spans, first_block_id, press, text_sizes, unpress, utf8
 from fovea.runtime import write_stage
 
 DEPTH = 5
@@ -54,14 +53,6 @@ def _byte_map() -> bytes:
 _BYTE_MAP = _byte_map()
 
 
-def _press(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unpress(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Words of the texts as places in the list of different words, -1 where a piece ends."""
     tokens = b"\n".join(texts).translate(_BYTE_MAP).replace(b"\n", b" \n ").split(b" ")
@@ -102,7 +93,7 @@ def _coded(docs: DataFrame, block_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block], pa.int64()), pa.array([list(by_lang)], pa.list_(pa.string())), pa.array([totals], pa.list_(pa.int64())),
-                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), rows), pa.array([_press(np.concatenate(seq))], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), rows), pa.array([press(np.concatenate(seq))], pa.binary()),
                     ],
                     names=["block", "langs", "lang_words", "words", "seq"],
                 )
@@ -172,7 +163,7 @@ _RUNS = "block long, seq binary, ids binary, levels array<binary>"
 
 
 def _state(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return _unpress(row["seq"], np.int32), _unpress(row["ids"], np.int64), [_unpress(x, np.int64) for x in row["levels"]]
+    return unpress(row["seq"], np.int32), unpress(row["ids"], np.int64), [unpress(x, np.int64) for x in row["levels"]]
 
 
 def _runs(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -185,14 +176,14 @@ def _runs(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 known = batch.column("known")[i].values
                 place, ids, groups = (known.field(k).to_numpy() for k in range(3))
-                seq = _unpress(batch.column("seq")[i].as_py(), np.int32)
+                seq = unpress(batch.column("seq")[i].as_py(), np.int32)
                 order = np.argsort(place)
                 table = np.full(max(int(seq.max(initial=0)), int(place.max())) + 2, -1, np.int32)  # the last one stands for -1
                 table[place[order]] = np.arange(len(place), dtype=np.int32)
                 new = table[seq]
                 new = new[(new >= 0) | (np.concatenate([new[1:], [-1]]) >= 0)]  # one break between runs is enough
                 yield pa.RecordBatch.from_pylist(
-                    [{"block": batch.column("block")[i].as_py(), "seq": _press(new), "ids": _press(ids[order]), "levels": [_press(groups[order])]}],
+                    [{"block": batch.column("block")[i].as_py(), "seq": press(new), "ids": press(ids[order]), "levels": [press(groups[order])]}],
                     schema=pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("ids", pa.binary()), ("levels", pa.list_(pa.binary()))]),
                 )
 
@@ -230,7 +221,7 @@ def _extended(runs: DataFrame, depth: int, budget: int, min_count: int) -> tuple
                 groups = np.full(len(first), SETTLED, np.int64)
                 for k in row["known"] or []:
                     groups[k["place"]] = k["grp"]
-                row["levels"] = [*row["levels"], _press(groups)]
+                row["levels"] = [*row["levels"], press(groups)]
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "seq", "ids", "levels")}], schema=pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("ids", pa.binary()), ("levels", pa.list_(pa.binary()))]))
 
     return write_stage(runs.join(back, "block", "left").mapInArrow(learn, _RUNS), "runs"), table
@@ -270,7 +261,7 @@ def _suffixes(runs: DataFrame) -> DataFrame:
                     starts = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1))
                     ends = [*starts[1:].tolist(), len(groups)]
                     out = [
-                        (int(groups[a]), depth, b - a, _press(np.ascontiguousarray(np.vstack([spelled[a:b].T, counts[a:b]])).view(np.uint8).reshape(-1, 8).T))
+                        (int(groups[a]), depth, b - a, press(np.ascontiguousarray(np.vstack([spelled[a:b].T, counts[a:b]])).view(np.uint8).reshape(-1, 8).T))
                         for a, b in zip(starts.tolist(), ends)
                     ]
                     yield pa.RecordBatch.from_arrays(
@@ -285,7 +276,7 @@ def _subtrees(suffixes: DataFrame, min_count: int) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         parts = [
-            np.ascontiguousarray(_unpress(data, np.uint8).reshape(8, -1).T).view(np.int64).reshape(DEPTH + 1, n)
+            np.ascontiguousarray(unpress(data, np.uint8).reshape(8, -1).T).view(np.int64).reshape(DEPTH + 1, n)
             for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist())
         ]
         rows = np.concatenate(parts, axis=1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fovea.llm import bpe_stream, chat_format, exact_dedup, html_extract, near_dedup, packing, phrase_mining, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from fovea.llm import bpe_stream, chat_format, exact_dedup, html_extract, lexical_search, near_dedup, packing, phrase_mining, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 N_SHARDS = 24
 TOKEN_LIMIT = 512
@@ -86,6 +86,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.row_records(rows).unionByName(added)))
 
 
+@query
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents"))
@@ -138,6 +143,20 @@ LLM_SQL["op11_chat_format"] = rf"""
            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
     FROM e GROUP BY conv_id"""
 
+LLM_SQL["op12_dual_tree_search"] = r"""
+    WITH terms AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM terms WHERE len(terms) > 0),
+    items AS (SELECT item_id, row_number() OVER () AS iid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+    q AS (SELECT item_id, iid, term, count(*) AS times FROM items GROUP BY ALL),
+    tf AS (SELECT rid, doc_id, len(terms) AS n, term, count(*) AS tf FROM terms, unnest(terms) u(term) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+    scored AS (SELECT iid, item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+               FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY iid, item_id, rid, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id, rid)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id, rid) <= 10"""
+
 LLM_SQL["op13_phrase_mining"] = r"""
     WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
     p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
