@@ -7,13 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fovea.functions.ranks import at_quantile, value_ranks
-from fovea.operators.estimate import closest_candidate, relation_rows, screen_pairs
-from fovea.runtime import durable, spread
+from fovea.operators.estimate import closest_candidate, screen_pairs
+from fovea.runtime import spread
 from fovea.schema import REL_PATIENT
 
 # Settings of the balanced transport.
@@ -22,6 +21,8 @@ MAX_ITER = 100
 TOL = 1e-6
 NEGATIVE_TOL = 1e-10
 CHUNK = 512
+#: Iterations between two kernels.
+ABSORB = 25
 
 
 def cost_array(cost: DataFrame, n_states: int) -> np.ndarray:
@@ -45,26 +46,55 @@ def _log(v: np.ndarray) -> np.ndarray:
 
 
 def balanced_potentials(a, b, cost, epsilons=EPSILONS, max_iter=MAX_ITER, tol=TOL, start=None):
-    """Dual potentials of entropic transport for a batch of pairs; converged rows are frozen."""
-    log_a, log_b = _log(a), _log(b)
+    """Dual potentials of entropic transport for a batch of pairs; converged rows are frozen.
+
+    Between two absorptions an iteration is two products with the kernel of the potentials
+    so far; taking the potentials in regularly keeps the factors in range.
+    """
     f, g = start if start is not None else (np.zeros_like(a), np.zeros_like(b))
     for eps in epsilons:
         live = np.arange(a.shape[0])
-        for _ in range(max_iter):
-            gm = np.where(b[live] > 0, g[live], -np.inf)
-            fl = np.where(a[live] > 0, eps * (log_a[live] - _lse((gm[:, None, :] - cost) / eps, 2)), 0.0)
-            fm = np.where(a[live] > 0, fl, -np.inf)
-            gl = np.where(b[live] > 0, eps * (log_b[live] - _lse((fm[:, :, None] - cost) / eps, 1)), 0.0)
-            f[live], g[live] = fl, gl
-            gm = np.where(b[live] > 0, gl, -np.inf)
-            plan = np.exp((fm[:, :, None] + gm[:, None, :] - cost) / eps)
-            residual = np.maximum(np.abs(plan.sum(2) - a[live]).max(1), np.abs(plan.sum(1) - b[live]).max(1))
-            live = live[residual > tol]
+        for done in range(0, max_iter, ABSORB):
+            live = _scaled(a, b, f, g, cost, eps, min(ABSORB, max_iter - done), tol, live)
             if live.size == 0:
                 break
     return f, g
 
 
+def _scaled(a, b, f, g, cost, eps, max_iter, tol, live):
+    """Up to ``max_iter`` iterations on the live rows, written back to ``f`` and ``g``; the rows still live."""
+    al, bl = a[live], b[live]
+    fm, gm = np.where(al > 0, f[live], -np.inf), np.where(bl > 0, g[live], -np.inf)
+    # shifted so that the largest entry of every row of the kernel is about one
+    rows = (gm[:, None, :] - cost).max(2) if live.size else fm
+    fm = np.where(al > 0, -rows, -np.inf)
+    kernel = np.exp((fm[:, :, None] + gm[:, None, :] - cost) / eps)
+    u, v = np.ones_like(al), np.where(bl > 0, 1.0, 0.0)
+    side, still = (kernel @ v[:, :, None])[:, :, 0], np.ones(live.size, bool)
+    back = kernel.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for _ in range(max_iter):
+            u = np.where(al > 0, al / side, 0.0)
+            v = np.where(bl > 0, bl / (back @ u[:, :, None])[:, :, 0], 0.0)
+            side = (kernel @ v[:, :, None])[:, :, 0]
+            settled = np.abs(u * side - al).max(1) <= tol
+            new = settled & still
+            if new.any():
+                at = live[new]
+                f[at] = np.where(al[new] > 0, fm[new] + eps * np.log(u[new]), 0.0)
+                g[at] = np.where(bl[new] > 0, gm[new] + eps * np.log(v[new]), 0.0)
+                still &= ~new
+                if not still.any():
+                    return live[:0]
+                if 2 * still.sum() < still.size:  # drop what is done
+                    al, bl, fm, gm, kernel, u, v, side, live = (x[still] for x in (al, bl, fm, gm, kernel, u, v, side, live))
+                    back, still = kernel.transpose(0, 2, 1), np.ones(live.size, bool)
+        at = live[still]
+        f[at] = np.where(al[still] > 0, fm[still] + eps * np.log(u[still]), 0.0)
+        g[at] = np.where(bl[still] > 0, gm[still] + eps * np.log(v[still]), 0.0)
+    return at
+
+
 def balanced_value(a, b, cost, epsilons=EPSILONS, max_iter=MAX_ITER, tol=TOL) -> np.ndarray:
     """Regularised transport value per pair at the last epsilon."""
     f, g = balanced_potentials(a, b, cost, epsilons, max_iter, tol)
@@ -231,10 +261,7 @@ def penalty_by_mass(pairs: DataFrame, scope: list[str], grid: list[float], cost:
 
 
 # --- relation fitting --------------------------------------------------------
-# One objective per relation over all patients and all their pairs. Every step sums loss,
-# squared loss and their gradients over the pairs with a Spark aggregation, wherever the
-# pairs lie, and takes one update per patient on the sums. Patients meet only in the cohort
-# mean, which follows from their current relations.
+# Loss of the pairs under a relation and its gradient; the fit itself is in ``fitting``.
 
 # Weights and start of the relation objective.
 OFFDIAG_START = 1e-4
@@ -298,130 +325,3 @@ def _step_gradient(q, b, w, t, e, cost, scale, warm):
     loss, draw, (cross, own) = _pair_terms(q, b, warm[2], t, e, cost, scale, warm)
     fit, gt, ge = _from_sums(_pair_sums(q, w, loss, draw).sum(0)[None], e.size)
     return fit[0], gt[0], ge[0], (cross, own, warm[2])
-
-
-def _weighted(pairs: DataFrame, patients: DataFrame, cost: np.ndarray, n_states: int) -> DataFrame:
-    """Pair rows with their patient's number, a weight that balances blocks and the self term of the target."""
-    block = [*REL_PATIENT, "subbag_index"]
-    per_block = pairs.groupBy(*block).agg(F.count(F.lit(1)).alias("n_block"))
-    per_patient = per_block.groupBy(*REL_PATIENT).agg(F.count(F.lit(1)).alias("n_blocks"))
-    sized = pairs.join(per_block, block).join(per_patient, REL_PATIENT).join(patients, REL_PATIENT)
-    rows = sized.select("number", (1.0 / (F.col("n_block") * F.col("n_blocks"))).alias("weight"), "a", "b")
-
-    def add(batches):
-        for batch in batches:
-            b = _matrix(batch.column("b"), n_states)
-            g, h = balanced_potentials(b, b, cost)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(0.5 * ((g + h) * b).sum(1))], names=[*batch.schema.names, "own"])
-
-    return durable(spread(rows).mapInArrow(add, "number int, weight double, a array<double>, b array<double>, own double"))
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
-def _summed(rows: DataFrame, t: np.ndarray, e: np.ndarray, live: np.ndarray, scale: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """``_pair_sums`` of the live patients, added up by Spark over all their pairs."""
-    k = e.shape[1]
-    width = 2 + 2 * (k * k + k)
-
-    def run(batches):
-        for batch in batches:
-            everyone = batch.column("number").to_numpy()
-            for lo in range(0, len(everyone), CHUNK):
-                part = batch.slice(lo, CHUNK)
-                at = np.flatnonzero(live[everyone[lo : lo + CHUNK]])
-                if not at.size:
-                    continue
-                who = everyone[lo : lo + CHUNK][at]
-                q, b = _matrix(part.column("a"), k)[at], _matrix(part.column("b"), k)[at]
-                loss, draw, _ = _pair_terms(q, b, part.column("own").to_numpy()[at], t[who], e[who], cost, scale[who])
-                mine, place = np.unique(who, return_inverse=True)
-                sums = np.zeros((mine.size, width))
-                np.add.at(sums, place, _pair_sums(q, part.column("weight").to_numpy()[at], loss, draw))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(mine, width)), pa.array(np.tile(np.arange(width, dtype=np.int32), mine.size)), pa.array(sums.ravel())],
-                    names=["number", "slot", "value"],
-                )
-
-    parts = rows.mapInArrow(run, "number int, slot int, value double")
-    got = parts.groupBy("number", "slot").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros((len(e), width))
-    out[got["number"].to_numpy(), got["slot"].to_numpy()] = got["value"].to_numpy()
-    return out
-
-
-def _states_of(relation: DataFrame, n_states: int) -> DataFrame:
-    """Array form of a relation: (state_id, a, d, e) rows from the flat ``t`` and ``e`` arrays."""
-    k1 = n_states + 1
-    rows = relation.select(*REL_PATIENT, "t", "e", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("state_id"))
-    return rows.select(
-        *REL_PATIENT, "state_id", F.slice("t", F.col("state_id") * k1 + 1, n_states).alias("a"),
-        F.get("t", F.col("state_id") * k1 + n_states).alias("d"), F.get("e", F.col("state_id")).alias("e"),
-    )
-
-
-def fit_relations(
-    pairs: DataFrame, cost: np.ndarray, n_states: int, rounds: int = (WARMUP_STEPS + MAIN_STEPS) // 20, steps: int = 20
-) -> tuple[DataFrame, list[dict]]:
-    """Relations of every patient from its FOV pairs, and the mean objective after every round of ``steps`` updates.
-
-    The rate follows the fixed schedule over ``rounds * steps`` updates; a relation is done
-    when it reaches the plateau. The driver holds one relation per patient, the pairs stay
-    where they are: how they are spread does not change the result.
-    """
-    spark, k = pairs.sparkSession, n_states
-    keys = sorted((r["relation_id"], r["patient_id"]) for r in pairs.select(*REL_PATIENT).distinct().collect())
-    patients = spark.createDataFrame([(*key, i) for i, key in enumerate(keys)], "relation_id string, patient_id string, number int")
-    rows = _weighted(pairs, patients, cost, k)
-    reference = pair_divergences(pairs.select("relation_id", "pair_id", "a", "b"), cost)
-    scales = {r["relation_id"]: max(r["m"], SCALE_FLOOR) for r in reference.groupBy("relation_id").agg(F.avg("cost").alias("m")).collect()}
-    relations = sorted(scales)
-    group = np.array([relations.index(relation) for relation, _ in keys], int)
-    scale = np.array([scales[relation] for relation, _ in keys])
-    size = np.bincount(group, minlength=len(relations))
-
-    t0, e0 = start_relation(k)
-    t, e = np.repeat(t0[None], len(keys), 0), np.repeat(e0[None], len(keys), 0)
-    logits = [np.log(np.maximum(t, 1e-12)), np.log(np.maximum(e, 1e-12) / np.maximum(1 - e, 1e-12))]
-    m, v = [np.zeros_like(x) for x in logits], [np.zeros_like(x) for x in logits]
-    live = np.ones(len(keys), bool)
-    before, calm = np.full(len(relations), np.inf), np.zeros(len(relations), int)
-    history: list[dict] = []
-    for i in range(1, rounds * steps + 1):
-        if not live.any():
-            break
-        fit, gt, ge = _from_sums(_summed(rows, t, e, live, scale, cost), k)
-        mean = lambda x: np.stack([x[group == r].mean(0) for r in range(len(relations))])[group]
-        off_t, off_e = t - mean(t), e - mean(e)
-        opened = t[:, :, -1].mean(1) + e.mean(1)
-        geometry = (t[:, :, :-1] * cost).sum((1, 2)) / k
-        apart = (off_t**2).sum(2).mean(1) + (off_e**2).mean(1)
-        value = (fit + (opened + GEOMETRY_WEIGHT * geometry) / 2 + apart / COHORT_SCALE) / 3
-        running = np.bincount(group[live], minlength=len(relations)) > 0
-        now = np.where(running, np.bincount(group, value, len(relations)) / size, before)
-        late = i >= WARMUP_STEPS + MIN_MAIN_STEPS
-        calm = np.where(late & running & (np.abs(before - now) <= PLATEAU_CHANGE), calm + 1, 0)
-        before = now
-        live &= ~(calm >= PLATEAU_STEPS)[group]
-
-        gt += 2.0 * off_t / k / COHORT_SCALE
-        gt[:, :, :-1] += GEOMETRY_WEIGHT * cost / k / 2
-        gt[:, :, -1] += 0.5 / k
-        ge = ge + 0.5 / k + 2.0 * off_e / k / COHORT_SCALE
-        grads = [t * (gt - (gt * t).sum(2, keepdims=True)) / 3, ge * e * (1 - e) / 3]
-        done = min(max(i - 1 - WARMUP_STEPS, 0) / MAIN_STEPS, 1.0)
-        rate = WARMUP_RATE if i <= WARMUP_STEPS else MAIN_RATE * 0.5 * (1.0 + np.cos(np.pi * done))
-        for j, gx in enumerate(grads):
-            m[j] = 0.9 * m[j] + 0.1 * gx
-            v[j] = 0.999 * v[j] + 0.001 * gx * gx
-            logits[j][live] -= (rate * (m[j] / (1 - 0.9**i)) / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8))[live]
-        ez = np.exp(logits[0] - logits[0].max(2, keepdims=True))
-        t, e = ez / ez.sum(2, keepdims=True), 1.0 / (1.0 + np.exp(-logits[1]))
-        if i % steps == 0 or not live.any():
-            history.append(dict(zip(relations, now.tolist())))
-    fitted = spark.createDataFrame(
-        [(*key, t[i].ravel().tolist(), e[i].tolist()) for i, key in enumerate(keys)], "relation_id string, patient_id string, t array<double>, e array<double>"
-    )
-    return relation_rows(REL_PATIENT, _states_of(fitted, k), k), history

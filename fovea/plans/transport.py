@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fovea.operators import compose, estimate, kernels, pairing
+from fovea.operators import estimate, fitting, kernels, pairing
 from fovea.plans import base
 from fovea.plans import relations as rel
 from fovea.plans.base import K
@@ -25,6 +25,18 @@ def cost(spark, sf):
     return kernels.cost_array(rel.identity_cost(spark, sf), K)
 
 
+def fitted(spark, sf):
+    """(relation entries, ledger) of all declared relations, from one fit."""
+    made = []
+
+    def fit():
+        if not made:
+            made.append(fitting.fit_relations(pairs(spark, sf), cost(spark, sf), K))
+        return made[0]
+
+    return staged(spark, "fit_entries", sf, lambda: fit().entries), staged(spark, "fit_ledger", sf, lambda: fit().ledger)
+
+
 view(
     "block_pairs",
     "SELECT a.relation_id, a.patient_id, a.subbag_index, a.fov_id AS source_fov_id, b.fov_id AS target_fov_id FROM (SELECT * FROM blocks WHERE side = 'source') a JOIN (SELECT * FROM blocks WHERE side = 'target') b USING (relation_id, patient_id, subbag_index)",
@@ -96,8 +108,26 @@ def _(spark, sf):
 
 @query("fitted_relations", "G17 G18")
 def _(spark, sf):
-    entries, _ = kernels.fit_relations(pairs(spark, sf), cost(spark, sf), K)
-    return entries
+    return fitted(spark, sf)[0]
+
+
+@query(
+    "fit_ledger", "G16 G17",
+    "SELECT relation_id, patient_id, 'ok' AS status, count(*) AS n_pairs, true AS adds_up FROM block_pairs GROUP BY 1, 2", "block_pairs",
+)
+def _(spark, sf):
+    """Status and terms of the objective per patient; the objective recomputed from relation, mean and observation."""
+    entries, ledger = fitted(spark, sf)
+    opened = entries.where("entry_type <> 'A'").groupBy(*RK).agg((F.sum("value") / K).alias("open_now"))
+    mean = entries.groupBy("relation_id", "entry_type", "row_id", "col_id").agg(F.avg("value").alias("mean"))
+    apart = entries.join(mean, ["relation_id", "entry_type", "row_id", "col_id"]).groupBy(*RK).agg((F.sum((F.col("value") - F.col("mean")) ** 2) / K).alias("apart_now"))
+    moved = entries.where("entry_type = 'A'").join(rel.identity_cost(spark, sf).select(F.col("i").alias("row_id"), F.col("j").alias("col_id"), "cost"), ["row_id", "col_id"])
+    geometry = moved.groupBy(*RK).agg((F.sum(F.col("value") * F.col("cost")) / K).alias("geometry_now"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9
+    again = (F.col("observation") + F.col("consistency") + (F.col("open_now") + kernels.GEOMETRY_WEIGHT * F.col("geometry_now")) / 2 + F.col("apart_now") / kernels.COHORT_SCALE) / 3
+    rows = ledger.join(opened, RK).join(apart, RK).join(geometry, RK)
+    sound = near("open", "open_now") & near("geometry", "geometry_now") & near("recurrence", "apart_now") & (F.abs(F.col("objective") - again) <= 1e-6)
+    return rows.select(*RK, "status", "n_pairs", sound.alias("adds_up"))
 
 
 # --- checks of fitted results ---------------------------------------------------
@@ -113,8 +143,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Every eligible patient has a full relation of row distributions that predicts its blocks better than the start does."""
-    build = lambda: kernels.fit_relations(pairs(spark, sf), cost(spark, sf), K)[0]
-    entries = staged(spark, "fitted", sf, build)
+    entries = fitted(spark, sf)[0]
     row = F.when(F.col("entry_type") != "e", F.col("row_id"))
     sums = entries.where("entry_type <> 'e'").groupBy(*RK, row.alias("row_id")).agg(F.sum("value").alias("s"))
     whole = sums.groupBy(*RK).agg(F.bool_and(F.abs(F.col("s") - 1) < 1e-8).alias("rows_sum_to_one"))
