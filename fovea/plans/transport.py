@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fovea.operators import estimate, fitting, kernels, pairing
+from fovea.operators import bags, estimate, fitting, kernels, pairing
 from fovea.plans import base
 from fovea.plans import relations as rel
 from fovea.plans.base import K
@@ -68,6 +68,33 @@ def _(spark, sf):
     return kernels.block_divergences(costs).join(scales.drop("n_pairs"), [*RK, "subbag_index"])
 
 
+def block_bags(spark, sf):
+    """FOVs of both sides of the evidence blocks with their compositions."""
+    rows = rel.blocks(spark, sf).join(base.fov_vectors(spark, sf).drop("domain_label"), ["patient_id", "timepoint", "fov_id"])
+    return rows.select(*RK, "subbag_index", "side", "fov_id", "fractions")
+
+
+@query("bag_divergences", "G13 G15")
+def _(spark, sf):
+    return bags.bag_divergences(block_bags(spark, sf), [*RK, "subbag_index"], cost(spark, sf))
+
+
+@query(
+    "bag_divergence_checks", "G13",
+    """SELECT relation_id, patient_id, subbag_index, count(*) FILTER (side = 'source') AS n_source, count(*) FILTER (side = 'target') AS n_target, true AS sound, true AS zero_against_itself
+       FROM blocks GROUP BY 1, 2, 3 HAVING count(*) FILTER (side = 'source') > 0 AND count(*) FILTER (side = 'target') > 0""", "blocks",
+)
+def _(spark, sf):
+    """Every block has a finite divergence, of one between two different single FOVs; a bag has none against itself."""
+    key, both = [*RK, "subbag_index"], block_bags(spark, sf)
+    out = bags.bag_divergences(both, key, cost(spark, sf))
+    source = both.where("side = 'source'")
+    same = bags.bag_divergences(source.unionByName(source.withColumn("side", F.lit("target"))), key, cost(spark, sf)).select(*key, F.col("divergence").alias("own"))
+    single = (F.col("n_source") == 1) & (F.col("n_target") == 1) & ~F.col("scale_defaulted")
+    sound = (F.col("status") == "ok") & (F.col("divergence") >= 0) & (~single | (F.abs(F.col("divergence") - 1) < 1e-6))
+    return out.join(same, key).select(*key, "n_source", "n_target", sound.alias("sound"), (F.col("own") < 1e-6).alias("zero_against_itself"))
+
+
 @query("match_pairs", "G14")
 def _(spark, sf):
     rows = pairs(spark, sf).select(*RK, "subbag_index", "source_fov_id", "target_fov_id", "a", "b").withColumn("penalty", F.lit(1.0))
