@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "checks", "relations", "statistics", "spatial", "factors", "transport", "report_tables"]
+MODULES = ["tables", "checks", "relations", "statistics", "spatial", "factors", "transport", "fitted", "report_tables"]
 
 
 def load_catalog():
