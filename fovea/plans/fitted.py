@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fovea.operators import stats, summary
+from fovea.operators import fitting, pairing, stats, summary
 from fovea.operators.source import SOURCE_NAMES, TARGET_NAMES, RelationSource
+from fovea.plans import base, transport
 from fovea.plans import relations as rel
-from fovea.plans import transport
 from fovea.plans.base import LEFT, RIGHT, K
 from fovea.plans.catalog import query, view
+from fovea.runtime import staged
+from fovea.schema import FOV_KEYS
 
 RK = ["relation_id", "patient_id"]
 COORD = ["entry_type", "row_id", "col_id"]
@@ -184,3 +186,64 @@ def _(spark, sf):
         return table.agg(F.count(F.lit(1)).alias("n_tests"), F.max("n_patients").alias("n_patients"), F.bool_and(sound & F.lit(True)).alias("sound")).select(F.lit(level).alias("level"), "n_tests", "n_patients", "sound")
 
     return facts("family", stats.paired_supplement(s.family_contrast(LEFT, RIGHT), ["summary_name", "scale"])).unionByName(facts("element", s.element_supplement(LEFT, RIGHT)))
+
+
+# --- calibration of fitted relations -------------------------------------------
+
+#: Permutations that are fitted; each is a cohort of its own, fitted by the schedule of the observed one.
+N_FITTED = 19
+
+
+def permuted_pairs(spark, sf):
+    """FOV pairs of the observed family (relation -1) and of every permutation, in one table."""
+    seen = rel.family_fovs(spark, sf).select(F.lit(-1).alias("permutation_index"), *FOV_KEYS, "domain_label")
+    null = rel.permutations(spark, sf, N_FITTED).select("permutation_index", *FOV_KEYS, F.col("permuted_domain_label").alias("domain_label"))
+    side = F.when(F.col("domain_label") == rel.SRC, "source").otherwise("target")
+    chosen = seen.unionByName(null).select(F.col("permutation_index").cast("string").alias("relation_id"), "patient_id", side.alias("side"), "timepoint", "domain_label", "fov_id")
+    blocks = pairing.evidence_blocks(pairing.ordered_bags(chosen), pairing.relation_support(chosen))
+    return pairing.block_pairs(blocks, base.fov_vectors(spark, sf))
+
+
+def permuted_fit(spark, sf):
+    """Entries (permutation_index, patient_id, ...) of one fit over all cohorts at once."""
+    build = lambda: fitting.fit_relations(staged(spark, "permuted_pairs", sf, lambda: permuted_pairs(spark, sf)), transport.cost(spark, sf), K).entries
+    return staged(spark, "permuted_fit", sf, build).withColumn("permutation_index", F.col("relation_id").cast("int")).drop("relation_id")
+
+
+def permuted_families(spark, sf):
+    """(observed, null) family summaries of the fits."""
+    keys = ["permutation_index", "patient_id"]
+    ends = rel.real_endpoints(spark, sf).unionByName(rel.null_endpoints(spark, sf, N_FITTED))
+    out = summary.family_summaries(summary.packed_with_burden(permuted_fit(spark, sf), ends, keys, K), keys)
+    return out.where("permutation_index < 0"), out.where("permutation_index >= 0")
+
+
+@query("fitted_patient_calibration", "F10 G17 I20 I21 I22 I23")
+def _(spark, sf):
+    return stats.patient_calibration(*permuted_families(spark, sf))
+
+
+@query("fitted_cohort_calibration", "F10 G17 I24")
+def _(spark, sf):
+    return stats.cohort_calibration(*permuted_families(spark, sf))
+
+
+@query(
+    "fitted_calibration_checks", "F10 G17 I20 I23",
+    f"""SELECT patient_id, summary_name, scale, reference_stat, CASE WHEN summary_name = 'self_retention' THEN 'left' ELSE 'right' END AS expected_tail, {N_FITTED} AS n_reference, true AS follows
+        FROM freal_family CROSS JOIN (VALUES ('median'), ('mean')) s(reference_stat)""",
+    "freal_family",
+)
+def _(spark, sf):
+    """Every patient of the family is set against all permutations; tail and reference recounted from the sorted null values."""
+    real, null = permuted_families(spark, sf)
+    axis = ["patient_id", "summary_name", "scale"]
+    sorted_ = null.groupBy(*axis).agg(F.array_sort(F.collect_list(F.round("value", 12))).alias("nulls"))
+    seen = sorted_.join(real.select(*axis, F.round("value", 12).alias("seen")), axis)
+    out = stats.patient_calibration(real, null).join(seen, axis)
+    left = F.size(F.filter("nulls", lambda v: v <= F.col("seen")))
+    right = F.size(F.filter("nulls", lambda v: v >= F.col("seen")))
+    k = F.when(F.col("expected_tail") == "left", left).otherwise(right)
+    middle = F.when(F.col("reference_stat") == "median", F.get("nulls", F.lit(N_FITTED // 2))).otherwise(F.aggregate("nulls", F.lit(0.0), lambda a, v: a + v) / N_FITTED)
+    sound = close(F.col("empirical_p_value"), (1 + k) / (1 + N_FITTED)) & close(F.col("null_reference"), middle) & close(F.col("effect_delta"), F.col("real_value") - middle)
+    return out.select(*axis, "reference_stat", "expected_tail", F.size("nulls").alias("n_reference"), sound.alias("follows"))
