@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fovea.runtime import literal_table
+from fovea.runtime import literal_table, write_stage
 from fovea.schema import MASS_TOL
 
 
@@ -15,24 +15,79 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def fit_states(features: DataFrame, n_states: int, n_starts: int = 20, seed: int = 42) -> tuple[DataFrame, float]:
+#: Rows that the starts are drawn from, those with the smallest hashes; a bound for the driver.
+SEED_ROWS = 4096
+#: A start is settled when none of its centres moves further.
+SHIFT_TOL, MAX_ITER = 1e-4, 50
+_BATCH = 4096
+
+
+def seed_centers(rows: np.ndarray, n_states: int, n_starts: int, seed: int) -> np.ndarray:
+    """[starts, states, features]: each next centre by its squared distance to the ones before."""
+    out = np.empty((n_starts, n_states, rows.shape[1]))
+    for start in range(n_starts):
+        rng = np.random.default_rng([seed, start])
+        out[start, 0] = rows[rng.integers(len(rows))]
+        near = ((rows - out[start, 0]) ** 2).sum(1)
+        for k in range(1, n_states):
+            total = near.sum()
+            out[start, k] = rows[rng.choice(len(rows), p=near / total) if total > 0 else rng.integers(len(rows))]
+            near = np.minimum(near, ((rows - out[start, k]) ** 2).sum(1))
+    return out
+
+
+def lloyd_sums(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, counts, squared distances) of the rows nearest to every centre of every start, in one job."""
+    starts, k, d = centers.shape
+    width = k * (d + 1) + 1
+
+    def run(batches):
+        total = np.zeros((starts, width))
+        offset = 0.5 * (centers**2).sum(2)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for lo in range(0, len(flat), _BATCH):
+                x = flat[lo : lo + _BATCH]
+                for s in range(starts):
+                    own = np.argmin(offset[s] - x @ centers[s].T, 1)
+                    for j in range(d):
+                        total[s, j * k : (j + 1) * k] += np.bincount(own, x[:, j], k)
+                    total[s, d * k : -1] += np.bincount(own, minlength=k)
+                    total[s, -1] += ((x - centers[s, own]) ** 2).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["slot", "value"])
+
+    got = vectors.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros(starts * width)
+    total[got["slot"].to_numpy()] = got["value"].to_numpy()
+    total = total.reshape(starts, width)
+    return total[:, : d * k].reshape(starts, d, k).transpose(0, 2, 1), total[:, d * k : -1], total[:, -1]
+
+
+def fit_states(features: DataFrame, n_states: int, n_starts: int = 20, seed: int = 42, max_iter: int = MAX_ITER) -> tuple[DataFrame, float]:
     """Best of several k-means starts; centroids relabelled in lexicographic order.
 
-    Returns the centroids (state-sized) and the training cost of the best start.
+    All starts move together: a job per iteration adds up the rows of every centre of every
+    start that still moves, over a written stage. Returns the centroids (state-sized) and
+    the training cost of the best start. A centre that loses all rows stays where it was.
     """
-    vectors = features.select(array_to_vector("features").alias("features")).persist()
-    best = None
-    try:
-        for start in range(n_starts):
-            model = KMeans(k=n_states, seed=seed + start, maxIter=50).fit(vectors)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model.clusterCenters())
-    finally:
-        vectors.unpersist()
-    centers = sorted([float(v) for v in c] for c in best[1])
-    rows = list(enumerate(centers))
-    return literal_table(features.sparkSession, ["state_id", "features"], rows), best[0]
+    vectors = write_stage(features.select("features"), "vectors")
+    drawn = vectors.select("features").orderBy(F.xxhash64("features", F.lit(seed)), "features").limit(SEED_ROWS).collect()
+    if not drawn:
+        raise ValueError("there are no rows to cluster")
+    centers = seed_centers(np.array([r["features"] for r in drawn], float), n_states, n_starts, seed)
+    cost, live = np.full(n_starts, np.inf), np.ones(n_starts, bool)
+    for _ in range(max_iter):
+        sums, counts, _ = lloyd_sums(vectors, centers[live])
+        new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centers[live])
+        moved = ((new - centers[live]) ** 2).sum(2).max(1) > SHIFT_TOL**2
+        centers[live] = new
+        live[np.flatnonzero(live)[~moved]] = False
+        if not live.any():
+            break
+    _, _, cost = lloyd_sums(vectors, centers)
+    best = int(np.argmin(cost))
+    rows = list(enumerate(sorted([float(v) for v in c] for c in centers[best])))
+    return literal_table(features.sparkSession, ["state_id", "features"], rows), float(cost[best])
 
 
 def squared_distance(a: Column, b: Column) -> Column:
