@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -74,11 +75,18 @@ def forget_stages() -> None:
     _stages.clear()
 
 
-def _state_of(spark: SparkSession, folder: str) -> tuple:
-    """Names, sizes and times of the tables in a folder; changes when one of them does."""
+def _state_of(spark: SparkSession, folder: str) -> str:
+    """Digest of names, sizes and times of all files below a folder; changes when one of them does.
+
+    A table may be a folder of files, whose own entry says nothing about its content.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in listed))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
 
 
 def staged(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
