@@ -145,7 +145,7 @@ def _common(coded: DataFrame, min_count: int, bucket_hashes: int) -> tuple[DataF
     bits back. Hashes are as short as the number of them allows; where two meet, more pass.
     """
     total = coded.agg(F.sum("n")).first()[0] or 0
-    width = min(64, int(total).bit_length() + 12)
+    width = min(64, int(total).bit_length() + 6)
     bits = max(1, int(max(shuffle_width(coded.sparkSession), total / bucket_hashes) - 1).bit_length())
 
     def send(batches):
@@ -435,7 +435,7 @@ def _suffixes(runs: DataFrame) -> DataFrame:
                     starts = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1))
                     ends = [*starts[1:].tolist(), len(groups)]
                     out = [
-                        (int(groups[a]), depth, b - a, press(np.ascontiguousarray(np.vstack([spelled[a:b].T, counts[a:b]])).view(np.uint8).reshape(-1, 8).T))
+                        (int(groups[a]), depth, b - a, pack_numbers(np.vstack([spelled[a:b].T, counts[a:b]]).ravel(), level=3))
                         for a, b in zip(starts.tolist(), ends)
                     ]
                     yield pa.RecordBatch.from_arrays(
@@ -452,7 +452,7 @@ def _subtrees(suffixes: DataFrame, min_count: int) -> DataFrame:
         sizes_in = table.column("n").to_pylist()
         rows, end = np.empty((DEPTH + 1, sum(sizes_in)), np.int64), 0
         for n, data in zip(sizes_in, table.column("data")):
-            rows[:, end : end + n] = np.ascontiguousarray(unpress(data.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).reshape(DEPTH + 1, n)
+            rows[:, end : end + n] = unpack_numbers(data.as_py()).view(np.int64).reshape(DEPTH + 1, n)
             end += n
         order = np.lexsort(rows[DEPTH - 1 :: -1])
         for column in rows:
@@ -503,6 +503,11 @@ def phrase_counts(
     return write_stage(everything, "nodes"), vocabulary, totals
 
 
+def _name(path: Column, one: str, two: str) -> list[Column]:
+    """96 bits that stand for a path in joins, which then need not move it."""
+    return [F.xxhash64(path).alias(one), F.hash(path).alias(two)]
+
+
 def _exact(c: Column | str) -> Column:
     """A 64-bit count as a number whose products stay exact."""
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
@@ -523,22 +528,25 @@ def collocations(
     has that count, so has the one that is a single word longer, so these are enough.
     """
     nodes, vocabulary, totals = phrase_counts(docs, min_count, budget, lang_col, text_col, block_bytes)
-    size = F.size("path")
-    longer = nodes.where(size > 2).select(F.explode(F.array(F.slice("path", 1, size - 1), F.slice("path", 2, size - 1))).alias("path"), "f")
-    kept = write_stage(nodes.where(size > 1).join(longer, ["path", "f"], "left_anti"), "candidates")
+    size, own = F.size("path"), ["a1", "a2"]
+    named = nodes.select("path", "f", *_name(F.col("path"), *own))
+    subs = F.array(*[F.struct(*_name(F.slice("path", at, size - 1), *own)) for at in (1, 2)])
+    longer = nodes.where(size > 2).select(F.explode(subs).alias("s"), "f").select("s.*", "f")
+    kept = write_stage(named.where(size > 1).join(longer, [*own, "f"], "left_anti"), "candidates")
 
     words = vocabulary.select(F.col("id").alias("word_id"), "word", "lang")
     spelled = (
-        kept.select("path", F.posexplode("path").alias("at", "word_id")).join(words, "word_id").groupBy("path")
+        kept.select(*own, F.posexplode("path").alias("at", "word_id")).join(words, "word_id").groupBy(*own)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase"), F.first("lang").alias("lang"))
     )
-    cuts = kept.select("path", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    sides = cuts.select("*", F.slice("path", F.lit(1), F.col("k")).alias("head"), F.slice("path", F.col("k") + 1, size - F.col("k")).alias("rest"))
+    cuts = kept.select(*own, "path", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    head, rest = F.slice("path", F.lit(1), F.col("k")), F.slice("path", F.col("k") + 1, size - F.col("k"))
+    sides = cuts.select(*own, "a", "k", *_name(head, "h1", "h2"), *_name(rest, "r1", "r2"))
+    counts = lambda one, two, f: named.select(F.col("a1").alias(one), F.col("a2").alias(two), F.col("f").alias(f))
     measured = (
-        sides.join(nodes.select(F.col("path").alias("head"), F.col("f").alias("l")), "head")
-        .join(nodes.select(F.col("path").alias("rest"), F.col("f").alias("r")), "rest")
-        .groupBy("path", "a").agg(F.collect_list(F.struct("k", "l", "r")).alias("cuts"))
-        .join(spelled, "path").join(totals, "lang")
+        sides.join(counts("h1", "h2", "l"), ["h1", "h2"]).join(counts("r1", "r2", "r"), ["r1", "r2"])
+        .groupBy(*own, "a").agg(F.collect_list(F.struct("k", "l", "r")).alias("cuts"))
+        .join(spelled, own).join(totals, "lang")
     )
     score = lambda c: F.call_function("div", F.lit(1000).cast("decimal(4,0)") * (_exact("a") * _exact("n")), _exact(c["l"]) * _exact(c["r"])).cast("long")
     scored = F.transform("cuts", lambda c: F.struct(score(c).alias("score"), c["k"].alias("k"), c["l"].alias("l"), c["r"].alias("r")))

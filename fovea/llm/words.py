@@ -149,13 +149,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(run[:n], run[width - size : width - size + n])
 
 
-def pack_numbers(values: np.ndarray, ascending: bool = False) -> bytes:
+def pack_numbers(values: np.ndarray, ascending: bool = False, level: int = 1) -> bytes:
     """64-bit numbers byte plane by byte plane, ascending ones as differences, compressed."""
     values = values.astype(np.uint64, copy=False)
     if ascending:
         values = np.diff(values, prepend=np.uint64(0))
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def unpack_numbers(data: bytes, ascending: bool = False) -> np.ndarray:
