@@ -10,6 +10,7 @@ count once, so that an article published twice does not turn into template.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from urllib.parse import urlsplit
 
@@ -76,6 +77,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _CLASS_WORD = re.compile(r"[^a-z0-9]+")
 
+#: Elements nested deeper become siblings at this depth, as in browsers; a page's work then grows with its length.
+MAX_DEPTH = 64
 #: Templates (host, subtree) up to this number are broadcast, at most about 20 MB; more are joined by shuffle.
 BROADCAST_TEMPLATES = 200_000
 
@@ -87,10 +90,11 @@ def _hash(text: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "article", "main", "framed", "number", "hash", "links", "chars", "linked", "mark")
+    __slots__ = ("tag", "parent", "parts", "dropped", "article", "main", "framed", "number", "hash", "links", "chars", "linked", "mark", "depth")
 
     def __init__(self, tag: str, parent: "_Node | None", attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
+        self.depth = 0 if parent is None else parent.depth + 1
         self.parts: list = []
         self.number = (0, 1)
         self.links = self.chars = self.linked = self.hash = 0
@@ -150,6 +154,8 @@ def parse(source: str) -> _Node:
         if tag == "body":
             while node.parent is not None and node.tag != "html":
                 node = node.parent
+        if node.depth >= MAX_DEPTH and tag not in VOID and tag not in RAW:
+            node = node.parent
         child = _Node(tag, node, attributes)
         node.parts.append(child)
         if tag in RAW:
@@ -240,13 +246,30 @@ def _short(text: str) -> int:
 
 def _nodes(blocks: list[tuple[str, list[_Node]]]) -> list[tuple[int, int, int, bool]]:
     """(hash, place, longest block outside, is it a box) of every subtree around a block, each hash once."""
-    longest: list[tuple[str, list[_Node]]] = sorted(blocks, key=lambda b: (-len(b[0]), b[0]))
-    out: dict[int, tuple[int, int, int, bool]] = {}
-    for _, path in blocks:
+    first: dict[int, tuple[_Node, list[int]]] = {}  # hash: an element, [first block in it, last block, how many]
+    for at, (_, path) in enumerate(blocks):
         for node in path:
-            if node.hash not in out:
-                rest = next((text for text, around in longest if all(n.hash != node.hash for n in around)), "")
-                out[node.hash] = (node.hash, _place(node), _short(rest), node.tag in BOXES)
+            known = first.get(node.hash)
+            if known is None:
+                first[node.hash] = (node, [at, at, 1])
+            else:  # at most once in a path: an element differs from what is in it
+                known[1][1], known[1][2] = at, known[1][2] + 1
+    keys = [(-len(text), text) for text, _ in blocks]
+    before, after = list(itertools.accumulate(keys, min)), list(itertools.accumulate(reversed(keys), min))[::-1]
+    inside: dict[int, set[int]] = {h: set() for h, (_, (lo, hi, n)) in first.items() if n != hi - lo + 1}
+    if inside:  # copies with other blocks between them
+        for at, (_, path) in enumerate(blocks):
+            for node in path:
+                if node.hash in inside:
+                    inside[node.hash].add(at)
+    longest = sorted(range(len(blocks)), key=keys.__getitem__) if inside else []
+    out: dict[int, tuple[int, int, int, bool]] = {}
+    for h, (node, (lo, hi, _)) in first.items():
+        if h in inside:
+            rest = next((blocks[i][0] for i in longest if i not in inside[h]), "")
+        else:
+            rest = min(before[lo - 1 : lo] + after[hi + 1 : hi + 2], default=(0, ""))[1]
+        out[h] = (h, _place(node), _short(rest), node.tag in BOXES)
     return list(out.values())
 
 

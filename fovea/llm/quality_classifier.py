@@ -140,8 +140,9 @@ def fit_quality(
         part = marked.where(F.col("__label") == label).orderBy(order, "__id").limit(sample_docs)
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    # at most 2 * sample_docs rows of two numbers, whatever the corpus holds
-    sample = write_stage(texts.join(F.broadcast(chosen), "__id"), "labelled").withColumn("__half", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)))
+    # at most 2 * sample_docs rows of two numbers, whatever the corpus holds; a repeated id stands for one document
+    labelled = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
+    sample = write_stage(labelled, "labelled").withColumn("__half", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)))
 
     def cut(batches):
         for batch in batches:

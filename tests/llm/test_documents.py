@@ -374,6 +374,16 @@ def test_bag_signatures_estimate_weighted_jaccard():
     assert np.mean(agree) == pytest.approx(true, abs=0.03)
 
 
+def test_repeated_labelled_ids_are_one_document(spark):
+    """Copies of a labelled row change neither the fit nor what the driver gets."""
+    good = [(k, sentences(k, 60), None, None, None, None, None) for k in range(60)]
+    bad = [(1000 + k, " ".join(w + "$$$" for w in sentences(500 + k, 30).upper().split()), None, None, None, None, None) for k in range(60)]
+    labels = spark.createDataFrame([(r[0], 1) for r in good] + [(r[0], 0) for r in bad], "doc_id long, quality int")
+    once = quality_classifier.fit_quality(frame(spark, good + bad), labels)
+    again = quality_classifier.fit_quality(frame(spark, good + bad + good[:20] * 30 + bad[5:9] * 40), labels)
+    assert once == again
+
+
 def test_streaming_bpe(spark, library):
     got = bpe_stream.encode_decode(frame(spark)).collect()
     want = Counter()

@@ -110,3 +110,32 @@ def test_boxes_in_articles_go_and_near_copies_stay(spark):
     rows = short + [(k, f"https://g.example.org/{k}", f"<article><h1>A common heading</h1><p>{own(k)}</p></article>") for k in range(20, 40)]
     rows += [(k, f"https://g.example.org/{k}", f"<article><p>{own(k)}</p></article>") for k in range(40, 60)]
     assert texts_of(spark, rows) == {k: f"{near}\nthe second paragraph of the article\ntail {k}" if k < 20 else f"A common heading\n{own(k)}" if k < 40 else own(k) for k in range(60)}
+
+
+def test_badly_nested_pages_stay_cheap_and_whole():
+    """Unclosed elements: deeper ones become siblings, no text is lost."""
+    import time
+
+    from fovea.llm import html_extract
+
+    start = time.time()
+    _, blocks = html_extract._blocks("".join(f"<div>word{i} text" for i in range(5000)))
+    nodes = html_extract._nodes(blocks)
+    assert time.time() - start < 5
+    assert [text for text, _ in blocks] == [f"word{i} text" for i in range(5000)]
+    assert max(len(path) for _, path in blocks) <= html_extract.MAX_DEPTH
+    assert len(nodes) == len({n.hash for _, path in blocks for n in path})
+
+
+def test_longest_block_outside_a_subtree_by_definition():
+    from fovea.llm import html_extract
+
+    box = "<div><p>same box</p></div>"
+    page = f"<body>{box}<div><p>one long first text here</p>{box}</div><section>{box}<p>second</p><p>zz</p></section><div>{box * 3}<p>one long first text hero</p></div></body>"
+    _, blocks = html_extract._blocks(page)
+    want = set()
+    for _, path in blocks:
+        for node in path:
+            outside = [t for t, around in blocks if all(n.hash != node.hash for n in around)]
+            want.add((node.hash, html_extract._short(min(outside, key=lambda t: (-len(t), t), default=""))))
+    assert {(h, rest) for h, _, rest, _ in html_extract._nodes(blocks)} == want
