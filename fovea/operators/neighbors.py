@@ -1,24 +1,26 @@
 """Spatial neighbourhoods inside a FOV.
 
 Exact k nearest neighbours with ties broken by cell id. Small FOVs are handled
-in one row each. Large FOVs descend a quadtree of counts together: a query keeps
-only the tree nodes that can still hold one of its neighbours, so the rows per
-query stay near k whatever the FOV's size or density, and no two cells are ever
-paired before the last, small leaves.
+in one row each. Large FOVs are cut into tiles of equal numbers of cells along a
+space-filling curve; a tile is compared with itself and with the few tiles that can
+hold a neighbour of one of its cells, whatever the FOV's size or density.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fovea.functions.ranks import ordered_positions
 from fovea.operators.resampling import draw
 from fovea.runtime import durable
 from fovea.schema import FOV_KEYS
 
 SMALL_FOV = 96
-LEAF = 24
-MAX_DEPTH = 50  # nodes there are as fine as double coordinates, so a leaf holds few places
+#: Cells of a tile.
+TILE = 128
 
 
 def _finite(name: str) -> Column:
@@ -53,20 +55,6 @@ def _in_one_row(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
     return fovs.select(*FOV_KEYS, F.inline(found))
 
 
-def _with_grid(cells: DataFrame, depth: int) -> DataFrame:
-    """Finest grid position of every cell inside its FOV's bounding square."""
-    box = cells.groupBy(*FOV_KEYS).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-12)).alias("span"),
-    )
-    side = 1 << depth
-
-    def place(value: str, origin: str) -> Column:
-        return F.least(F.floor((F.col(value) - F.col(origin)) / F.col("span") * side), F.lit(side - 1)).cast("long")
-
-    return cells.join(box, FOV_KEYS).withColumn("ix", place("x", "x0")).withColumn("iy", place("y", "y0"))
-
-
 def _candidates(cells: DataFrame, k: int) -> DataFrame:
     """At most k + 1 cells per position: coincident cells beyond that can be nobody's neighbour.
 
@@ -77,68 +65,130 @@ def _candidates(cells: DataFrame, k: int) -> DataFrame:
     return cells.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
 
 
-def _leaf_crowding(grid: DataFrame, depth: int, full: int) -> int:
-    """Most distinct candidates in one node at ``depth``; one number to the driver."""
-    shift = full - depth
-    node = grid.groupBy(*FOV_KEYS, F.shiftright("ix", shift).alias("ix"), F.shiftright("iy", shift).alias("iy"))
-    row = node.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return int(row["n"] or 0)
-
-
-def _box_distance(q: str, node: str, low: str, size: Column, far: bool) -> Column:
-    """Distance along one axis from a query coordinate to the near or far edge of a node."""
-    a = F.col(low) + F.col(node) * size
-    b = a + size
-    v = F.col(q)
-    if far:
-        return F.greatest(F.abs(v - a), F.abs(v - b))
-    return F.greatest(a - v, v - b, F.lit(0.0))
-
-
-def _descend(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
-    """Neighbours for large FOVs by best-first descent of a count quadtree, all queries at once."""
-    grid = durable(_with_grid(_candidates(cells, k), MAX_DEPTH))
-    depth = 1
-    while depth < MAX_DEPTH and _leaf_crowding(grid, depth, MAX_DEPTH) > max(LEAF, k + 2):
-        depth += 1
-    # queries are positions: coincident cells share one search, and each drops itself at the end
-    place = ["x", "y", "x0", "y0", "span"]
-    frontier = grid.select(*FOV_KEYS, *place).distinct().withColumn("nx", F.lit(0).cast("long")).withColumn("ny", F.lit(0).cast("long"))
-    for level in range(1, depth + 1):
-        shift = MAX_DEPTH - level
-        nodes = grid.groupBy(*FOV_KEYS, F.shiftright("ix", shift).alias("cx"), F.shiftright("iy", shift).alias("cy")).agg(
-            F.count(F.lit(1)).alias("n")
-        ).withColumn("nx", F.shiftright("cx", 1)).withColumn("ny", F.shiftright("cy", 1))
-        size = F.col("span") / (1 << level)
-        near2 = F.pow(_box_distance("x", "cx", "x0", size, False), 2) + F.pow(_box_distance("y", "cy", "y0", size, False), 2)
-        far2 = F.pow(_box_distance("x", "cx", "x0", size, True), 2) + F.pow(_box_distance("y", "cy", "y0", size, True), 2)
-        opened = frontier.join(nodes, [*FOV_KEYS, "nx", "ny"]).select(
-            *FOV_KEYS, *place, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "n", near2.alias("near2"), far2.alias("far2")
-        )
-        # the nearest boxes that surely hold k + 1 candidates bound the search radius
-        query = Window.partitionBy(*FOV_KEYS, "x", "y")
-        so_far = F.sum("n").over(query.orderBy("far2").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        bounded = opened.withColumn("seen", so_far).withColumn(
-            "radius2", F.min(F.when(F.col("seen") >= k + 1, F.col("far2"))).over(query)
-        )
-        keep = F.col("near2") <= F.coalesce(F.col("radius2"), F.lit(float("inf"))) * (1 + 1e-9)
-        frontier = durable(bounded.where(keep).select(*FOV_KEYS, *place, "nx", "ny"))
-    shift = MAX_DEPTH - depth
-    leaves = grid.groupBy(*FOV_KEYS, F.shiftright("ix", shift).alias("nx"), F.shiftright("iy", shift).alias("ny")).agg(
-        F.collect_list(F.struct("cell_id", "x", "y", *columns)).alias("points")
-    )
-    nobody = F.lit("")
-    local = frontier.join(leaves, [*FOV_KEYS, "nx", "ny"]).select(
-        *FOV_KEYS, "x", "y", _nearest_of(F.col("points"), F.col("x"), F.col("y"), nobody, k + 1, columns).alias("near")
-    )
-    per_position = local.groupBy(*FOV_KEYS, "x", "y").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")
+def _curve(cells: DataFrame) -> DataFrame:
+    """``z``: place of every cell on the Morton curve through its FOV's bounding square."""
+    box = cells.groupBy(*FOV_KEYS).agg(
+        F.min("x").alias("x0"), F.min("y").alias("y0"),
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-12)).alias("span"),
     )
-    joined = cells.select(*FOV_KEYS, "cell_id", "x", "y").join(per_position, [*FOV_KEYS, "x", "y"])
-    return joined.select(
-        *FOV_KEYS, "cell_id", F.slice(F.filter("near", lambda p: p["neighbor_id"] != F.col("cell_id")), 1, k).alias("near")
+
+    def spread_bits(value: str, origin: str) -> Column:
+        v = F.least(F.floor((F.col(value) - F.col(origin)) / F.col("span") * (1 << 30)), F.lit((1 << 30) - 1)).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    z = spread_bits("x", "x0").bitwiseOR(F.shiftleft(spread_bits("y", "y0"), 1))
+    return cells.join(box, FOV_KEYS).withColumn("z", z).drop("x0", "y0", "span")
+
+
+class _Points:
+    """Cells of a tile in the order of their ids."""
+
+    def __init__(self, points: pa.StructArray, columns: list[str]):
+        self.x, self.y = (points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        self.values = [points.field(c) for c in ("cell_id", *columns)]
+
+    def nearest(self, x: np.ndarray, y: np.ndarray, k: int, within: np.ndarray | None = None, own: bool = False):
+        """(how many, squared distances, places): per query the k nearest by (squared distance, id), flat."""
+        d = (self.x[None] - x[:, None]) ** 2 + (self.y[None] - y[:, None]) ** 2
+        if own:
+            np.fill_diagonal(d, np.inf)
+        if within is not None:
+            d[d > within[:, None]] = np.inf
+        order = np.argsort(d, 1, kind="stable")[:, :k]
+        found = np.take_along_axis(d, order, 1)
+        on = np.isfinite(found)
+        return on.sum(1), found[on], order[on]
+
+
+def _lists(counts: np.ndarray, distance: np.ndarray, place: np.ndarray, points: _Points, columns: list[str]) -> pa.ListArray:
+    """array<struct<dist2, neighbor_id, columns>> per query."""
+    fields = [pa.array(distance), *(v.take(pa.array(place)) for v in points.values)]
+    near = pa.StructArray.from_arrays(fields, names=["dist2", "neighbor_id", *columns])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), near)
+
+
+def _tiled(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """Neighbours for large FOVs by tiles of neighbours on the curve.
+
+    A tile bounds the radius of each of its cells by what it holds itself; then it meets only
+    the tiles that reach into one of these radii, pair by pair, and a cell's few finds are
+    merged. Tiles hold equal numbers of cells, so crowded and empty regions cost the same.
+    """
+    size = max(TILE, k + 2)
+    candidates = durable(_candidates(cells, k))
+    placed = ordered_positions(_curve(candidates), FOV_KEYS, ["z", "cell_id"], "pos", "n")
+    point = F.struct("cell_id", "x", "y", *columns)
+    tile = F.floor((F.col("pos") - 1) / size).cast("long")
+    tiles = placed.withColumn("tile", tile).groupBy(*FOV_KEYS, "tile").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in FOV_KEYS)
+    listed = f"array<struct<dist2: double, neighbor_id: {kinds['cell_id']}" + "".join(f", `{c}`: {kinds[c]}" for c in columns) + ">>"
+
+    def alone(batches):
+        for batch in batches:
+            points, at = batch.column(batch.schema.get_field_index("points")), [batch.schema.get_field_index(c) for c in (*FOV_KEYS, "tile")]
+            for i in range(batch.num_rows):
+                own = _Points(points[i].values, columns)
+                counts, distance, place = own.nearest(own.x, own.y, k, own=True)
+                full = counts == k
+                reach = np.full(len(counts), np.inf)
+                reach[full] = distance[np.cumsum(counts)[full] - 1]
+                near = _lists(counts, distance, place, own, columns)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(i, 1) for c in at), points.slice(i, 1), one(pa.array(reach)), one(near),
+                        *(pa.array([float(v)]) for v in (own.x.min(), own.x.max(), own.y.min(), own.y.max(), reach.max())),
+                    ],
+                    names=[*FOV_KEYS, "tile", "points", "reach", "near", "x0", "x1", "y0", "y1", "farthest"],
+                )
+
+    schema = f"{keys}, tile long, points array<struct<cell_id: {kinds['cell_id']}, x: double, y: double" + "".join(f", `{c}`: {kinds[c]}" for c in columns)
+    local = durable(tiles.mapInArrow(alone, f"{schema}>>, reach array<double>, near array<{listed}>, x0 double, x1 double, y0 double, y1 double, farthest double"))
+
+    boxes = local.select(*FOV_KEYS, F.col("tile").alias("other"), *[F.col(c).alias(f"b{c}") for c in ("x0", "x1", "y0", "y1")])
+    gap = lambda axis: F.greatest(F.col(f"{axis}0") - F.col(f"b{axis}1"), F.col(f"b{axis}0") - F.col(f"{axis}1"), F.lit(0.0))
+    light = local.select(*FOV_KEYS, "tile", "x0", "x1", "y0", "y1", "farthest")
+    apart = gap("x") * gap("x") + gap("y") * gap("y")
+    pairs = light.join(boxes, FOV_KEYS).where((F.col("tile") != F.col("other")) & (apart <= F.col("farthest"))).select(*FOV_KEYS, "tile", "other")
+    met = pairs.join(local.select(*FOV_KEYS, "tile", "points", "reach"), [*FOV_KEYS, "tile"]).join(
+        local.select(*FOV_KEYS, F.col("tile").alias("other"), F.col("points").alias("others")), [*FOV_KEYS, "other"]
     )
 
+    def across(batches):
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            for i in range(batch.num_rows):
+                own, other = _Points(column("points")[i].values, columns), _Points(column("others")[i].values, columns)
+                reach = column("reach")[i].values.to_numpy(zero_copy_only=False)
+                gx = np.maximum(np.maximum(other.x.min() - own.x, own.x - other.x.max()), 0)
+                gy = np.maximum(np.maximum(other.y.min() - own.y, own.y - other.y.max()), 0)
+                asked = np.flatnonzero(gx * gx + gy * gy <= reach)
+                counts, distance, place = other.nearest(own.x[asked], own.y[asked], k, reach[asked])
+                on = counts > 0
+                if on.any():
+                    n = int(on.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array([column(c)[i].as_py()] * n, column(c).type) for c in FOV_KEYS), own.values[0].take(pa.array(asked[on])),
+                            _lists(counts[on], distance, place, other, columns),
+                        ],
+                        names=[*FOV_KEYS, "cell_id", "near"],
+                    )
+
+    inside = local.select(*FOV_KEYS, F.inline(F.arrays_zip(F.col("points.cell_id").alias("cell_id"), "near"))).toDF(*FOV_KEYS, "cell_id", "near")
+    outside = met.mapInArrow(across, f"{keys}, cell_id {kinds['cell_id']}, near {listed}")
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    found = inside.unionByName(outside).groupBy(*FOV_KEYS, "cell_id").agg(merged.alias("near"))
+    # cells cut from a crowded position: its first k candidates are at no distance from them
+    cut = cells.join(candidates.select(*FOV_KEYS, "cell_id"), [*FOV_KEYS, "cell_id"], "left_anti").select(*FOV_KEYS, "x", "y", "cell_id")
+    here = F.struct(F.lit(0.0).alias("dist2"), F.col("cell_id").alias("neighbor_id"), *columns)
+    crowded = candidates.groupBy(*FOV_KEYS, "x", "y").agg(F.array_sort(F.collect_list(here)).alias("all")).where(F.size("all") > k)
+    rest = cut.join(crowded, [*FOV_KEYS, "x", "y"]).select(*FOV_KEYS, "cell_id", F.slice("all", 1, k).alias("near"))
+    return found.unionByName(rest)
+
 
 def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on_small_fov: str = "error") -> DataFrame:
     """One row per cell with its sorted neighbour array.
@@ -161,7 +211,7 @@ def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on
     else:
         sized = base.join(sizes, FOV_KEYS)
         out = _in_one_row(sized.where(F.col("n_fov") <= SMALL_FOV).drop("n_fov"), k, columns)
-        out = out.unionByName(_descend(sized.where(F.col("n_fov") > SMALL_FOV).drop("n_fov"), k, columns))
+        out = out.unionByName(_tiled(sized.where(F.col("n_fov") > SMALL_FOV).drop("n_fov"), k, columns))
     if on_small_fov == "quarantine":
         out = out.where(F.size("near") == k)
     return out
