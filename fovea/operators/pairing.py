@@ -90,19 +90,32 @@ def with_block_id(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: FOVs of one side of a block that one join key holds.
+BLOCK_ROWS = 2048
+
+
 def block_pairs(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
     """FOV pairs inside each block, with both composition vectors.
 
     As many parts as the smaller bag has FOVs means one side of every block is
-    a single FOV, so the pairs grow linearly with the FOVs.
+    a single FOV, so the pairs grow linearly with the FOVs. A side of many FOVs is cut
+    into parts that the other side is copied to, so that no task joins a whole large block.
     """
     rows = blocks.join(vectors.drop("domain_label"), ["patient_id", "timepoint", "fov_id"])
     key = [*REL_PATIENT, "subbag_index"]
-
-    def one(side: str, fov: str, vec: str) -> DataFrame:
-        return rows.where(F.col("side") == side).select(*key, F.col("fov_id").alias(fov), F.col("fractions").alias(vec))
-
-    return one("source", "source_fov_id", "a").join(one("target", "target_fov_id", "b"), key).withColumn(
+    count = lambda side: F.greatest(F.ceil(F.count_if(F.col("side") == side) / BLOCK_ROWS), F.lit(1)).cast("int")
+    parts = blocks.groupBy(*key).agg(count("source").alias("source_parts"), count("target").alias("target_parts"))
+    sized = rows.join(parts, key)
+    own = {side: F.pmod(F.xxhash64("fov_id"), F.col(f"{side}_parts")).cast("int") for side in ("source", "target")}
+    every = {side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_parts") - 1)) for side in ("source", "target")}
+
+    def one(side: str, other: str, fov: str, vec: str) -> DataFrame:
+        chosen = sized.where(F.col("side") == side)
+        return chosen.select(*key, F.col("fov_id").alias(fov), F.col("fractions").alias(vec), own[side].alias(f"{side}_part"), every[other].alias(f"{other}_part"))
+
+    parted = [*key, "source_part", "target_part"]
+    joined = one("source", "target", "source_fov_id", "a").join(one("target", "source", "target_fov_id", "b"), parted).drop("source_part", "target_part")
+    return joined.withColumn(
         "pair_id",
         F.concat_ws("|", "relation_id", "patient_id", F.col("subbag_index").cast("string"), "source_fov_id", "target_fov_id"),
     )

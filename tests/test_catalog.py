@@ -12,10 +12,10 @@ QUICK = [
     "fov_composition", "derive_fovs", "content_signature", "bad_compositions", "relation_support", "evidence_blocks", "permuted_labels",
     "filled_templates", "medoid_patient", "family_summaries", "rank_sum_statistics", "variance_tests", "family_paired_statistics",
     "patient_calibration", "recovery_errors", "mean_intervals", "patient_bootstrap", "nearest_neighbors", "assign_states", "program_table",
-    "block_pairs", "profile_rank_sums", "weighted_quantiles", "closest_candidates",
+    "block_pairs", "profile_rank_sums", "bag_divergence_checks", "weighted_quantiles", "closest_candidates",
 ]
 # Too few patients at this scale factor for any test.
-EMPTY_HERE = {"family_supplement", "source_supplement", "target_supplement"}
+EMPTY_HERE = {"family_supplement", "source_supplement", "target_supplement", "fitted_family_supplement"}
 NAMES = sorted(entry.queries()) if os.environ.get("FOVEA_ALL_QUERIES") else QUICK
 
 

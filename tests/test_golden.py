@@ -234,3 +234,15 @@ def test_tensor_programs(spark):
     s, t = (programs.normalized_factor(f, m) for f, m in zip((source, target), sums[1:]))
     per_program = programs.program_entries(table, s, t, 2).groupBy("program_id").count().collect()
     assert len(per_program) == 8 and {r["count"] for r in per_program} == {6}
+
+
+@pytest.mark.parametrize("rows_per_key", [2048, 3])
+def test_pairs_of_large_blocks_are_spread_and_complete(spark, monkeypatch, rows_per_key):
+    monkeypatch.setattr(pairing, "BLOCK_ROWS", rows_per_key)
+    sizes = {0: (1, 40), 1: (25, 1), 2: (1, 1), 3: (5, 7)}
+    made = [("r", "p", b, side, f"{side}{b}_{i}", "t", "d") for b, two in sizes.items() for side, n in zip(("source", "target"), two) for i in range(n)]
+    blocks = spark.createDataFrame(made, "relation_id string, patient_id string, subbag_index int, side string, fov_id string, timepoint string, domain_label string")
+    vectors = blocks.select("patient_id", "timepoint", "fov_id", "domain_label", F.array(F.xxhash64("fov_id").cast("double")).alias("fractions"))
+    got = [(r.subbag_index, r.source_fov_id, r.target_fov_id) for r in pairing.block_pairs(blocks, vectors).collect()]
+    want = {(b, f"source{b}_{i}", f"target{b}_{j}") for b, (n, m) in sizes.items() for i in range(n) for j in range(m)}
+    assert len(got) == len(want) and set(got) == want
