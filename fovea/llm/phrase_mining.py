@@ -90,14 +90,14 @@ def _pack_words(langs: list[str], words: list[list[bytes]], counts: np.ndarray)
     flat = [w for own in words for w in own]
     return {
         "langs": langs, "sizes": [len(own) for own in words], "spelled": zstandard.ZstdCompressor(level=3).compress(b"".join(flat)),
-        "lengths": press(np.array([len(w) for w in flat], np.int32)), "counts": press(counts.astype(np.int64)),
+        "lengths": press_planes(np.array([len(w) for w in flat], np.int32)), "counts": pack_numbers(counts, level=3),
     }
 
 
 def _unpack_words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, number of the language of each, counts)."""
-    words = unpack(row["spelled"], unpress(row["lengths"], np.int32).tolist())
-    return words, np.repeat(np.arange(len(row["sizes"])), row["sizes"]), unpress(row["counts"], np.int64)
+    words = unpack(row["spelled"], unpress_planes(row["lengths"]).tolist())
+    return words, np.repeat(np.arange(len(row["sizes"])), row["sizes"]), unpack_numbers(row["counts"]).astype(np.int64)
 
 
 def _coded(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _common(coded: DataFrame, min_count: int, bucket_hashes: int) -> tuple[DataF
                 word, pair, times, _, _ = _hashes(row)
                 hashes, inverse = np.unique(np.concatenate([word, pair]) >> np.uint64(64 - width), return_inverse=True)
                 counts = np.zeros(len(hashes), np.int64)
-                np.add.at(counts, inverse, np.concatenate([unpress(row["counts"], np.int64), times]))
+                np.add.at(counts, inverse, np.concatenate([unpack_numbers(row["counts"]).astype(np.int64), times]))
                 bucket = (hashes >> np.uint64(width - bits)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
                 out = [(int(bucket[a]), row["block"], pack_numbers(hashes[a:b], True), pack_numbers(counts[a:b])) for a, b in zip(cut, [*cut[1:], len(bucket)])]
@@ -234,7 +234,7 @@ def _numbered(trimmed: DataFrame, min_count: int, budget: int, bucket_hashes: in
                 for a, b in zip(cut, [*cut[1:], len(order)]):
                     places = order[a:b]
                     own = [[words[i] for i in places[lang[places] == k]] for k in range(len(seeds))]
-                    out.append({"bucket": int(bucket[places[0]]), "block": row["block"], "places": press(places.astype(np.int32))} | _pack_words(row["langs"], own, counts[places]))
+                    out.append({"bucket": int(bucket[places[0]]), "block": row["block"], "places": pack_numbers(places, True, 3)} | _pack_words(row["langs"], own, counts[places]))
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_SENT_TYPES)
 
@@ -255,7 +255,7 @@ def _numbered(trimmed: DataFrame, min_count: int, budget: int, bucket_hashes: in
         listed = list(index)
         entries = [{"id": int(ids[i]), "lang": listed[i][0], "word": listed[i][1].decode(), "f": int(f[i]), "grp": int(groups[i])} for i in on]
         rows = [
-            {"bucket": bucket, "block": b, "places": p, "ids": press(ids[n]), "groups": press(groups[n]), "words": None}
+            {"bucket": bucket, "block": b, "places": p, "ids": pack_numbers(ids[n], level=3), "groups": pack_numbers(groups[n], level=3), "words": None}
             for b, p, n in zip(table.column("block").to_pylist(), table.column("places").to_pylist(), numbers)
         ]
         return pa.Table.from_pylist([*rows, {"bucket": bucket, "block": None, "places": None, "ids": None, "groups": None, "words": entries}], schema=_NUMBERED_TYPES)
@@ -352,8 +352,8 @@ def _runs(trimmed: DataFrame, numbered: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                joined = lambda name, kind: np.concatenate([unpress(k[name], kind) for k in row["known"]])
-                places, ids, groups = joined("places", np.int32), joined("ids", np.int64), joined("groups", np.int64)
+                joined = lambda name, rising=False: np.concatenate([unpack_numbers(k[name], rising) for k in row["known"]]).view(np.int64)
+                places, ids, groups = joined("places", True), joined("ids"), joined("groups")
                 order = np.argsort(places)
                 ids, groups = ids[order], groups[order]
                 new = np.append(np.where(ids >= 0, np.arange(len(ids)), -1), -1).astype(np.int32)
