@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.functions.ranks import hash_positions, ordered_positions
-from fovea.runtime import literal_table
+from fovea.runtime import literal_table, spread, write_stage
 from fovea.schema import FOV_KEYS, REL_PATIENT
 
 
@@ -152,54 +152,79 @@ def patient_inputs(fovs: DataFrame, groups: DataFrame, domains: list[str]) -> Da
     return counts.join(groups.select("patient_id", "group_id"), "patient_id", "left")
 
 
-def permuted_labels(fovs: DataFrame, n_permutations: int, master_seed: int) -> DataFrame:
+def permuted_labels(fovs: DataFrame, n_permutations: int, master_seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Within-patient shuffles of the domain labels of (FOV key, domain_label) rows.
 
     The FOVs are ordered by a seeded hash and receive the patient's labels in
-    name order, so every label keeps its exact count.
+    name order, so every label keeps its exact count. ``keep`` names further columns
+    of ``fovs`` that stay beside the labels.
+
+    A permutation is fixed by the last hash of every label. Bucket counts tell which
+    bucket holds it, only that bucket is sorted, and the FOVs meet the last hashes as
+    one row per patient: copies of FOVs are never shuffled or joined.
     """
-    labels = fovs.groupBy("patient_id", "domain_label").agg(F.count(F.lit(1)).alias("n"))
-    counts = labels.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("domain_label", "n"))).alias("labels"))
-    seed = F.sha2(
-        F.concat_ws(
-            "|", F.lit("within_patient_domain_labels"), F.lit(str(master_seed)), "patient_id", F.col("permutation_index").cast("string")
-        ),
-        256,
-    )
-    spread = (
-        fovs.select(
-            *FOV_KEYS, F.col("domain_label").alias("original_domain_label"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("permutation_index"),
-        )
-        .withColumn("seed", F.substring(seed, 1, 8))
-        .withColumn("draw", F.sha2(F.concat_ws("|", "seed", "timepoint", "fov_id"), 256))
-    )
-    placed = hash_positions(spread, ["permutation_index", "patient_id"], "draw", "place", "_n")
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("string").alias("label"))
-
-    def step(acc: Column, item: Column) -> Column:
-        reached = acc["label"].isNull() & (F.col("place") <= acc["seen"] + item["n"])
-        return F.struct(
-            (acc["seen"] + item["n"]).alias("seen"),
-            F.when(reached, item["domain_label"]).otherwise(acc["label"]).alias("label"),
+    fovs = spread(fovs.select(*FOV_KEYS, F.col("domain_label").alias("original_domain_label"), *keep), *FOV_KEYS)
+    scope = ["permutation_index", "patient_id"]
+    labels = fovs.groupBy("patient_id", "original_domain_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = labels.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("original_domain_label", "n"))).alias("labels"))
+    # (upto, label): place of the last FOV that receives a label
+    ends = counts.select(
+        "patient_id",
+        F.transform(
+            "labels",
+            lambda item, i: F.struct(
+                F.aggregate(F.slice("labels", F.lit(1), i + 1), F.lit(0).cast("long"), lambda seen, one: seen + one["n"]).alias("upto"),
+                item["original_domain_label"].alias("label"),
+            ),
+        ).alias("ends"),
+    )
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        seed = F.sha2(
+            F.concat_ws(
+                "|", F.lit("within_patient_domain_labels"), F.lit(str(master_seed)), "patient_id", F.col("permutation_index").cast("string")
+            ),
+            256,
         )
-
-    return placed.join(counts, "patient_id").select(
+        draw = F.concat_ws("|", F.sha2(F.concat_ws("|", "seed", "timepoint", "fov_id"), 256), "original_domain_label")
+        return rows.withColumn("seed", F.substring(seed, 1, 8)).withColumn("draw", draw).withColumn("bucket", F.substring("draw", 1, 2))
+
+    every = fovs.withColumn("permutation_index", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    sizes = drawn(every).groupBy(*scope, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*scope).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sizes.withColumn("before", before).join(ends, "patient_id").select(*scope, "bucket", "before", "n", F.explode("ends").alias("end"))
+    last = last.where("before < end.upto AND end.upto <= before + n").select(*scope, "bucket", "end.label", (F.col("end.upto") - F.col("before")).cast("int").alias("place"))
+
+    def by_patient(table: DataFrame, columns: list[str], alias: str) -> DataFrame:
+        return write_stage(table.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(alias)).groupBy("patient_id").agg(F.collect_list(F.struct("permutation_index", alias)).alias("permutations")), alias)
+
+    wanted = by_patient(last, ["label", "bucket", "place"], "wanted")
+    near = drawn(fovs.select(*FOV_KEYS, "original_domain_label").join(wanted, "patient_id").selectExpr(*FOV_KEYS, "original_domain_label", "inline(permutations)"))
+    near = near.select(*scope, "draw", "bucket", F.explode("wanted").alias("w")).where("bucket = w.bucket")
+    cuts = near.groupBy(*scope, F.col("w.label").alias("label"), F.col("w.place").alias("place")).agg(F.array_sort(F.collect_list("draw")).alias("draws"))
+    cuts = by_patient(cuts.select(*scope, "label", F.get("draws", F.col("place") - 1).alias("cut")), ["label", "cut"], "cuts")
+    placed = drawn(fovs.join(cuts, "patient_id").selectExpr(*FOV_KEYS, "original_domain_label", *keep, "inline(permutations)"))
+    return placed.select(
         "permutation_index",
         *FOV_KEYS,
         "original_domain_label",
-        F.aggregate("labels", start, step, lambda acc: acc["label"]).alias("permuted_domain_label"),
+        F.get(F.filter("cuts", lambda c: F.col("draw") <= c["cut"]), F.lit(0))["label"].alias("permuted_domain_label"),
         "seed",
+        *keep,
     )
 
 
 def permuted_endpoints(vectors: DataFrame, assignments: DataFrame, source: str, target: str, n_states: int) -> DataFrame:
-    """Patient mean vectors of both sides after relabelling, per permutation.
+    """Patient mean vectors of both sides after relabelling, per permutation."""
+    return labelled_endpoints(assignments.join(vectors.select(*FOV_KEYS, "fractions"), FOV_KEYS), source, target, n_states)
+
+
+def labelled_endpoints(rows: DataFrame, source: str, target: str, n_states: int) -> DataFrame:
+    """Patient mean vectors of both sides from relabelled FOVs with their ``fractions``, per permutation.
 
     Averages are taken state by state on the FOV arrays, so a map task ships one
     row per (permutation, patient).
     """
-    rows = assignments.join(vectors.select(*FOV_KEYS, "fractions"), FOV_KEYS)
 
     def mean(label: str) -> Column:
         chosen = F.col("permuted_domain_label") == label

@@ -165,7 +165,7 @@ view(
 
 
 def null_endpoints(spark, sf, n=N_PERM):
-    build = lambda: pairing.permuted_endpoints(family_vectors(spark, sf), permutations(spark, sf, n), SRC, TGT, K)
+    build = lambda: pairing.labelled_endpoints(pairing.permuted_labels(family_vectors(spark, sf), n, SEED, ("fractions",)), SRC, TGT, K)
     return staged(spark, f"null_endpoints_{n}", sf, build)
 
 

@@ -146,6 +146,20 @@ def test_permutations_keep_label_counts(spark):
     assert out.where("patient_id = 'p1'").groupBy("timepoint", "fov_id").agg(F.count_distinct("permuted_domain_label").alias("n")).where("n = 2").count() > 10
 
 
+def test_copies_of_fovs_are_never_broadcast(spark, tmp_path):
+    """The optimizer does not count the rows of an explode, so it took the copies for the small side."""
+    rows = [("p1", "t0", f"f{i}", "A" if i < 70 else "B") for i in range(200)]
+    spark.createDataFrame(rows, "patient_id string, timepoint string, fov_id string, domain_label string").write.parquet(str(tmp_path / "fovs"))
+    out = pairing.permuted_labels(spark.read.parquet(str(tmp_path / "fovs")), 12, 3)
+    depth = None
+    for line in out._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        assert depth is None or "Generate" not in line, line
+        depth = at if depth is None and "BroadcastExchange" in line else depth
+    assert out.groupBy("permutation_index").agg(F.count_if(F.col("permuted_domain_label") == "A").alias("n")).where("n = 70").count() == 12
+
+
 def entries_of(rows):
     """Dense K=2 entries: A, d, e per patient."""
     out = []
