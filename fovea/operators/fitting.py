@@ -224,7 +224,8 @@ def _updated_parts(state: DataFrame, task: _Task) -> list[DataFrame]:
         yield from totals.written()
 
     summed = state.mapInArrow(partial, _STATE).persist()
-    total = summed.select(*REL_PATIENT, "sums").groupBy(*REL_PATIENT).applyInArrow(whole, "relation_id string, patient_id string, total binary")
+    # written: a plan that holds the rows and their totals would double with every update
+    total = write_stage(summed.select(*REL_PATIENT, "sums").groupBy(*REL_PATIENT).applyInArrow(whole, "relation_id string, patient_id string, total binary"), "totals")
     return [summed, summed.join(total, REL_PATIENT).mapInArrow(run, _STATE).persist()]
 
 

@@ -82,6 +82,21 @@ def test_fit_equals_a_dense_fit(spark, part_pairs, spread):
     assert len(fit.history) == 3
 
 
+def test_plans_of_split_patients_grow_by_the_update(spark, monkeypatch):
+    """Rows and totals of one update came from the same plan, which doubled with every update between two writes."""
+    sizes, step = [], fitting._updated_parts
+
+    def measured(state, task):
+        frames = step(state, task)
+        sizes.append(len(frames[-1]._jdf.queryExecution().logical().toString()))
+        return frames
+
+    monkeypatch.setattr(fitting, "_updated_parts", measured)
+    fitting.fit_relations(spark.createDataFrame(rows_of(3, 6), SCHEMA), COST, K, rounds=1, steps=7, part_pairs=5)
+    assert len(sizes) == 7
+    assert sizes[6] - sizes[5] < 1.5 * (sizes[1] - sizes[0])
+
+
 def test_fit_stops_at_the_plateau_with_the_state_before_it(spark, monkeypatch):
     monkeypatch.setattr(fitting, "MIN_MAIN_STEPS", -15)
     monkeypatch.setattr(fitting, "PLATEAU_CHANGE", 1.0)
