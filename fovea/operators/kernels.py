@@ -46,7 +46,7 @@ def _log(v: np.ndarray) -> np.ndarray:
 
 
 def balanced_potentials(a, b, cost, epsilons=EPSILONS, max_iter=MAX_ITER, tol=TOL, start=None):
-    """Dual potentials of entropic transport for a batch of pairs; converged rows are frozen.
+    """Dual potentials of entropic transport for a batch of pairs; converged rows are frozen. ``cost`` is one matrix, or one per pair.
 
     Between two absorptions an iteration is two products with the kernel of the potentials
     so far; taking the potentials in regularly keeps the factors in range.
@@ -61,38 +61,56 @@ def balanced_potentials(a, b, cost, epsilons=EPSILONS, max_iter=MAX_ITER, tol=TO
     return f, g
 
 
+#: Entries of a kernel up to which all pairs of a batch are multiplied together, entry by entry.
+SMALL_KERNEL = 256
+
+
+def _products(kernel: np.ndarray):
+    """The kernels of a batch in the layout that suits their size, and products from the right, from the left, and a choice of pairs.
+
+    Vectors have their states first: a product of small kernels is then a sum of long rows.
+    """
+    if kernel[0].size <= SMALL_KERNEL:
+        rows = np.ascontiguousarray(kernel.transpose(1, 2, 0))
+        return rows, lambda m, v: (m * v).sum(1), lambda m, u: (m * u[:, None]).sum(0), lambda m, on: m[:, :, on]
+    return kernel, lambda m, v: (m @ v.T[:, :, None])[:, :, 0].T, lambda m, u: (m.transpose(0, 2, 1) @ u.T[:, :, None])[:, :, 0].T, lambda m, on: m[on]
+
+
 def _scaled(a, b, f, g, cost, eps, max_iter, tol, live):
     """Up to ``max_iter`` iterations on the live rows, written back to ``f`` and ``g``; the rows still live."""
-    al, bl = a[live], b[live]
+    if live.size == 0:
+        return live
+    al, bl, costs = a[live], b[live], cost if cost.ndim == 2 else cost[live]
     fm, gm = np.where(al > 0, f[live], -np.inf), np.where(bl > 0, g[live], -np.inf)
     # shifted so that the largest entry of every row of the kernel is about one
-    rows = (gm[:, None, :] - cost).max(2) if live.size else fm
+    rows = (gm[:, None, :] - costs).max(2)
     fm = np.where(al > 0, -rows, -np.inf)
-    kernel = np.exp((fm[:, :, None] + gm[:, None, :] - cost) / eps)
+    kernel, right, left, chosen = _products(np.exp((fm[:, :, None] + gm[:, None, :] - costs) / eps))
+    al, bl, fm, gm = (np.ascontiguousarray(x.T) for x in (al, bl, fm, gm))
     u, v = np.ones_like(al), np.where(bl > 0, 1.0, 0.0)
-    side, still = (kernel @ v[:, :, None])[:, :, 0], np.ones(live.size, bool)
-    back = kernel.transpose(0, 2, 1)
+    side, still = right(kernel, v), np.ones(live.size, bool)
+
+    def keep(on):
+        at = live[on]
+        f[at] = np.where(al[:, on] > 0, fm[:, on] + eps * np.log(u[:, on]), 0.0).T
+        g[at] = np.where(bl[:, on] > 0, gm[:, on] + eps * np.log(v[:, on]), 0.0).T
+        return at
+
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         for _ in range(max_iter):
             u = np.where(al > 0, al / side, 0.0)
-            v = np.where(bl > 0, bl / (back @ u[:, :, None])[:, :, 0], 0.0)
-            side = (kernel @ v[:, :, None])[:, :, 0]
-            settled = np.abs(u * side - al).max(1) <= tol
-            new = settled & still
+            v = np.where(bl > 0, bl / left(kernel, u), 0.0)
+            side = right(kernel, v)
+            new = (np.abs(u * side - al).max(0) <= tol) & still
             if new.any():
-                at = live[new]
-                f[at] = np.where(al[new] > 0, fm[new] + eps * np.log(u[new]), 0.0)
-                g[at] = np.where(bl[new] > 0, gm[new] + eps * np.log(v[new]), 0.0)
+                keep(new)
                 still &= ~new
                 if not still.any():
                     return live[:0]
                 if 2 * still.sum() < still.size:  # drop what is done
-                    al, bl, fm, gm, kernel, u, v, side, live = (x[still] for x in (al, bl, fm, gm, kernel, u, v, side, live))
-                    back, still = kernel.transpose(0, 2, 1), np.ones(live.size, bool)
-        at = live[still]
-        f[at] = np.where(al[still] > 0, fm[still] + eps * np.log(u[still]), 0.0)
-        g[at] = np.where(bl[still] > 0, gm[still] + eps * np.log(v[still]), 0.0)
-    return at
+                    al, bl, fm, gm, u, v, side = (x[:, still] for x in (al, bl, fm, gm, u, v, side))
+                    kernel, live, still = chosen(kernel, still), live[still], np.ones(still.sum(), bool)
+        return keep(still)
 
 
 def balanced_value(a, b, cost, epsilons=EPSILONS, max_iter=MAX_ITER, tol=TOL) -> np.ndarray:
