@@ -160,6 +160,17 @@ def test_copies_of_fovs_are_never_broadcast(spark, tmp_path):
     assert out.groupBy("permutation_index").agg(F.count_if(F.col("permuted_domain_label") == "A").alias("n")).where("n = 70").count() == 12
 
 
+def test_tables_of_blocks_are_never_broadcast(spark, tmp_path):
+    """Small files of many FOVs are large tables at the driver."""
+    rows = [("r", "p1", i, side, f"{side}{i}", side, "A") for i in range(50) for side in ("source", "target")]
+    spark.createDataFrame(rows, "relation_id string, patient_id string, subbag_index int, side string, fov_id string, timepoint string, domain_label string").write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    blocks.select("patient_id", "timepoint", "fov_id", "domain_label", F.array(F.lit(1.0)).alias("fractions")).write.parquet(str(tmp_path / "vectors"))
+    pairs = pairing.block_pairs(blocks, spark.read.parquet(str(tmp_path / "vectors")))
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 50
+
+
 def entries_of(rows):
     """Dense K=2 entries: A, d, e per patient."""
     out = []
