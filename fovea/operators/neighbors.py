@@ -1,26 +1,30 @@
 """Spatial neighbourhoods inside a FOV.
 
-Exact k nearest neighbours with ties broken by cell id. Small FOVs are handled
-in one row each. Large FOVs are cut into tiles of equal numbers of cells along a
-space-filling curve; a tile is compared with itself and with the few tiles that can
-hold a neighbour of one of its cells, whatever the FOV's size or density.
+Exact k nearest neighbours with ties broken by cell id. Small FOVs are solved whole, many
+in one kernel call. Large FOVs are cut into tiles along a space-filling curve; a tile gets
+those cells of other tiles that can be a neighbour of one of its own, whatever the FOV's
+size or density. More than k cells in one place are each other's neighbours, without tiles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fovea.functions.ranks import ordered_positions
 from fovea.operators.resampling import draw
 from fovea.runtime import durable
 from fovea.schema import FOV_KEYS
 
 SMALL_FOV = 96
-#: Cells of a tile.
-TILE = 128
+#: Cells of a tile, and of the stretches of a tile that are searched together.
+TILE, STRETCH = 4096, 128
+#: Rows of small FOVs in one kernel call.
+_ROWS = 1 << 15
 
 
 def _finite(name: str) -> Column:
@@ -30,47 +34,118 @@ def _finite(name: str) -> Column:
     return F.when(sound, value).otherwise(F.raise_error(F.lit(f"{name} must be a finite number"))).alias(name)
 
 
-def _nearest_of(points: Column, x: Column, y: Column, cell_id: Column, k: int, columns: list[str]) -> Column:
-    """The k nearest of an array of points, by (squared distance, cell id), without the cell itself."""
-    others = F.filter(points, lambda p: p["cell_id"] != cell_id)
-    scored = F.transform(
-        others,
-        lambda p: F.struct(
-            ((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("dist2"),
-            p["cell_id"].alias("neighbor_id"),
-            *[p[c].alias(c) for c in columns],
-        ),
-    )
-    return F.slice(F.array_sort(scored), 1, k)
-
-
-def _in_one_row(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
-    """Neighbours for FOVs of at most ``SMALL_FOV`` cells: one shuffle, one array per FOV."""
-    point = F.struct("cell_id", "x", "y", *columns)
-    fovs = cells.groupBy(*FOV_KEYS).agg(F.collect_list(point).alias("points"))
-    found = F.transform(
-        "points",
-        lambda q: F.struct(q["cell_id"].alias("cell_id"), _nearest_of(F.col("points"), q["x"], q["y"], q["cell_id"], k, columns).alias("near")),
-    )
-    return fovs.select(*FOV_KEYS, F.inline(found))
+def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """([rows, k] values, places) of the k smallest of every row, equal ones by place; ``d`` is used up.
 
+    What a row lacks has an infinite value.
+    """
+    rows = np.arange(len(d))
+    value, place = np.full((len(d), k), np.inf), np.zeros((len(d), k), np.int64)
+    for j in range(min(k, d.shape[1])):
+        at = d.argmin(1)
+        place[:, j], value[:, j] = at, d[rows, at]
+        d[rows, at] = np.inf
+    return value, place
+
+
+def _near(value: np.ndarray, place: np.ndarray, ids: pa.Array | None, columns: dict[str, pa.Array]) -> pa.ListArray:
+    """array<struct<dist2, neighbor_id, columns>> per row of :func:`_first`; without ``ids`` only the columns."""
+    on = np.isfinite(value)
+    at = pa.array(place[on])
+    fields = {} if ids is None else {"dist2": pa.array(value[on]), "neighbor_id": ids.take(at)}
+    fields |= {name: c.take(at) for name, c in columns.items()}
+    offsets = np.concatenate([[0], np.cumsum(on.sum(1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+
+
+def _near_type(cells: DataFrame, columns: list[str], ids: bool) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    fields = [f"dist2: double, neighbor_id: {kinds['cell_id']}"] if ids else []
+    return "array<struct<" + ", ".join([*fields, *(f"`{c}`: {kinds[c]}" for c in columns)]) + ">>"
 
-def _candidates(cells: DataFrame, k: int) -> DataFrame:
-    """At most k + 1 cells per position: coincident cells beyond that can be nobody's neighbour.
 
-    The limit on the row number lets Spark cut every task's rows before the
-    shuffle, so a crowded position does not travel as a whole.
+def _declared(cells: DataFrame, names: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether a value differs from the one before; the first one does."""
+    a, b = column[1:], column[:-1]
+    differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(a.is_null(), b.is_null()))
+    return np.concatenate([[True], differs.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros(0, bool)
+
+
+def _starts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Rows at which a new group begins; the rows of a group follow each other."""
+    new = np.zeros(batch.num_rows, bool)
+    for name in names:
+        new |= _differs(batch.column(batch.schema.get_field_index(name)))
+    return np.flatnonzero(new)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def _whole_fovs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut between FOVs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS:
+            rows = _joined(held)
+            last = int(_starts(rows, FOV_KEYS)[-1])
+            if last:
+                yield rows.slice(0, last)
+            held = [rows.slice(last)]
+    if held:
+        yield _joined(held)
+
+
+def _small(cells: DataFrame, k: int, columns: list[str], ids: bool) -> DataFrame:
+    """Neighbours for FOVs of at most ``SMALL_FOV`` cells: one shuffle, FOVs of one size in one kernel call."""
+
+    def run(batches):
+        for batch in _whole_fovs(batches):
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            x, y = (column[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            starts = _starts(batch, FOV_KEYS)
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            same = np.cumsum(_differs(column["cell_id"]))
+            value, place = np.full((batch.num_rows, k), np.inf), np.zeros((batch.num_rows, k), np.int64)
+            for n in np.unique(sizes):
+                of_size = starts[sizes == n]
+                step = max(1, (1 << 20) // int(n * n))
+                for lo in range(0, len(of_size), step):
+                    at = of_size[lo : lo + step, None] + np.arange(n)
+                    px, py, own = x[at], y[at], same[at]
+                    d = (px[:, None, :] - px[:, :, None]) ** 2 + (py[:, None, :] - py[:, :, None]) ** 2
+                    d[own[:, None, :] == own[:, :, None]] = np.inf
+                    value[at.ravel()], near = _first(d.reshape(-1, n), k)
+                    place[at.ravel()] = near + np.repeat(at[:, 0], n)[:, None]
+            near = _near(value, place, column["cell_id"] if ids else None, {c: column[c] for c in columns})
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in (*FOV_KEYS, "cell_id")), near], names=[*FOV_KEYS, "cell_id", "near"])
+
+    placed = cells.repartition(*FOV_KEYS).withColumn("_h", F.xxhash64(*FOV_KEYS)).sortWithinPartitions("_h", *FOV_KEYS, "cell_id").drop("_h")
+    return placed.mapInArrow(run, f"{_declared(cells, [*FOV_KEYS, 'cell_id'])}, near {_near_type(cells, columns, ids)}")
+
+
+def _places(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """``here``: the first k + 1 cells of every place by id; more can be nobody's neighbour.
+
+    The limit on the row number lets Spark cut every task's rows before the shuffle, so a
+    crowded place does not travel as a whole.
     """
-    order = Window.partitionBy(*FOV_KEYS, "x", "y").orderBy("cell_id")
-    return cells.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
+    place = [*FOV_KEYS, "x", "y"]
+    order = Window.partitionBy(*place).orderBy("cell_id")
+    first = cells.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
+    return first.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("cell_id", *columns))).alias("here"))
 
 
-def _curve(cells: DataFrame) -> DataFrame:
-    """``z``: place of every cell on the Morton curve through its FOV's bounding square."""
-    box = cells.groupBy(*FOV_KEYS).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-12)).alias("span"),
-    )
+def _curve(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``z``: place of every point on the Morton curve through its FOV's bounding square."""
 
     def spread_bits(value: str, origin: str) -> Column:
         v = F.least(F.floor((F.col(value) - F.col(origin)) / F.col("span") * (1 << 30)), F.lit((1 << 30) - 1)).cast("long")
@@ -79,119 +154,189 @@ def _curve(cells: DataFrame) -> DataFrame:
         return v
 
     z = spread_bits("x", "x0").bitwiseOR(F.shiftleft(spread_bits("y", "y0"), 1))
-    return cells.join(box, FOV_KEYS).withColumn("z", z).drop("x0", "y0", "span")
+    return points.join(boxes.select(*FOV_KEYS, "x0", "y0", "span"), FOV_KEYS).withColumn("z", z).drop("x0", "y0", "span")
 
 
 class _Points:
-    """Cells of a tile in the order of their ids."""
-
-    def __init__(self, points: pa.StructArray, columns: list[str]):
-        self.x, self.y = (points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
-        self.values = [points.field(c) for c in ("cell_id", *columns)]
-
-    def nearest(self, x: np.ndarray, y: np.ndarray, k: int, within: np.ndarray | None = None, own: bool = False):
-        """(how many, squared distances, places): per query the k nearest by (squared distance, id), flat."""
-        d = (self.x[None] - x[:, None]) ** 2 + (self.y[None] - y[:, None]) ** 2
-        if own:
-            np.fill_diagonal(d, np.inf)
-        if within is not None:
-            d[d > within[:, None]] = np.inf
-        order = np.argsort(d, 1, kind="stable")[:, :k]
-        found = np.take_along_axis(d, order, 1)
-        on = np.isfinite(found)
-        return on.sum(1), found[on], order[on]
-
-
-def _lists(counts: np.ndarray, distance: np.ndarray, place: np.ndarray, points: _Points, columns: list[str]) -> pa.ListArray:
-    """array<struct<dist2, neighbor_id, columns>> per query."""
-    fields = [pa.array(distance), *(v.take(pa.array(place)) for v in points.values)]
-    near = pa.StructArray.from_arrays(fields, names=["dist2", "neighbor_id", *columns])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), near)
-
-
-def _tiled(cells: DataFrame, k: int, columns: list[str]) -> DataFrame:
-    """Neighbours for large FOVs by tiles of neighbours on the curve.
-
-    A tile bounds the radius of each of its cells by what it holds itself; then it meets only
-    the tiles that reach into one of these radii, pair by pair, and a cell's few finds are
-    merged. Tiles hold equal numbers of cells, so crowded and empty regions cost the same.
+    """Points in the order of their ids."""
+
+    def __init__(self, ids: pa.Array, x: np.ndarray, y: np.ndarray):
+        order = pc.sort_indices(ids)
+        self.order = order.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.x, self.y = x[self.order], y[self.order]
+        self.same = np.cumsum(_differs(ids.take(order)))
+        #: by place in the input
+        self.rank = np.empty(len(self.order), np.int64)
+        self.rank[self.order] = np.arange(len(self.order))
+
+    def _distance(self, asked: np.ndarray, among: np.ndarray) -> np.ndarray:
+        d = (self.x[None, among] - self.x[asked, None]) ** 2 + (self.y[None, among] - self.y[asked, None]) ** 2
+        d[self.same[None, among] == self.same[asked, None]] = np.inf
+        return d
+
+    def search(self, n_own: int, wanted: np.ndarray, k: int):
+        """For every stretch of the first ``n_own`` points of the input: (asked points, values, places, box and reach).
+
+        Values and places as in :func:`_first`, places by the input. The reach is the largest
+        squared distance of a k-th neighbour, infinite if one is missing.
+        """
+        size = max(STRETCH, k + 2)
+        for lo in range(0, n_own, size):
+            asked = np.flatnonzero(wanted[lo : lo + size]) + lo
+            if not len(asked):
+                continue
+            own = np.sort(self.rank[lo : min(lo + size, n_own)])
+            at = self.rank[asked]
+            box = x0, x1, y0, y1 = self.x[at].min(), self.x[at].max(), self.y[at].min(), self.y[at].max()
+            bound = _first(self._distance(at, own), k)[0][:, -1].max()
+            among = np.flatnonzero(_gap(self.x, self.y, box) <= bound)
+            value, place = _first(self._distance(at, among), k)
+            yield asked, value, self.order[among[place]], (x0, x1, y0, y1, value[:, -1].max())
+
+
+def _gap(x: np.ndarray, y: np.ndarray, box) -> np.ndarray:
+    """Squared distance of points from a box."""
+    gx = np.maximum(np.maximum(box[0] - x, x - box[1]), 0)
+    gy = np.maximum(np.maximum(box[2] - y, y - box[3]), 0)
+    return gx * gx + gy * gy
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles of one FOV and about ``TILE`` rows from rows in the order of FOVs and curve."""
+
+    def emit(run: pa.RecordBatch):
+        parts = max(1, round(run.num_rows / TILE))
+        cuts = [run.num_rows * i // parts for i in range(parts + 1)]
+        yield from (run.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:]))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) < 4 * TILE:
+            continue
+        rows = _joined(held)
+        starts = [*_starts(rows, FOV_KEYS).tolist(), rows.num_rows]
+        for lo, hi in zip(starts[:-2], starts[1:-1]):
+            yield from emit(rows.slice(lo, hi - lo))
+        rest = rows.slice(starts[-2])
+        while rest.num_rows >= 3 * TILE:
+            yield rest.slice(0, TILE)
+            rest = rest.slice(TILE)
+        held = [rest]
+    if held:
+        rows = _joined(held)
+        starts = [*_starts(rows, FOV_KEYS).tolist(), rows.num_rows]
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            yield from emit(rows.slice(lo, hi - lo))
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _tiled(places: DataFrame, boxes: DataFrame, k: int, columns: list[str], ids: bool) -> DataFrame:
+    """Neighbours for the cells of large FOVs that share their place with less than k others.
+
+    A tile finds the best neighbours among its own cells, which bounds how far each stretch of
+    it has to look. Tiles within that reach send the cells inside it, and the tile searches
+    again among its own and those. The lists of neighbours are never written.
     """
-    size = max(TILE, k + 2)
-    candidates = durable(_candidates(cells, k))
-    placed = ordered_positions(_curve(candidates), FOV_KEYS, ["z", "cell_id"], "pos", "n")
-    point = F.struct("cell_id", "x", "y", *columns)
-    tile = F.floor((F.col("pos") - 1) / size).cast("long")
-    tiles = placed.withColumn("tile", tile).groupBy(*FOV_KEYS, "tile").agg(F.array_sort(F.collect_list(point)).alias("points"))
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    keys = ", ".join(f"`{c}` {kinds[c]}" for c in FOV_KEYS)
-    listed = f"array<struct<dist2: double, neighbor_id: {kinds['cell_id']}" + "".join(f", `{c}`: {kinds[c]}" for c in columns) + ">>"
+    kinds = {f.name: f.dataType.simpleString() for f in places.select(*FOV_KEYS, "x", "y", F.inline("here")).schema.fields}
+    listed = ["cell_id", "x", "y", *columns]
+    points = places.select(*FOV_KEYS, "x", "y", (F.size("here") <= k).alias("wanted"), F.inline(F.slice("here", 1, k)))
+    order = [*FOV_KEYS, "z", "x", "y", "cell_id"]
+    placed = _curve(points, boxes).repartitionByRange(*order).sortWithinPartitions(*order)
+    arrays = ", ".join(f"`{c}` array<{kinds[c]}>" for c in listed)
+    limits = ["x0", "x1", "y0", "y1", "reach"]
+
+    def cut(batches):
+        for i, rows in enumerate(_pieces(batches)):
+            column = {name: rows.column(j) for j, name in enumerate(rows.schema.names)}
+            x, y, wanted = (column[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "wanted"))
+            found = [stretch[-1] for stretch in _Points(column["cell_id"], x, y).search(rows.num_rows, wanted, k)]
+            number = (int(column["part"][0].as_py()) << 32) + i
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(column[c].slice(0, 1) for c in FOV_KEYS), pa.array([number], pa.int64()), *(_one(column[c]) for c in (*listed, "wanted")),
+                    *(pa.array([float(v)]) for v in (x.min(), x.max(), y.min(), y.max())), pa.array([max((f[4] for f in found), default=None)], pa.float64()),
+                    *(_one(pa.array([float(f[j]) for f in found], pa.float64())) for j in range(5)),
+                ],
+                names=[*FOV_KEYS, "tile", *listed, "wanted", *limits, *(f"s_{c}" for c in limits)],
+            )
 
-    def alone(batches):
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in FOV_KEYS)
+    schema = f"{keys}, tile long, {arrays}, wanted array<boolean>, " + ", ".join(f"{c} double" for c in limits) + ", " + ", ".join(f"s_{c} array<double>" for c in limits)
+    tiles = durable(placed.withColumn("part", F.spark_partition_id()).drop("z").mapInArrow(cut, schema))
+
+    # who asks whom; a tile without k other cells is bounded by the tiles that hold k
+    light = tiles.select(*FOV_KEYS, "tile", *limits, F.size("cell_id").alias("n"))
+    others = light.select(*FOV_KEYS, F.col("tile").alias("other"), F.col("n").alias("n_other"), *[F.col(c).alias(f"b_{c}") for c in limits[:4]])
+    met = light.where("reach IS NOT NULL").join(others, FOV_KEYS).where("tile <> other")
+    gap = lambda v: F.greatest(F.col(f"{v}0") - F.col(f"b_{v}1"), F.col(f"b_{v}0") - F.col(f"{v}1"), F.lit(0.0))
+    far = lambda v: F.greatest(F.col(f"{v}1") - F.col(f"b_{v}0"), F.col(f"b_{v}1") - F.col(f"{v}0"))
+    full = met.where((F.col("reach") == float("inf")) & (F.col("n_other") >= k))
+    bounds = full.groupBy("tile").agg(F.min(far("x") * far("x") + far("y") * far("y")).alias("bound"))
+    within = F.least("reach", F.coalesce("bound", F.lit(float("inf"))))
+    asks = met.join(bounds, "tile", "left").withColumn("reach", within).where(gap("x") * gap("x") + gap("y") * gap("y") <= F.col("reach"))
+    stretches = tiles.select("tile", *(f"s_{c}" for c in limits))
+    ask = F.struct("tile", "reach", *(f"s_{c}" for c in limits)).alias("ask")
+    asked = asks.select("tile", "other", "reach").join(stretches, "tile").groupBy("other").agg(F.collect_list(ask).alias("asks"))
+
+    def send(batches):
         for batch in batches:
-            points, at = batch.column(batch.schema.get_field_index("points")), [batch.schema.get_field_index(c) for c in (*FOV_KEYS, "tile")]
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                own = _Points(points[i].values, columns)
-                counts, distance, place = own.nearest(own.x, own.y, k, own=True)
-                full = counts == k
-                reach = np.full(len(counts), np.inf)
-                reach[full] = distance[np.cumsum(counts)[full] - 1]
-                near = _lists(counts, distance, place, own, columns)
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(i, 1) for c in at), points.slice(i, 1), one(pa.array(reach)), one(near),
-                        *(pa.array([float(v)]) for v in (own.x.min(), own.x.max(), own.y.min(), own.y.max(), reach.max())),
-                    ],
-                    names=[*FOV_KEYS, "tile", "points", "reach", "near", "x0", "x1", "y0", "y1", "farthest"],
-                )
-
-    schema = f"{keys}, tile long, points array<struct<cell_id: {kinds['cell_id']}, x: double, y: double" + "".join(f", `{c}`: {kinds[c]}" for c in columns)
-    local = durable(tiles.mapInArrow(alone, f"{schema}>>, reach array<double>, near array<{listed}>, x0 double, x1 double, y0 double, y1 double, farthest double"))
-
-    boxes = local.select(*FOV_KEYS, F.col("tile").alias("other"), *[F.col(c).alias(f"b{c}") for c in ("x0", "x1", "y0", "y1")])
-    gap = lambda axis: F.greatest(F.col(f"{axis}0") - F.col(f"b{axis}1"), F.col(f"b{axis}0") - F.col(f"{axis}1"), F.lit(0.0))
-    light = local.select(*FOV_KEYS, "tile", "x0", "x1", "y0", "y1", "farthest")
-    apart = gap("x") * gap("x") + gap("y") * gap("y")
-    pairs = light.join(boxes, FOV_KEYS).where((F.col("tile") != F.col("other")) & (apart <= F.col("farthest"))).select(*FOV_KEYS, "tile", "other")
-    met = pairs.join(local.select(*FOV_KEYS, "tile", "points", "reach"), [*FOV_KEYS, "tile"]).join(
-        local.select(*FOV_KEYS, F.col("tile").alias("other"), F.col("points").alias("others")), [*FOV_KEYS, "other"]
-    )
-
-    def across(batches):
+                own = {c: column[c][i].values for c in listed}
+                x, y = (own[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                for a in column["asks"][i].as_py():
+                    sent = np.zeros(len(x), bool)
+                    for box in zip(*(a[f"s_{c}"] for c in limits)):
+                        sent |= _gap(x, y, box) <= min(box[4], a["reach"])
+                    if sent.any():
+                        at = pa.array(np.flatnonzero(sent))
+                        yield pa.RecordBatch.from_arrays([pa.array([a["tile"]], pa.int64()), *(_one(own[c].take(at)) for c in listed)], names=["tile", *listed])
+
+    sent = tiles.select(F.col("tile").alias("other"), *listed).join(asked, "other").mapInArrow(send, f"tile long, {arrays}")
+    halo = sent.groupBy("tile").agg(*[F.flatten(F.collect_list(F.struct(*listed)).getField(c)).alias(f"h_{c}") for c in listed])
+
+    def solve(batches):
         for batch in batches:
-            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                own, other = _Points(column("points")[i].values, columns), _Points(column("others")[i].values, columns)
-                reach = column("reach")[i].values.to_numpy(zero_copy_only=False)
-                gx = np.maximum(np.maximum(other.x.min() - own.x, own.x - other.x.max()), 0)
-                gy = np.maximum(np.maximum(other.y.min() - own.y, own.y - other.y.max()), 0)
-                asked = np.flatnonzero(gx * gx + gy * gy <= reach)
-                counts, distance, place = other.nearest(own.x[asked], own.y[asked], k, reach[asked])
-                on = counts > 0
-                if on.any():
-                    n = int(on.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(pa.array([column(c)[i].as_py()] * n, column(c).type) for c in FOV_KEYS), own.values[0].take(pa.array(asked[on])),
-                            _lists(counts[on], distance, place, other, columns),
-                        ],
-                        names=[*FOV_KEYS, "cell_id", "near"],
-                    )
-
-    inside = local.select(*FOV_KEYS, F.inline(F.arrays_zip(F.col("points.cell_id").alias("cell_id"), "near"))).toDF(*FOV_KEYS, "cell_id", "near")
-    outside = met.mapInArrow(across, f"{keys}, cell_id {kinds['cell_id']}, near {listed}")
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-    found = inside.unionByName(outside).groupBy(*FOV_KEYS, "cell_id").agg(merged.alias("near"))
-    # cells cut from a crowded position: its first k candidates are at no distance from them
-    cut = cells.join(candidates.select(*FOV_KEYS, "cell_id"), [*FOV_KEYS, "cell_id"], "left_anti").select(*FOV_KEYS, "x", "y", "cell_id")
-    here = F.struct(F.lit(0.0).alias("dist2"), F.col("cell_id").alias("neighbor_id"), *columns)
-    crowded = candidates.groupBy(*FOV_KEYS, "x", "y").agg(F.array_sort(F.collect_list(here)).alias("all")).where(F.size("all") > k)
-    rest = cut.join(crowded, [*FOV_KEYS, "x", "y"]).select(*FOV_KEYS, "cell_id", F.slice("all", 1, k).alias("near"))
-    return found.unionByName(rest)
-
-
-def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on_small_fov: str = "error") -> DataFrame:
-    """One row per cell with its sorted neighbour array.
+                own = {c: column[c][i].values for c in (*listed, "wanted")}
+                every = {c: own[c] if column[f"h_{c}"][i].values is None else pa.concat_arrays([own[c], column[f"h_{c}"][i].values]) for c in listed}
+                x, y = (every[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                n = len(own["wanted"])
+                found = list(_Points(every["cell_id"], x, y).search(n, own["wanted"].to_numpy(zero_copy_only=False), k))
+                asked, value, place = (np.concatenate([f[j] for f in found]) for j in range(3))
+                near = _near(value, place, every["cell_id"] if ids else None, {c: every[c] for c in columns})
+                fov = [pa.array([column[c][i].as_py()] * len(asked), column[c].type) for c in FOV_KEYS]
+                yield pa.RecordBatch.from_arrays([*fov, own["cell_id"].take(pa.array(asked)), near], names=[*FOV_KEYS, "cell_id", "near"])
+
+    near_type = "array<struct<" + ", ".join([*([f"dist2: double, neighbor_id: {kinds['cell_id']}"] if ids else []), *(f"`{c}`: {kinds[c]}" for c in columns)]) + ">>"
+    own = tiles.where("reach IS NOT NULL").select(*FOV_KEYS, "tile", *listed, "wanted")
+    return own.join(halo, "tile", "left").mapInArrow(solve, f"{keys}, cell_id {kinds['cell_id']}, near {near_type}")
+
+
+def _large(cells: DataFrame, boxes: DataFrame, k: int, columns: list[str], ids: bool) -> DataFrame:
+    """Neighbours for large FOVs: within crowded places at once, for all others by tiles."""
+    places = durable(_places(cells, k, columns))
+    kinds = places.select((F.size("here") > k).alias("crowded")).distinct().collect()
+    parts = []
+    if any(not r["crowded"] for r in kinds):
+        parts.append(_tiled(places, boxes, k, columns, ids))
+    if any(r["crowded"] for r in kinds):
+        others = F.slice(F.filter("here", lambda p: p["cell_id"] != F.col("cell_id")), 1, k)
+        fields = lambda p: [*([F.lit(0.0).alias("dist2"), p["cell_id"].alias("neighbor_id")] if ids else []), *[p[c].alias(c) for c in columns]]
+        crowded = places.where(F.size("here") > k)
+        at_once = cells.select(*FOV_KEYS, "x", "y", "cell_id").join(crowded, [*FOV_KEYS, "x", "y"])
+        parts.append(at_once.select(*FOV_KEYS, "cell_id", F.transform(others, lambda p: F.struct(*fields(p))).alias("near")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on_small_fov: str = "error", ids: bool = True) -> DataFrame:
+    """One row per cell with its sorted neighbour array; without ``ids`` that has only the ``columns``.
 
     A FOV with fewer than k + 1 cells raises (``error``), keeps the neighbours it has
     (``shrink``), or is left out (``quarantine``). Coordinates must be finite numbers: a
@@ -202,16 +347,20 @@ def nearest_lists(cells: DataFrame, k: int, columns: list[str] | None = None, on
     base = cells.select(*FOV_KEYS, "cell_id", _finite("x"), _finite("y"), *columns)
     sizes = base.groupBy(*FOV_KEYS).agg(F.count(F.lit(1)).alias("n_fov"))
     bounds = sizes.agg(F.min("n_fov").alias("least"), F.max("n_fov").alias("most")).first()
-    if bounds["most"] is None:
-        return _in_one_row(base, k, columns)
-    if on_small_fov == "error" and bounds["least"] < k + 1:
+    if on_small_fov == "error" and bounds["most"] is not None and bounds["least"] < k + 1:
         raise ValueError(f"a FOV has {bounds['least']} cells, fewer than k + 1 = {k + 1}")
-    if bounds["most"] <= SMALL_FOV:
-        out = _in_one_row(base, k, columns)
+    if bounds["most"] is None or bounds["most"] <= SMALL_FOV:
+        out = _small(base, k, columns, ids)
     else:
-        sized = base.join(sizes, FOV_KEYS)
-        out = _in_one_row(sized.where(F.col("n_fov") <= SMALL_FOV).drop("n_fov"), k, columns)
-        out = out.unionByName(_tiled(sized.where(F.col("n_fov") > SMALL_FOV).drop("n_fov"), k, columns))
+        base = durable(base)
+        span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-12))
+        boxes = base.groupBy(*FOV_KEYS).agg(F.count(F.lit(1)).alias("n_fov"), F.min("x").alias("x0"), F.min("y").alias("y0"), span.alias("span"))
+        boxes = durable(boxes.where(F.col("n_fov") > SMALL_FOV))
+        if bounds["least"] > SMALL_FOV:
+            out = _large(base, boxes, k, columns, ids)
+        else:
+            out = _small(base.join(boxes, FOV_KEYS, "left_anti"), k, columns, ids)
+            out = out.unionByName(_large(base.join(boxes, FOV_KEYS, "left_semi"), boxes, k, columns, ids))
     if on_small_fov == "quarantine":
         out = out.where(F.size("near") == k)
     return out
@@ -232,7 +381,7 @@ def neighborhood_vectors(cells: DataFrame, k: int, subtypes: list[str], on_small
     """
     known = F.coalesce(F.col("cell_subtype_label").isin(subtypes), F.lit(False))
     label = F.when(known, F.col("cell_subtype_label")).otherwise(F.raise_error(F.lit("a cell type is not among the given ones")))
-    lists = nearest_lists(cells.withColumn("cell_subtype_label", label), k, ["cell_subtype_label"], on_small_fov)
+    lists = nearest_lists(cells.withColumn("cell_subtype_label", label), k, ["cell_subtype_label"], on_small_fov, ids=False)
     found = F.size("near")
     share = lambda t: F.size(F.filter("near", lambda p: p["cell_subtype_label"] == t)) / F.when(found > 0, found)
     return lists.select(*FOV_KEYS, "cell_id", F.array(*[F.coalesce(share(t), F.lit(0.0)) for t in subtypes]).alias("features"))

@@ -119,6 +119,36 @@ def test_large_fov_matches_full_search(spark, kind):
         assert [got[f"c{i:04d}"][r + 1] for r in range(k)] == [name for _, name in order]
 
 
+@pytest.mark.parametrize("k", [3, 40])
+def test_large_fovs_write_cells_and_no_neighbour_lists(spark, monkeypatch, k):
+    rng = np.random.default_rng(11)
+    sizes, scale = {"f1": 500, "f2": 130, "f3": 40}, {"f1": 1e-3, "f2": 1e6, "f3": 1.0}
+    rows = [(f, f"{f}-{i:04d}", *np.round(rng.random(2) * 30) * scale[f], "ab"[i % 2]) for f, n in sizes.items() for i in range(n)]
+    rows += [("f1", f"f1-z{i:03d}", 0.004, 0.004, "b") for i in range(60)]
+    written, kept = [], neighbors.durable
+    monkeypatch.setattr(neighbors, "durable", lambda df: written.append(df) or kept(df))
+    got = {}
+    for r in neighbors.nearest_neighbors(spatial(spark, rows), k, "shrink").collect():
+        got.setdefault(r.cell_id, []).append((r["rank"], r.neighbor_id, r.distance))
+    for f in sizes:
+        own = [r for r in rows if r[0] == f]
+        for _, cell, x, y, _ in own:
+            near = sorted(((b[2] - x) ** 2 + (b[3] - y) ** 2, b[1]) for b in own if b[1] != cell)[:k]
+            assert [(n, pytest.approx(d)) for _, n, d in sorted(got[cell])] == [(n, d2**0.5) for d2, n in near]
+    assert written and not [df for df in written if "near" in df.columns]
+
+
+def test_small_fovs_are_solved_in_arrow_batches(spark, monkeypatch):
+    rows = [(f"f{f}", f"c{f}-{i:02d}", (i * 7) % 5, (i * 3) % 4, "ab"[i % 2]) for f in range(60) for i in range(1 + f % 30)]
+    lists = neighbors.nearest_lists(spatial(spark, rows), 4, ["cell_subtype_label"], "shrink")
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_sort" not in plan
+    got = {r.cell_id: [(n.dist2, n.neighbor_id, n.cell_subtype_label) for n in r.near] for r in lists.collect()}
+    assert len(got) == len(rows)
+    for f, cell, x, y, _ in rows:
+        assert got[cell] == sorted(((b[2] - x) ** 2 + (b[3] - y) ** 2, b[1], b[4]) for b in rows if b[0] == f and b[1] != cell)[:4]
+
+
 def test_balanced_parts(spark):
     df = spark.range(5).select(pairing.part_index(F.col("id"), F.lit(5), F.lit(2)).alias("part"))
     assert [r.part for r in df.collect()] == [0, 0, 0, 1, 1]
