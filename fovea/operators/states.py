@@ -15,30 +15,36 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-#: Rows that the starts are drawn from, those with the smallest hashes; a bound for the driver.
+#: Different rows that the starts are drawn from, those with the smallest hashes; a bound for the driver.
 SEED_ROWS = 4096
 #: A start is settled when none of its centres moves further.
 SHIFT_TOL, MAX_ITER = 1e-4, 50
 _BATCH = 4096
 
 
-def seed_centers(rows: np.ndarray, n_states: int, n_starts: int, seed: int) -> np.ndarray:
-    """[starts, states, features]: each next centre by its squared distance to the ones before."""
+def seed_centers(rows: np.ndarray, n_states: int, n_starts: int, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """[starts, states, features]: each next centre by its weight and squared distance to the ones before."""
     out = np.empty((n_starts, n_states, rows.shape[1]))
+    weight = np.ones(len(rows)) if weight is None else weight
     for start in range(n_starts):
         rng = np.random.default_rng([seed, start])
-        out[start, 0] = rows[rng.integers(len(rows))]
+        out[start, 0] = rows[rng.choice(len(rows), p=weight / weight.sum())]
         near = ((rows - out[start, 0]) ** 2).sum(1)
         for k in range(1, n_states):
-            total = near.sum()
-            out[start, k] = rows[rng.choice(len(rows), p=near / total) if total > 0 else rng.integers(len(rows))]
+            total = (weight * near).sum()
+            out[start, k] = rows[rng.choice(len(rows), p=weight * near / total) if total > 0 else rng.integers(len(rows))]
             near = np.minimum(near, ((rows - out[start, k]) ** 2).sum(1))
     return out
 
 
 def lloyd_sums(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sums, counts, squared distances) of the rows nearest to every centre of every start, in one job."""
+    """(sums, counts, squared distances) of the rows nearest to every centre of every start, in one job.
+
+    A column ``weight`` says for how many equal rows a row stands.
+    """
     starts, k, d = centers.shape
+    weighted = "weight" in vectors.columns
+    vectors = vectors.select("features", *(["weight"] if weighted else []))
     width = k * (d + 1) + 1
 
     def run(batches):
@@ -46,14 +52,15 @@ def lloyd_sums(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.
         offset = 0.5 * (centers**2).sum(2)
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            weight = batch.column(1).to_numpy(zero_copy_only=False) if weighted else np.ones(len(flat))
             for lo in range(0, len(flat), _BATCH):
-                x = flat[lo : lo + _BATCH]
+                x, w = flat[lo : lo + _BATCH], weight[lo : lo + _BATCH]
                 for s in range(starts):
                     own = np.argmin(offset[s] - x @ centers[s].T, 1)
                     for j in range(d):
-                        total[s, j * k : (j + 1) * k] += np.bincount(own, x[:, j], k)
-                    total[s, d * k : -1] += np.bincount(own, minlength=k)
-                    total[s, -1] += ((x - centers[s, own]) ** 2).sum()
+                        total[s, j * k : (j + 1) * k] += np.bincount(own, w * x[:, j], k)
+                    total[s, d * k : -1] += np.bincount(own, w, k)
+                    total[s, -1] += w @ ((x - centers[s, own]) ** 2).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["slot", "value"])
 
     got = vectors.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
@@ -63,18 +70,25 @@ def lloyd_sums(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.
     return total[:, : d * k].reshape(starts, d, k).transpose(0, 2, 1), total[:, d * k : -1], total[:, -1]
 
 
+def row_counts(features: DataFrame) -> DataFrame:
+    """Different rows with their number, or with the sum of ``weight`` where the rows have one."""
+    weight = F.sum("weight") if "weight" in features.columns else F.count(F.lit(1)).cast("double")
+    return features.groupBy("features").agg(weight.alias("weight"))
+
+
 def fit_states(features: DataFrame, n_states: int, n_starts: int = 20, seed: int = 42, max_iter: int = MAX_ITER) -> tuple[DataFrame, float]:
     """Best of several k-means starts; centroids relabelled in lexicographic order.
 
-    All starts move together: a job per iteration adds up the rows of every centre of every
+    Equal rows are counted first and travel as one with their ``weight`` (a column of
+    ``features`` may give it already, see :func:`row_counts`). All starts move together: a job per iteration adds up the rows of every centre of every
     start that still moves, over a written stage. Returns the centroids (state-sized) and
     the training cost of the best start. A centre that loses all rows stays where it was.
     """
-    vectors = write_stage(features.select("features"), "vectors")
-    drawn = vectors.select("features").orderBy(F.xxhash64("features", F.lit(seed)), "features").limit(SEED_ROWS).collect()
+    vectors = write_stage(row_counts(features), "vectors")
+    drawn = vectors.orderBy(F.xxhash64("features", F.lit(seed)), "features").limit(SEED_ROWS).collect()
     if not drawn:
         raise ValueError("there are no rows to cluster")
-    centers = seed_centers(np.array([r["features"] for r in drawn], float), n_states, n_starts, seed)
+    centers = seed_centers(np.array([r["features"] for r in drawn], float), n_states, n_starts, seed, np.array([r["weight"] for r in drawn]))
     cost, live = np.full(n_starts, np.inf), np.ones(n_starts, bool)
     for _ in range(max_iter):
         sums, counts, _ = lloyd_sums(vectors, centers[live])

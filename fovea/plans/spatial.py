@@ -129,9 +129,15 @@ def _(spark, sf):
 # --- states ------------------------------------------------------------------
 
 
+def feature_counts(spark, sf):
+    """Different neighbourhood vectors with their number of cells; few, as k neighbours give few shares."""
+    build = lambda: states.row_counts(neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES, "shrink"))
+    return staged(spark, "feature_counts", sf, build)
+
+
 @query("fit_states", "D1")
 def _(spark, sf):
-    vectors = staged(spark, "features", sf, lambda: neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES, "shrink"))
+    vectors = feature_counts(spark, sf)
     centroids, cost = states.fit_states(vectors, K)
     return centroids.select("state_id", F.to_json("features").alias("centroid"), F.lit(cost).alias("training_cost"))
 
@@ -142,11 +148,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Each centroid is the mean of the cells nearest to it, and the distances add up to the training cost."""
-    vectors = staged(spark, "features", sf, lambda: neighbors.neighborhood_vectors(base.cells(spark, sf), NN, SUBTYPES, "shrink"))
+    vectors = feature_counts(spark, sf)
     centroids, cost = states.fit_states(vectors, K, n_starts=5)
     near = states.assign_states(vectors, centroids)
     means = near.groupBy("state_id").agg(
-        F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(len(SUBTYPES))]).alias("mean"), F.sum("distance2").alias("d2")
+        F.array(*[F.sum(F.col("weight") * F.get("features", F.lit(i))) / F.sum("weight") for i in range(len(SUBTYPES))]).alias("mean"),
+        F.sum(F.col("weight") * F.col("distance2")).alias("d2"),
     )
     total = means.agg(F.sum("d2").alias("total"))
     off = F.sqrt(states.squared_distance(F.col("features"), F.col("mean")))

@@ -48,3 +48,17 @@ def test_fewer_different_rows_than_states(spark):
     assert centroids.count() == 4 and cost == pytest.approx(0)
     with pytest.raises(ValueError):
         states.fit_states(frame.where("false"), 2)
+
+
+def test_many_copies_of_few_rows(spark):
+    """Copies of one row must not fill the rows that the starts are drawn from, and travel as one."""
+    base = [[float(i == j) for j in range(4)] for i in range(4)] + [[0.5, 0.5, 0.0, 0.0], [0.0, 0.0, 0.5, 0.5]]
+    copies = [5000, 6000, 7000, 5000, 4500, 9000]
+    one = spark.createDataFrame(list(zip(base, copies)), "features array<double>, n int")
+    frame = one.selectExpr("explode(array_repeat(features, n)) AS features")
+    centroids, cost = states.fit_states(frame, 6, n_starts=20)
+    assert cost == pytest.approx(0) and sorted(map(list, base)) == [r.features for r in centroids.orderBy("state_id").collect()]
+    counted = states.row_counts(frame)
+    assert counted.count() == 6
+    again = states.fit_states(counted, 6, n_starts=20)
+    assert again[1] == pytest.approx(cost) and again[0].collect() == centroids.collect()
