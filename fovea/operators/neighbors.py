@@ -421,18 +421,18 @@ def grid_blocks(cells: DataFrame, g: int) -> DataFrame:
 def block_bootstrap(blocks: DataFrame, g: int, replicates: int, seed: str) -> DataFrame:
     """Resampled blocks per FOV and replicate, with how often each was drawn and its cells.
 
-    A FOV has at most g x g blocks: the draws of a replicate fit in one array.
+    A FOV has at most g x g blocks: the draws of a replicate fit in one array and are counted in it.
     """
     sizes = blocks.groupBy(*FOV_KEYS, "block_row", "block_col").agg(F.count(F.lit(1)).alias("n_cells"))
     listed = sizes.groupBy(*FOV_KEYS).agg(F.array_sort(F.collect_list(F.struct("block_row", "block_col", "n_cells"))).alias("b"))
     reps = listed.select(*FOV_KEYS, "b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     slots = F.sequence(F.lit(1), F.size("b"))
-    picked = F.transform(
-        slots, lambda s: F.get("b", (draw(seed, F.concat_ws("|", *FOV_KEYS), F.col("replicate"), s) % F.size("b")).cast("int"))
+    picks = F.transform(slots, lambda s: (draw(seed, F.concat_ws("|", *FOV_KEYS), F.col("replicate"), s) % F.size("b")).cast("int"))
+    listed = reps.withColumn("picks", picks).select(*FOV_KEYS, "replicate", "picks", F.posexplode("b").alias("at", "p"))
+    counted = listed.withColumn("n_drawn", F.size(F.filter("picks", lambda i: i == F.col("at"))).cast("long")).where("n_drawn > 0")
+    return counted.select(
+        *FOV_KEYS, "replicate", F.col("p.block_row").alias("block_row"), F.col("p.block_col").alias("block_col"), "n_drawn", F.col("p.n_cells").alias("n_cells")
     )
-    return reps.select(*FOV_KEYS, "replicate", F.explode(picked).alias("p")).groupBy(
-        *FOV_KEYS, "replicate", F.col("p.block_row").alias("block_row"), F.col("p.block_col").alias("block_col")
-    ).agg(F.count(F.lit(1)).alias("n_drawn"), F.first("p.n_cells").alias("n_cells"))
 
 
 def replicate_cells(drawn: DataFrame, blocks: DataFrame) -> DataFrame:

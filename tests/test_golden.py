@@ -149,6 +149,17 @@ def test_small_fovs_are_solved_in_arrow_batches(spark, monkeypatch):
         assert got[cell] == sorted(((b[2] - x) ** 2 + (b[3] - y) ** 2, b[1], b[4]) for b in rows if b[0] == f and b[1] != cell)[:4]
 
 
+def test_block_draws_are_counted_in_their_row(spark):
+    rows = [(f, f"{f}-{i}", i % 7, i % 5, "a") for f in ("f1", "f2", "f3") for i in range(40)]
+    blocks = neighbors.grid_blocks(spatial(spark, rows), 3)
+    drawn = neighbors.block_bootstrap(blocks, 3, 4, "42")
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3  # boxes, block sizes, blocks of a FOV
+    per_fov = {f: blocks.where(f"fov_id = '{f}'").select("block_row", "block_col").distinct().count() for f in ("f1", "f2", "f3")}
+    got = drawn.groupBy("fov_id", "replicate").sum("n_drawn").collect()
+    assert len(got) == 12 and all(r["sum(n_drawn)"] == per_fov[r.fov_id] for r in got)
+
+
 def test_balanced_parts(spark):
     df = spark.range(5).select(pairing.part_index(F.col("id"), F.lit(5), F.lit(2)).alias("part"))
     assert [r.part for r in df.collect()] == [0, 0, 0, 1, 1]
