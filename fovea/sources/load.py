@@ -157,22 +157,31 @@ def read_cells_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True)
 
 
+#: Rows that one task groups by their whole content.
+ROWS_PER_TASK = 500_000
+
+
 def with_cell_key(df: DataFrame, natural: str) -> DataFrame:
     """The natural key when every value is present and unique, else a content hash.
 
     Equal rows are told apart by their occurrence: the second gets ``#2`` behind the hash, and
     so on. They are interchangeable, so a row is counted and written out again as often. The
-    check is one aggregate over pre-grouped keys; only two counts reach the driver.
+    check is one aggregate over pre-grouped keys; only three counts reach the driver. The number
+    of rows decides how many tasks group them, as few bytes of sorted keys are many rows.
     """
     keyed = df.groupBy(natural).agg(F.count(F.lit(1)).alias("n"))
     row = keyed.agg(
-        F.max("n").alias("top"), F.count_if(F.col(natural).isNull()).alias("nulls")
+        F.max("n").alias("top"), F.count_if(F.col(natural).isNull()).alias("nulls"), F.sum("n").alias("rows")
     ).first()
     if row["top"] == 1 and row["nulls"] == 0:
         return df.withColumn("cell_id", F.col(natural).cast("string"))
     value = lambda c: F.col(c).cast("string")
     content = F.concat_ws("|", *[F.coalesce(F.concat(F.length(value(c)), F.lit(":"), value(c)), F.lit("-")) for c in df.columns])
-    each = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).select(
+    dealt = df
+    if row["rows"] and row["top"] <= ROWS_PER_TASK:  # equal rows share their key: no large group of copies, which would be counted before the shuffle
+        tasks = max(-(-row["rows"] // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism)
+        dealt = df.repartition(tasks, *df.columns)
+    each = dealt.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).select(
         *df.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__occurrence")
     )
     later = F.when(F.col("__occurrence") > 1, F.concat(F.lit("#"), F.col("__occurrence").cast("string"))).otherwise("")
