@@ -105,6 +105,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of Parquet files whose rows one task sorts for a join.
+TASK_BYTES = 8 << 20
+
+
+def source_tasks(spark: SparkSession, path: str) -> int:
+    """Tasks that the files of a table are worth. Only lists them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return -(-size // TASK_BYTES)
+
+
 def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan that has fewer input splits than cores; a no-op for large inputs.
 

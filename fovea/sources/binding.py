@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.runtime import widen
+from fovea.runtime import source_tasks, widen
 
 SPLIT_DATE = "1998-04-01"
 
@@ -33,11 +33,19 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per cell.
 
     Join sides are left to the optimizer: small dimensions broadcast because
-    their file sizes are known, large ones fall back to a shuffle join.
+    their file sizes are known, large ones fall back to a shuffle join. Lines and
+    orders beyond what the cores take at once are dealt by the size of the files:
+    keys shrink so well in a shuffle that merging its partitions by bytes would put
+    millions of cells into one sort.
     """
-    li = widen(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    li, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = source_tasks(spark, f"{sf_dir}/lineitem.parquet")
+    if tasks > spark.sparkContext.defaultParallelism:
+        li, orders = li.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+    else:
+        li = widen(li, "l_orderkey", "l_partkey")
     joined = (
-        li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
