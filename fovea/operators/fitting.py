@@ -2,12 +2,14 @@
 
 One objective per relation over all patients and all their pairs. Patients of a relation are
 coupled by the cohort mean only, and only that reaches the driver: an update is one job over
-rows that hold a patient's pairs, their dual potentials (which start the next transport), the
-free parameters and both moments. A patient with too many pairs for one row is cut into parts
-whose sums meet in a Spark aggregation before each update.
-
-Rows stay cached between updates and are written below the shared folder every few updates;
-a lost executor costs the updates of its rows since then. All patients move in step. Several
+packs of patients that hold their pairs, dual potentials (which start the next transport), the
+free parameters and both moments. Packs are dealt once, as many partitions as cores, and an
+update is a stage of as many tasks without a shuffle or a plan: the driver keeps a record of
+every task and plan, and hundreds of updates of many tasks filled it. A patient with too many
+pairs for one row is cut into parts whose sums meet in a Spark aggregation before each update.
+
+Packs stay cached between updates and are written below the shared folder every few updates;
+a lost executor costs the updates of its packs since then. All patients move in step. Several
 updates per job with a guessed course of the mean, repeated until the course agrees, give the
 same result, but take as many passes as updates, as the pull to the mean is strong.
 """
@@ -18,19 +20,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.operators.estimate import relation_rows, vsum
 from fovea.operators.kernels import (
-    CHUNK, COHORT_SCALE, GEOMETRY_WEIGHT, MAIN_RATE, MAIN_STEPS, MIN_MAIN_STEPS, PLATEAU_CHANGE, PLATEAU_STEPS, SCALE_FLOOR, WARMUP_RATE, WARMUP_STEPS,
-    _from_sums, _pair_sums, _pair_terms, balanced_potentials, pair_divergences, start_relation,
+    COHORT_SCALE, GEOMETRY_WEIGHT, MAIN_RATE, MAIN_STEPS, MIN_MAIN_STEPS, PLATEAU_CHANGE, PLATEAU_STEPS, SCALE_FLOOR, WARMUP_RATE, WARMUP_STEPS,
+    _from_sums, _pair_sums, _pair_terms, balanced_potentials, pair_divergences, start_relation, together,
 )
-from fovea.runtime import spread, write_stage
+from fovea.runtime import checkpoint_below, drop_stages, spread, write_stage
 from fovea.schema import REL_PATIENT
 
-#: Pairs in one row; a patient with more is cut into parts.
-PART_PAIRS = 4096
+#: Pairs in one row (256 bytes each); a patient with more is cut into parts.
+PART_PAIRS = 65_536
+#: Pairs in one partition; more of them than cores where there are more pairs.
+TASK_PAIRS = 1_000_000
 #: Updates between two written states.
 ROUND_STEPS = 20
 #: Status of a patient whose pairs cannot be fitted, and of one whose fit did not stay finite.
@@ -60,6 +65,7 @@ class _Task:
     scale: dict[str, float]
     i: int  # number of the update
     mean: dict[str, np.ndarray]  # mean parameters [t | e] before it
+    done: frozenset[str] = frozenset()  # relations at their ends
 
 
 def _rate(i: int) -> float:
@@ -109,6 +115,7 @@ class _Rows:
         self.scale = np.array([task.scale[r] for r in self.relation])
         warm = None if rows[0]["duals"] is None else get("duals", 4 * k)
         self.duals = None if warm is None else [warm[:, i * k : (i + 1) * k].copy() for i in range(4)]
+        self.before = None  # free parameters before the last update
 
     def pair_sums(self) -> np.ndarray:
         """What a step adds up over the pairs of every row; moves the dual potentials along."""
@@ -116,8 +123,9 @@ class _Rows:
         t, e = _values(self.params[0], k)
         sums = np.zeros((len(self.rows), 2 + 2 * (k * k + k)))
         duals: list[list[np.ndarray]] = [[], [], [], []]
-        for lo in range(0, len(self.who), CHUNK):
-            at = slice(lo, lo + CHUNK)
+        most = together(k)
+        for lo in range(0, len(self.who), most):
+            at = slice(lo, lo + most)
             who = self.who[at]
             warm = (None, None) if self.duals is None else ((self.duals[0][at], self.duals[1][at]), (self.duals[2][at], self.duals[3][at]))
             loss, draw, (cross, own) = _pair_terms(self.q[at], self.b[at], self.own[at], t[who], e[who], self.task.cost, self.scale[who], warm)
@@ -141,11 +149,22 @@ class _Rows:
         fit, gt, ge = _from_sums(sums, k)
         g = _gradient(gt, ge, t, e, mean_t, mean_e, self.task.cost)
         logits, m, v = self.params
+        self.before = logits.copy()
         m[:] = 0.9 * m + 0.1 * g
         v[:] = 0.999 * v + 0.001 * g**2
         logits -= _rate(i) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
         return _terms(fit, t, e, mean_t, mean_e, self.task.cost)["objective"]
 
+    def packed(self) -> "_Rows":
+        """Without what the arrays hold already: as it lies between two updates."""
+        self.rows, self.task = [{n: r[n] for n in (*REL_PATIENT, "part")} for r in self.rows], None
+        return self
+
+    def end(self) -> None:
+        """The plateau is seen after an update: what counts is the state before it."""
+        if self.before is not None:
+            self.params[0], self.before = self.before, None
+
     def flat(self) -> np.ndarray:
         t, e = _values(self.params[0], self.task.k)
         return np.hstack([t.reshape(len(t), -1), e])
@@ -159,19 +178,23 @@ class _Rows:
         return pa.RecordBatch.from_pylist(new, schema=_TYPES)
 
 
+def _chunks(rows, task: _Task):
+    """Rows one after the other, as many at a time as make up one chunk of pairs."""
+    found, size, most = [], 0, together(task.k)
+    for row in rows:
+        n = len(row["own"]) // 8
+        if found and (size + n > most or (found[0]["duals"] is None) != (row["duals"] is None)):
+            yield _Rows(found, task)
+            found, size = [], 0
+        found.append(row)
+        size += n
+    if found:
+        yield _Rows(found, task)
+
+
 def _grouped(batches, task: _Task):
     """Rows of a task, as many at a time as make up one chunk of pairs."""
-    rows, size = [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            n = len(row["own"]) // 8
-            if rows and (size + n > CHUNK or (rows[0]["duals"] is None) != (row["duals"] is None)):
-                yield _Rows(rows, task)
-                rows, size = [], 0
-            rows.append(row)
-            size += n
-    if rows:
-        yield _Rows(rows, task)
+    return _chunks((row for batch in batches for row in batch.to_pylist()), task)
 
 
 class _Totals:
@@ -254,10 +277,10 @@ def packed_pairs(pairs: DataFrame, cost: np.ndarray, n_states: int, part_pairs:
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("pair_id")
         matrix = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
-        b, own = matrix("b"), []
-        for lo in range(0, len(b), CHUNK):
-            g, h = balanced_potentials(b[lo : lo + CHUNK], b[lo : lo + CHUNK], cost)
-            own.append(0.5 * ((g + h) * b[lo : lo + CHUNK]).sum(1))
+        b, own, most = matrix("b"), [], together(k)
+        for lo in range(0, len(b), most):
+            g, h = balanced_potentials(b[lo : lo + most], b[lo : lo + most], cost)
+            own.append(0.5 * ((g + h) * b[lo : lo + most]).sum(1))
         first = table.select([*REL_PATIENT, "part", "n_parts"]).slice(0, 1).to_pylist()[0]
         data = {"weights": table.column("weight").to_numpy(), "q": matrix("a"), "b": b, "own": np.concatenate(own), "params": start}
         return pa.Table.from_pylist([first | {n: np.ascontiguousarray(x).tobytes() for n, x in data.items()} | {"duals": None, "sums": None}], schema=_TYPES)
@@ -286,6 +309,88 @@ class _Course:
             self.mean = sums[:-1] / self.size
 
 
+def _dealt(state: DataFrame, n_pairs: int) -> DataFrame:
+    """Rows of a relation dealt over the cores back and forth by size, as every update waits for the slowest of them."""
+    cores = state.sparkSession.sparkContext.defaultParallelism
+    width = cores * -(-n_pairs // (cores * TASK_PAIRS))
+    size = F.length("own")
+    place = F.row_number().over(Window.partitionBy("relation_id").orderBy(F.col("size").desc(), "patient_id")) - 1
+    turn, at = F.floor(place / width), place % width
+    to = F.when(turn % 2 == 0, at).otherwise(width - 1 - at) + F.hash("relation_id")
+    keys = state.select(*REL_PATIENT, size.alias("size")).select(*REL_PATIENT, F.pmod(to, F.lit(width)).cast("int").alias("to"))
+    return state.join(keys, REL_PATIENT).repartitionById(width, F.col("to")).drop("to")
+
+
+def _relation_sums(after: RDD) -> dict[str, np.ndarray]:
+    sums: dict[str, np.ndarray] = {}
+    for one in after.mapPartitions(lambda packs: [p for p in packs if isinstance(p, dict)]).collect():
+        for r, x in one.items():
+            sums[r] = sums.get(r, 0.0) + x
+    return sums
+
+
+def _fit_whole(state: DataFrame, task: _Task, courses: dict[str, _Course], rounds: int, steps: int, n_pairs: int) -> tuple[DataFrame, list[dict]]:
+    """Updates of the relations of ``courses``, whose patients are rows; (their ends, mean objective after every round)."""
+
+    def packs(rows):
+        by_relation: dict[str, list[dict]] = {}
+        for row in rows:
+            by_relation.setdefault(row["relation_id"], []).append(row.asDict())
+        for own in by_relation.values():
+            yield from (rows.packed() for rows in _chunks(own, task))
+
+    def update(task: _Task):
+        def run(packs):
+            totals = _Totals()
+            for rows in packs:
+                if isinstance(rows, dict):
+                    continue
+                if rows.relation[0] in task.done:
+                    rows.end()
+                else:
+                    rows.task = task
+                    totals.add(rows, rows.update(rows.pair_sums()))
+                yield rows.packed()
+            yield totals.sums
+
+        return run
+
+    def ends(packs):
+        for rows in packs:
+            if not isinstance(rows, dict):
+                if rows.relation[0] in task.done:
+                    rows.end()
+                rows.task = task
+                yield from _ends(rows).to_pylist()
+
+    below = checkpoint_below(state.sparkSession)
+    now, history, written = _dealt(state, n_pairs).rdd.mapPartitions(packs), [], []
+    for i in range(1, rounds * steps + 1):
+        live = {r: c for r, c in courses.items() if not c.done}
+        if not live:
+            break
+        task.i, task.mean, task.done = i, {r: c.mean for r, c in live.items()}, frozenset(courses) - frozenset(live)
+        after = now.mapPartitions(update(task)).persist(StorageLevel.MEMORY_AND_DISK)
+        if i % steps == 0:
+            after.checkpoint()
+        sums = _relation_sums(after)
+        for r, c in live.items():
+            c.settle(i, sums[r])
+        if i > 1:
+            now.unpersist()
+        now = after
+        if after.isCheckpointed():
+            drop_stages(state.sparkSession, written)
+            written = [below(after)]
+        if i % steps == 0 or all(c.done for c in courses.values()):
+            history.append({r: c.before for r, c in courses.items()})
+    task.mean, task.done = {r: c.mean for r, c in courses.items()}, frozenset(r for r, c in courses.items() if c.done)
+    out = write_stage(state.sparkSession.createDataFrame(now.mapPartitions(ends), _ENDS), "ends")
+    now.unpersist()
+    drop_stages(state.sparkSession, written)
+    return out, history
+
+
 def _fit_relations(state: DataFrame, task: _Task, courses: dict[str, _Course], rounds: int, steps: int, in_parts: bool) -> tuple[DataFrame, list[dict]]:
     """Updates of the relations of ``courses``; (state at their ends, mean objective after every round)."""
     finished, history, cached = [], [], []
@@ -321,28 +426,34 @@ def _fit_relations(state: DataFrame, task: _Task, courses: dict[str, _Course], r
     return state, history
 
 
-def _ledger(state: DataFrame, task: _Task) -> DataFrame:
-    """Terms of the objective per patient at the fitted relation."""
-    k = task.k
+#: Of a patient, or a part of it, at the fitted relation: what its pairs add up to, other terms of the objective, the relation.
+_ENDS = "relation_id string, patient_id string, n_pairs long, mean double, square double, open double, geometry double, recurrence double, t array<double>, e array<double>"
 
-    def partial(batches):
-        for rows in _grouped(batches, task):
-            sums = rows.pair_sums()
-            t, e = _values(rows.params[0], k)
-            mean_t, mean_e = rows.means()
-            extra = _terms(np.zeros(len(sums)), t, e, mean_t, mean_e, task.cost)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows.relation), pa.array([r["patient_id"] for r in rows.rows]), pa.array(np.bincount(rows.who, minlength=len(sums))),
-                    pa.array(sums[:, 0]), pa.array(sums[:, 1]), *(pa.array(extra[n]) for n in ("open", "geometry", "recurrence")),
-                ],
-                names=["relation_id", "patient_id", "n_pairs", "mean", "square", "open", "geometry", "recurrence"],
-            )
-
-    parts = state.mapInArrow(partial, "relation_id string, patient_id string, n_pairs long, mean double, square double, open double, geometry double, recurrence double")
+
+def _ends(rows: _Rows) -> pa.RecordBatch:
+    sums = rows.pair_sums()
+    t, e = _values(rows.params[0], rows.task.k)
+    mean_t, mean_e = rows.means()
+    extra = _terms(np.zeros(len(sums)), t, e, mean_t, mean_e, rows.task.cost)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(rows.relation), pa.array([r["patient_id"] for r in rows.rows]), pa.array(np.bincount(rows.who, minlength=len(sums))),
+            pa.array(sums[:, 0]), pa.array(sums[:, 1]), *(pa.array(extra[n]) for n in ("open", "geometry", "recurrence")),
+            pa.array(t.reshape(len(t), -1).tolist(), pa.list_(pa.float64())), pa.array(e.tolist(), pa.list_(pa.float64())),
+        ],
+        names=[f.split(" ")[0] for f in _ENDS.split(", ")],
+    )
+
+
+def _state_ends(state: DataFrame, task: _Task) -> DataFrame:
+    return state.mapInArrow(lambda batches: (_ends(rows) for rows in _grouped(batches, task)), _ENDS)
+
+
+def _ledger(parts: DataFrame) -> DataFrame:
+    """Terms of the objective per patient at the fitted relation, and the relation."""
     whole = parts.groupBy(*REL_PATIENT).agg(
         F.sum("n_pairs").alias("n_pairs"), F.sum("mean").alias("observation"), (F.sum("square") - F.sum("mean") ** 2).alias("consistency"),
-        F.first("open").alias("open"), F.first("geometry").alias("geometry"), F.first("recurrence").alias("recurrence"),
+        *(F.first(c).alias(c) for c in ("open", "geometry", "recurrence", "t", "e")),
     )
     prior = (F.col("open") + GEOMETRY_WEIGHT * F.col("geometry")) / 2
     total = (F.col("observation") + F.col("consistency") + prior + F.col("recurrence") / COHORT_SCALE) / 3
@@ -367,7 +478,7 @@ def fit_relations(
     state = packed_pairs(sound, cost, k, part_pairs)
     reference = pair_divergences(sound.select("relation_id", "pair_id", "a", "b"), cost)
     scale = {r["relation_id"]: max(r["m"], SCALE_FLOOR) for r in reference.groupBy("relation_id").agg(F.avg("cost").alias("m")).collect()}
-    sizes = state.groupBy("relation_id").agg(F.count_if(F.col("part") == 0).alias("n"), F.max("n_parts").alias("parts")).collect()
+    sizes = state.groupBy("relation_id").agg(F.count_if(F.col("part") == 0).alias("n"), F.max("n_parts").alias("parts"), F.sum(F.length("own") / 8).cast("long").alias("pairs")).collect()
     t0, e0 = start_relation(k)
     start = np.concatenate([t0.ravel(), e0])
     courses = {r["relation_id"]: _Course(r["n"], start) for r in sizes}
@@ -377,28 +488,20 @@ def fit_relations(
     for in_parts, own in ((False, [r for r in courses if r not in split]), (True, split)):
         if own:
             task = _Task(k, cost, scale, 1, {})
-            out, past = _fit_relations(state.where(F.col("relation_id").isin(own)), task, {r: courses[r] for r in own}, rounds, steps, in_parts)
+            mine, theirs = state.where(F.col("relation_id").isin(own)), {r: courses[r] for r in own}
+            if in_parts:
+                out, past = _fit_relations(mine, task, theirs, rounds, steps, in_parts)
+                out = _state_ends(out, _Task(k, cost, scale, 1, {r: c.mean for r, c in theirs.items()}))
+            else:
+                out, past = _fit_whole(mine, task, theirs, rounds, steps, sum(r["pairs"] for r in sizes if r["relation_id"] in own))
             fitted.append(out)
             for done, more in zip(history, past):
                 done.update(more)
     if not fitted:
-        fitted = [state]
-    everyone = fitted[0] if len(fitted) == 1 else fitted[0].unionByName(fitted[1])
-    task = _Task(k, cost, scale, 1, {r: c.mean for r, c in courses.items()})
-    ledger = _ledger(everyone, task).unionByName(bad.withColumn("status", F.lit(BAD_PAIRS)), allowMissingColumns=True)
-
-    def final(batches):
-        for batch in batches:
-            own = batch.filter(pa.array([p == 0 for p in batch.column("part").to_pylist()]))
-            if own.num_rows:
-                t, e = _values(np.stack([np.frombuffer(p)[: k * (k + 2)] for p in own.column("params").to_pylist()]), k)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("relation_id"), own.column("patient_id"), pa.array(t.reshape(len(t), -1).tolist()), pa.array(e.tolist())],
-                    names=["relation_id", "patient_id", "t", "e"],
-                )
-
-    values = everyone.select(*REL_PATIENT, "part", "params").mapInArrow(final, "relation_id string, patient_id string, t array<double>, e array<double>")
-    return Fit(relation_rows(REL_PATIENT, states_of(values, k), k), ledger, [h for h in history if h])
+        fitted = [_state_ends(state, _Task(k, cost, scale, 1, {}))]
+    whole = _ledger(fitted[0] if len(fitted) == 1 else fitted[0].unionByName(fitted[1]))
+    ledger = whole.drop("t", "e").unionByName(bad.withColumn("status", F.lit(BAD_PAIRS)), allowMissingColumns=True)
+    return Fit(relation_rows(REL_PATIENT, states_of(whole, k), k), ledger, [h for h in history if h])
 
 
 def states_of(relation: DataFrame, n_states: int) -> DataFrame:

@@ -65,6 +65,11 @@ def balanced_potentials(a, b, cost, epsilons=EPSILONS, max_iter=MAX_ITER, tol=TO
 SMALL_KERNEL = 256
 
 
+def together(n_states: int) -> int:
+    """Pairs that are solved in one call: more where their kernels are small, as a call has its price."""
+    return min(8 * CHUNK, max(CHUNK, CHUNK * SMALL_KERNEL // n_states**2))
+
+
 def _products(kernel: np.ndarray):
     """The kernels of a batch in the layout that suits their size, and products from the right, from the left, and a choice of pairs.
 
@@ -141,12 +146,12 @@ def pair_divergences(pairs: DataFrame, cost: np.ndarray) -> DataFrame:
     Pairs of one block are spread over all tasks; nothing is grouped.
     """
     keys = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
-    names = [f.name for f in keys]
+    names, most = [f.name for f in keys], together(len(cost))
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), CHUNK):
-                part = batch.iloc[lo : lo + CHUNK]
+            for lo in range(0, len(batch), most):
+                part = batch.iloc[lo : lo + most]
                 out = part[names].copy()
                 values = divergence(_stack(part["a"]), _stack(part["b"]), cost)
                 out["cost"] = [None if np.isnan(v) else float(v) for v in values]
@@ -307,68 +312,113 @@ def _predict(q: np.ndarray, t: np.ndarray, e: np.ndarray):
     return raw, raw / raw.sum(1, keepdims=True)
 
 
-#: Newton steps on the potentials of pairs that a few iterations left open.
-NEWTON_STEPS = 8
-#: Iterations before them.
+#: Newton steps on the potentials of pairs that an update only moved a little, and damped ones where these fail.
+NEWTON_STEPS, DAMPED_STEPS = 8, 40
+#: Iterations before the last tries.
 FIRST_ITER = 4
-#: Added to their diagonals: a kernel without any mass between some states has no unique step.
-RIDGE = 1e-10
+#: Potentials over epsilon further apart than this are left to the kernels in the log domain.
+NEWTON_SPREAD = 200.0
+#: States up to which a step is solved entry by entry for all pairs of a batch.
+ELIMINATED_STATES = 8
 
 
-def _newton(a, b, f, g, cost, eps, live):
+def _newton_steps(kernel, u, w, mass, rest):
+    """Newton steps of a batch in all potentials (over epsilon) but the last, which stays; arrays have their states first.
+
+    The matrix is diag(mass) - U K diag(w) K' U without its last row and column.
+    """
+    k = len(u) - 1
+    if k >= ELIMINATED_STATES:
+        half = kernel[:k] * u[:k].T[:, :, None]
+        slope = -(half * w.T[:, None, :]) @ half.transpose(0, 2, 1)
+        slope[:, np.arange(k), np.arange(k)] += mass[:k].T
+        return np.linalg.solve(slope, rest[:k].T[:, :, None])[:, :, 0].T
+    at = [(i, j) for i in range(k) for j in range(i, k)]
+    h = {}
+    for (i, j), x in zip(at, np.array([kernel[i] * kernel[j] for i, j in at]) @ w):
+        x *= u[i]
+        x *= u[j]
+        h[i, j] = mass[i] - x if i == j else -x
+    y = [rest[i].copy() for i in range(k)]
+    for i in range(k):
+        h[i, i] = 1.0 / h[i, i]
+        for j in range(i + 1, k):
+            factor = h[i, j] * h[i, i]
+            for m in range(j, k):
+                h[j, m] -= factor * h[i, m]
+            y[j] -= factor * y[i]
+            h[i, j] = factor
+        y[i] *= h[i, i]
+    for i in range(k - 2, -1, -1):
+        for j in range(i + 1, k):
+            y[i] -= h[i, j] * y[j]
+    return np.array(y)
+
+
+def _newton(a, b, f, g, cost, eps, live, damped=False):
     """Newton steps on the dual of the live rows, written back where they reach the tolerance; the rows still live.
 
     The second potential is always the best answer to the first, so that a step solves for one
-    side only. A row whose error does not halve is given back as it came.
+    side only. A row whose error does not halve is given back as it came; damped steps are
+    halved instead until the dual value no longer falls.
     """
     if live.size == 0:
         return live
-    al, bl, fl = a[live], b[live], f[live].copy()
-    closed = np.ones(live.size, bool)
-    on = np.flatnonzero((al > 0).all(1))
-    share = np.where(bl > 0, 1.0 / np.where(bl > 0, bl, 1.0), 0.0)
-    before = np.full(live.size, np.inf)
-    k = np.arange(a.shape[1])
+    kernel, closed = np.exp(-cost / eps), np.zeros(live.size, bool)
+    x = f[live].T / eps
+    on = np.flatnonzero((a[live] > 0).all(1) & (np.ptp(x, 0) < NEWTON_SPREAD))
+    x = x[:, on] - x[:, on].max(0)
+    al, bl = np.ascontiguousarray(a[live[on]].T), np.ascontiguousarray(b[live[on]].T)
+    before, best = np.full(on.size, np.inf), np.full(on.size, -np.inf)
+    last, step = x, np.zeros_like(x[:-1])
     with np.errstate(all="ignore"):
-        for _ in range(NEWTON_STEPS + 1):
+        for _ in range(1 + (DAMPED_STEPS if damped else NEWTON_STEPS)):
             if on.size == 0:
                 break
-            m = (fl[on][:, :, None] - cost) / eps
-            top = m.max(1)
-            plan = np.exp(m - top[:, None, :])
-            columns = plan.sum(1)
-            plan *= (bl[on] / columns)[:, None, :]
-            mass = plan.sum(2)
-            rest = al[on] - mass
-            error = np.abs(rest).max(1)
+            u = np.exp(x)
+            columns = kernel.T @ u
+            r = bl / columns
+            mass = u * (kernel @ r)
+            rest = al - mass
+            error = np.abs(rest).max(0)
             done = error <= TOL
             if done.any():
-                at = on[done]
-                closed[at] = False
-                f[live[at]] = fl[at]
-                g[live[at]] = np.where(bl[at] > 0, eps * (np.log(bl[at] / columns[done]) - top[done]), 0.0)
-            go = ~done & (error <= 0.5 * before[on])
-            before[on] = error
-            on, plan, mass, rest = on[go], plan[go], mass[go], rest[go]
-            if on.size == 0:
-                break
-            slope = -(plan * share[on][:, None, :]) @ plan.transpose(0, 2, 1)
-            slope[:, k, k] += mass + RIDGE
-            slope += 1.0 / k.size**2  # potentials are free up to a constant
-            fl[on] += eps * np.linalg.solve(slope, rest[:, :, None])[:, :, 0]
-    return live[closed]
+                at = live[on[done]]
+                closed[on[done]] = True
+                f[at] = eps * x[:, done].T
+                g[at] = np.where(bl[:, done] > 0, eps * np.log(r[:, done]), 0.0).T
+            go = ~done if damped else ~done & (error <= 0.5 * before)
+            if not go.all():
+                on, before, best = on[go], before[go], best[go]
+                al, bl, x, u, columns, r, mass, rest, error, last, step = (v[:, go] if v.ndim == 2 else v[go] for v in (al, bl, x, u, columns, r, mass, rest, error, last, step))
+            before = error
+            if not damped:
+                x[:-1] += _newton_steps(kernel, u, r / columns, mass, rest)
+                continue
+            value = (al * x).sum(0) - (bl * np.log(columns)).sum(0)
+            rises = value >= best - 1e-13
+            last, best = np.where(rises, x, last), np.where(rises, value, best)
+            step = np.where(rises, _newton_steps(kernel, u, r / columns, mass, rest), 0.5 * step)
+            x = last.copy()
+            x[:-1] += step
+    return live[~closed]
 
 
 def _tracked_potentials(a, b, cost, epsilons, start):
     """As ``balanced_potentials``, to the same tolerance, for potentials that an update only moved a little.
 
-    After a few iterations Newton steps close nearly all rows; what they leave open takes the
-    iterations that are left, with a try after each absorption.
+    Newton steps close nearly all rows; what they leave open takes the iterations, with a try
+    after each absorption. Without a start the steps begin at zero, and the iterations of the
+    rows they leave open at the first epsilon.
     """
-    if start is None:
-        return balanced_potentials(a, b, cost, epsilons)
-    f, g = start
+    cold = start is None
+    f, g = (np.zeros_like(a), np.zeros_like(b)) if cold else start
     eps, live = epsilons[-1], np.arange(a.shape[0])
+    for damped in (True,) if cold else (False, True):
+        live = _newton(a, b, f, g, cost, eps, live, damped)
+    if cold and live.size:
+        f[live], g[live] = balanced_potentials(a[live], b[live], cost, epsilons)
+        return f, g
     for done in (0, *range(FIRST_ITER, MAX_ITER, ABSORB)):
         live = _scaled(a, b, f, g, cost, eps, min(ABSORB, MAX_ITER - done) if done else FIRST_ITER, TOL, live)
         live = _newton(a, b, f, g, cost, eps, live)

@@ -62,6 +62,18 @@ def drop_stages(spark: SparkSession, folders: list[str] | None = None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checkpoint_below(spark: SparkSession):
+    """Makes checkpoints of RDDs go below the shared folder; returns what notes a written one for ``drop_stages`` and names its folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+    def note(rdd) -> str:
+        _written.append(rdd.getCheckpointFile())
+        return _written[-1]
+
+    return note
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` below the shared folder and cut its lineage."""
     return write_stage(df, "durable")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from fovea import runtime
 from fovea.operators import fitting, kernels
 
 SCHEMA = "relation_id string, patient_id string, subbag_index int, pair_id string, a array<double>, b array<double>"
@@ -129,3 +130,32 @@ def test_ledger_adds_up_and_the_objective_falls(spark):
         assert r.status == "ok" and r.n_pairs > 0
     nothing = fitting.fit_relations(spark.createDataFrame([], SCHEMA), COST, K, rounds=1, steps=2)
     assert nothing.entries.count() == 0 and nothing.ledger.count() == 0
+
+
+def test_updates_leave_no_plans_with_the_driver(spark):
+    """Every update planned and recorded a query of its own, of many tasks for a patient of over 4,096 pairs: at 1 GB that filled the driver."""
+    rng = np.random.default_rng(8)
+    a, b = rng.dirichlet(np.ones(K), 5000), rng.dirichlet(np.ones(K), 5000)
+    rows = rows_of(3, 2) + [("r0", "large", i, f"l{i}", a[i].tolist(), b[i].tolist()) for i in range(5000)]
+    frame = spark.createDataFrame(rows, SCHEMA).localCheckpoint()
+    plans = spark._jsparkSession.sharedState().statusStore()
+
+    def used(steps):
+        before = plans.executionsCount()
+        fit = fitting.fit_relations(frame, COST, K, rounds=1, steps=steps)
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return plans.executionsCount() - before, fit
+
+    (few, _), (more, fit) = used(2), used(9)
+    assert more == few
+    assert {r.patient_id: r.n_pairs for r in fit.ledger.collect()}["large"] == 5000
+
+
+def test_checkpoints_of_a_fit_go_below_the_shared_folder_and_are_dropped(spark):
+    before = set(runtime.written_stages())
+    fit = fitting.fit_relations(spark.createDataFrame(rows_of(), SCHEMA), COST, K, rounds=3, steps=4)
+    want, _ = dense(rows_of(), 12)
+    got = entries_of(fit)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-6
+    left = set(runtime.written_stages()) - before
+    assert all("/rdd-" not in folder for folder in left)
